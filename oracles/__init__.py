@@ -1,7 +1,7 @@
 """Reference SQL for each registered query, written independently of the Spark code."""
 
-from oracles import balance
+from oracles import abc, balance, summary
 
 SQL: dict[str, str] = {}
-for _part in (balance,):
+for _part in (balance, abc, summary):
     SQL.update(_part.SQL)

@@ -6,7 +6,12 @@ test data, a wider value is passed; the values stand beside each query.
 
 from __future__ import annotations
 
-from stockloom.operators import balance, facts, sellout
+from pyspark.sql import functions as F
+
+from stockloom.functions.expr import dbl, rnd
+from stockloom.operators import abcxyz, balance, facts, sellout
+from stockloom.plans import monthly, summary
+from stockloom.session import cut_lineage
 from stockloom.sources.star import AS_OF, StarTables
 
 QUERIES = {}
@@ -33,3 +38,78 @@ query("sel1_sellout")(lambda T: sellout.sellout(T, AS_OF))
 query("alr1_movement_alerts")(lambda T: sellout.movement_alerts(T, AS_OF))
 query("alr1_movement_alerts_all")(lambda T: sellout.movement_alerts(T, AS_OF, limit=None))
 query("alr2_alert_summary")(lambda T: sellout.alert_summary(sellout.movement_alerts(T, AS_OF)))
+
+# --- ABC-XYZ ----------------------------------------------------------------
+
+BRANDS = ["WIDGET", "RING"]  # brand words that occur in the test product names
+
+
+def _scored(T):
+    return abcxyz.health_score_v1(abcxyz.abc_xyz(T, AS_OF), BRANDS)
+
+
+query("abc1_abc_xyz")(lambda T: abcxyz.abc_xyz(T, AS_OF))
+query("abc2_health_score")(
+    lambda T: _scored(T).select(
+        "stock_id", "strategic_score", "health_score",
+        *[rnd(f"{c}_score", 1).alias(f"{c}_score") for c in ("profitability", "volume", "revenue", "stability", "doi")],
+    )
+)
+query("abc3_protection")(lambda T: abcxyz.add_protection(abcxyz.abc_xyz(T, AS_OF), BRANDS).select("stock_id", "is_branded", "is_protected"))
+query("abc_report")(lambda T: abcxyz.abc_report(_scored(T)))
+query("abc4_distribution")(lambda T: abcxyz.abc_distribution(abcxyz.abc_xyz(T, AS_OF)))
+query("abc5_matrix")(lambda T: abcxyz.abc_xyz_matrix(abcxyz.abc_xyz(T, AS_OF)))
+query("abc6_delist_candidates")(lambda T: abcxyz.delist_candidates(_scored(T)))
+
+# --- movement summary and monthly analysis ----------------------------------
+
+
+def _rolled(T, base_uom=True):
+    return summary.roll_up(summary.day_grain(facts.cash_sales(T), AS_OF), T, AS_OF, base_uom)
+
+
+def _summary(T):
+    return summary.movement_summary(T, AS_OF)
+
+
+def _monthly(T):
+    return monthly.monthly_analysis(_summary(T), T, AS_OF)
+
+
+SCORES = ["health_score", "profitability_score", "volume_score", "revenue_score", "stability_score", "doi_score", "strategic_score"]
+
+query("smr1_rolling_sales")(lambda T: summary.rolling_sales(T, AS_OF))
+query("smr1b_rolling_sales_plain")(lambda T: summary.rolling_sales(T, AS_OF, base_uom=False))
+query("smr2_sku_cv")(lambda T: summary.sku_cv(T, AS_OF))
+query("smr3_max_values")(lambda T: summary.max_values(_rolled(T)))
+query("smr4_company_balance")(lambda T: summary.company_balance(T).select("stock_id", dbl("balance").alias("balance")))
+query("smr5_purchase_uom")(
+    lambda T: summary.purchase_uom(T).select("stock_id", "order_uom", dbl("order_uom_rate").alias("order_uom_rate"), "order_uom_desc")
+)
+query("smr6_abc_class")(lambda T: summary.abc_class(cut_lineage(_rolled(T))))
+query("smr7_movement_summary")(_summary)
+query("smr7_movement_summary_plain")(lambda T: summary.movement_summary(T, AS_OF, base_uom=False))
+query("smr8_health_score")(lambda T: _summary(T).select("stock_id", *SCORES))
+query("smr9_summary_stats")(lambda T: summary.summary_stats(_summary(T)))
+query("view1_summary")(lambda T: summary.view_summary(with_peak(_monthly(T))))
+query("view1_summary_filtered")(
+    lambda T: summary.view_summary(with_peak(_monthly(T)), trend="SPIKE_DOWN", risk="OVERSTOCKED", abc="A")
+)
+query("lpc1_last_purchase")(lambda T: summary.last_purchase(T.supplier_invoice_line))
+query("lpc2_unit_cost")(
+    lambda T: summary.unit_cost_fallback(summary.add_last_purchase(_summary(T), T.supplier_invoice_line), T.stock_master).select(
+        "stock_id", "order_uom", "last_purchase_cost", "last_purchase_date", "last_purchase_doc", "unit_cost"
+    )
+)
+query("mon1_monthly_pivot")(
+    lambda T: monthly.monthly_pivot(T.stock_ledger, AS_OF).select("stock_id", *[dbl(m).alias(m) for m in monthly.MONTHS])
+)
+query("mon_monthly_analysis")(_monthly)
+query("mon11_monthly_stats")(lambda T: monthly.monthly_stats(_monthly(T)))
+query("src9_v_monthly_sales")(lambda T: facts.v_monthly_sales(T, AS_OF))
+query("src10_v_sku_intelligence")(lambda T: facts.v_sku_intelligence(_monthly(T)))
+
+
+def with_peak(df):
+    """peak_months is filled by another system; the test data leaves it empty."""
+    return df.withColumn("peak_months", F.lit(None).cast("string"))
