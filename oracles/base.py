@@ -106,8 +106,8 @@ cte("batch_line", """SELECT CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O'
   CASE WHEN l_partkey % 3 = 0 AND l_linenumber % 4 = 0 THEN 'BOX' ELSE 'PCS' END AS uom_id,
   CAST(CASE WHEN l_returnflag = 'A' THEN 1 ELSE l_quantity END AS DECIMAL(18,4)) AS qty,
   CASE WHEN l_linenumber = 7 THEN 'N/A'
-       WHEN l_orderkey % 11 = 0 THEN substr(CAST(DATE '2001-08-01' + CAST((l_orderkey*37 + l_linenumber*11) % 500 - 100 AS INTEGER) AS VARCHAR), 1, 8) || '00 LOT' || CAST(l_suppkey AS VARCHAR)
-       ELSE CAST(CAST(DATE '2001-08-01' + CAST((l_orderkey*37 + l_linenumber*11) % 500 - 100 AS INTEGER) AS DATE) AS VARCHAR) || ' LOT' || CAST(l_suppkey AS VARCHAR) END AS batch_remark
+       WHEN l_orderkey % 11 = 0 THEN substr(CAST(CAST(DATE '2021-08-01' + CAST((l_orderkey*37 + l_linenumber*11) % 500 - 100 AS INTEGER) AS DATE) AS VARCHAR), 1, 8) || '00 LOT' || CAST(l_suppkey AS VARCHAR)
+       ELSE CAST(CAST(DATE '2021-08-01' + CAST((l_orderkey*37 + l_linenumber*11) % 500 - 100 AS INTEGER) AS DATE) AS VARCHAR) || ' LOT' || CAST(l_suppkey AS VARCHAR) END AS batch_remark
 FROM lineitem""")
 cte("supplier_invoice_line", """SELECT b.*, m.cost * CAST(1 + (l_suppkey % 5) * 0.01 AS DECIMAL(3,2)) AS unit_price
 FROM batch_line b LEFT JOIN stock_master m USING (stock_id, uom_id) WHERE b.doc_type = 'SUP_INVOICE'""")

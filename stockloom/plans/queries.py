@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockloom.functions.expr import dbl, rnd
-from stockloom.operators import abcxyz, balance, facts, sellout
+from stockloom.functions.expr import days_before, dbl, lng, rnd
+from stockloom.operators import abcxyz, assortment, balance, dashboard, facts, seasonal, sellout, yoy
 from stockloom.plans import monthly, summary
 from stockloom.session import cut_lineage
 from stockloom.sources.star import AS_OF, StarTables
@@ -113,3 +113,89 @@ query("src10_v_sku_intelligence")(lambda T: facts.v_sku_intelligence(_monthly(T)
 def with_peak(df):
     """peak_months is filled by another system; the test data leaves it empty."""
     return df.withColumn("peak_months", F.lit(None).cast("string"))
+
+# --- sales facts ------------------------------------------------------------
+
+
+def _doubles(df, *columns):
+    return df.withColumns({c: dbl(c) for c in columns})
+
+
+def _lines(df):
+    return _doubles(df, "qty", "amount", "unit_cost").withColumns({"doc_no": lng("doc_no"), "item_no": lng("item_no")})
+
+
+query("src1_cash_sales")(lambda T: _lines(facts.cash_sales(T)))
+query("src2_invoice_sales")(lambda T: _lines(facts.invoice_sales(T)))
+query("src3_combined_sales")(
+    lambda T: _doubles(facts.combined_sales(T, days_before(AS_OF, 365), by=("stock_id", "location_id")), "qty", "revenue")
+)
+query("src4_daily_sales")(lambda T: _doubles(facts.daily_sales(T, days_before(AS_OF, 90)), "qty"))
+query("src5_monthly_sales")(lambda T: _doubles(facts.monthly_sales(T), "qty"))
+query("src6_base_uom")(
+    lambda T: _doubles(
+        facts.to_base_uom(facts.combined_sales(T, by=("stock_id", "uom_id")).drop("revenue"), T.stock_master), "qty", "base_qty"
+    )
+)
+query("src7_base_products")(
+    lambda T: facts.base_products(T, active_only=True).select("stock_id", F.col("name").alias("stock_name"), "ud1_code", dbl("cost").alias("cost"))
+)
+query("src8_enrich")(
+    lambda T: facts.with_location_name(
+        facts.enrich(_doubles(facts.combined_sales(T, by=("stock_id", "location_id")).drop("revenue"), "qty"), T, category=True), T
+    )
+)
+
+# --- seasonality and year over year -----------------------------------------
+# Six months (SEA-1), three years (SEA-3) and July: the test data is thin per stock.
+
+
+def _text(df, *columns):
+    """Month lists as text, so results compare as plain values."""
+    return df.withColumns({c: F.array_join(F.transform(c, lambda m: m.cast("string")), ",") for c in columns})
+
+
+def _sea1(T, limit=500):
+    return seasonal.seasonal_patterns(T, AS_OF, min_months=6, limit=limit)
+
+
+def _sea2(T, limit=500):
+    return seasonal.seasonal_index(T, limit=limit)
+
+
+def _sea3(T, limit=500):
+    return seasonal.smart_cv(T, AS_OF, months=36, limit=limit)
+
+
+query("sea1_seasonal_patterns")(lambda T: _text(_sea1(T), "top_3_peak_months"))
+query("sea1_seasonal_patterns_all")(lambda T: _text(_sea1(T, None), "top_3_peak_months"))
+query("sea1b_pattern_counts")(lambda T: seasonal.class_counts(_sea1(T), "seasonality_class"))
+query("sea2_seasonal_index")(lambda T: _text(_sea2(T), "peak_months", "trough_months"))
+query("sea2_seasonal_index_all")(lambda T: _text(_sea2(T, None), "peak_months", "trough_months"))
+query("sea2b_index_counts")(lambda T: seasonal.class_counts(_sea2(T), "seasonality_type"))
+query("sea3_smart_cv")(_sea3)
+query("sea3_smart_cv_all")(lambda T: _sea3(T, None))
+query("sea3b_smart_counts")(lambda T: seasonal.class_counts(_sea3(T), "demand_pattern"))
+query("yoy1_comparison")(lambda T: yoy.yoy(T, AS_OF, month=7))
+query("yoy1_comparison_all")(lambda T: yoy.yoy(T, AS_OF, month=7, limit=None))
+query("yoy1b_status_counts")(lambda T: yoy.yoy_summary(yoy.yoy(T, AS_OF, month=7)))
+query("out1_outlet_maturity")(lambda T: yoy.outlet_maturity(T, AS_OF))
+query("out1_maturity_counts")(lambda T: yoy.maturity_counts(yoy.outlet_maturity(T, AS_OF)))
+query("lfl1_like_for_like")(lambda T: yoy.lfl(T, AS_OF, month=7))
+query("lfl2_growth_metrics")(lambda T: yoy.lfl_metrics(yoy.lfl(T, AS_OF, month=7)))
+query("lfl3_cohorts")(lambda T: yoy.lfl_cohorts(T, AS_OF, month=7))
+
+# --- dashboard and assortment -----------------------------------------------
+
+query("dsh1_stockout_rate")(lambda T: dashboard.stockout_rate(T))
+query("dsh2_inventory_supply")(lambda T: dashboard.inventory_supply(T, AS_OF))
+query("dsh3_turnover_gmroi")(lambda T: dashboard.turnover_gmroi(T, AS_OF))
+query("dsh4_dead_stock")(lambda T: dashboard.dead_stock(T, AS_OF))
+query("dsh5_short_dated")(lambda T: dashboard.short_dated(T))
+query("dsh6_scorecard")(lambda T: dashboard.scorecard(dashboard.metrics(T, AS_OF)))
+query("mh1_must_have")(lambda T: assortment.must_have(T, AS_OF, min_months=3, brands=BRANDS))
+query("mh2_must_have_confidence")(lambda T: assortment.must_have_confidence(assortment.must_have(T, AS_OF, min_months=3, brands=BRANDS)))
+query("ud1_stock_type_distribution")(lambda T: assortment.stock_type_distribution(T))
+query("ud2_true_stockout")(lambda T: assortment.true_stockout(T))
+query("tg1_therapeutic_groups")(lambda T: assortment.therapeutic_groups(T, AS_OF))
+query("sr1_special_request")(lambda T: assortment.special_request(T, AS_OF))
