@@ -23,21 +23,23 @@ def pattern_category(pattern):
     return first_match([(pattern.isin(names), group) for group, names in config.ROTATION_PATTERNS.items()], "STABLE")
 
 
-def doi_threshold(tier, category, house_brand):
-    """ROT-2: days of inventory above which an outlet is overstocked."""
-    rules = [(category == "SPORADIC", config.SPORADIC_DOI)]
-    for name, row in config.ROTATION_DOI.items():
-        rules.append(((tier == name) & house_brand, row["house_brand"]))
-        rules += [((tier == name) & (category == c), row[c]) for c in ("DECLINING", "GROWING", "STABLE")]
-    return first_match(rules).cast("int")
+def thresholds(spark) -> DataFrame:
+    """ROT-2: days of inventory and spare months per (tier, category, house brand), 32 rows.
 
-
-def excess_months(tier, category):
-    """ROT-2: months of sales an outlet may keep on top."""
-    rules = [(category == "SPORADIC", config.SPORADIC_EXCESS_MONTHS)]
-    for name, row in config.ROTATION_EXCESS_MONTHS.items():
-        rules += [((tier == name) & (category == c), row[c]) for c in ("DECLINING", "GROWING", "STABLE")]
-    return first_match(rules).cast("decimal(2,1)")
+    A table and not a CASE, so filters on the thresholds are not expanded into
+    nested conditions over the raw columns.
+    """
+    rows = []
+    for tier, doi in config.ROTATION_DOI.items():
+        for category in ("SPORADIC", "DECLINING", "GROWING", "STABLE"):
+            for house in (True, False):
+                days = config.SPORADIC_DOI if category == "SPORADIC" else doi["house_brand" if house else category]
+                months = config.SPORADIC_EXCESS_MONTHS if category == "SPORADIC" else config.ROTATION_EXCESS_MONTHS[tier][category]
+                rows.append(F.struct(
+                    F.lit(tier).alias("velocity_tier"), F.lit(category).alias("pattern_category"), F.lit(house).alias("house"),
+                    F.lit(days).alias("doi_threshold"), F.lit(str(months)).cast("decimal(2,1)").alias("excess_months"),
+                ))
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def region_of(name):
@@ -70,14 +72,16 @@ def excess(positions: DataFrame) -> DataFrame:
     The months kept are taken off once for the excess and compared again for
     the test, so a row must hold twice that many.
     """
-    p = positions.filter(F.col("bal") > 0).withColumn("velocity_tier", velocity_tier(F.col("ams"), F.col("rate")))
-    p = p.withColumn("pattern_category", pattern_category(F.col("pattern")))
-    house = F.coalesce(F.col("s_ud1") == config.HOUSE_BRAND, F.lit(False))
-    tier, cat = F.col("velocity_tier"), F.col("pattern_category")
-    p = p.withColumn("doi_threshold", doi_threshold(tier, cat, house)).withColumn("keep", F.col("ams") * excess_months(tier, cat))
-    raw = F.col("bal") - F.col("keep")
-    over = (raw > F.col("keep")) | ((tier == "VERY_SLOW") & (raw > config.VERY_SLOW_EXCESS_UNITS))
-    return p.filter((F.col("doi") > F.col("doi_threshold")) & over).withColumn("excess_qty", raw).filter(F.col("excess_qty") > 0)
+    p = positions.filter(F.col("bal") > 0).withColumns({
+        "velocity_tier": velocity_tier(F.col("ams"), F.col("rate")),
+        "pattern_category": pattern_category(F.col("pattern")),
+        "house": F.coalesce(F.col("s_ud1") == config.HOUSE_BRAND, F.lit(False)),
+    })
+    p = p.join(F.broadcast(thresholds(positions.sparkSession)), ["velocity_tier", "pattern_category", "house"])
+    keep = F.col("ams") * F.col("excess_months")
+    raw = F.col("bal") - keep
+    over = (raw > keep) | ((F.col("velocity_tier") == "VERY_SLOW") & (raw > config.VERY_SLOW_EXCESS_UNITS))
+    return p.filter((F.col("doi") > F.col("doi_threshold")) & over & (raw > 0)).withColumn("excess_qty", raw)
 
 
 def need(positions: DataFrame) -> DataFrame:
@@ -241,23 +245,22 @@ def rebalance(fs: DataFrame, s: DataFrame, outlet: str, limit: int | None = 500)
     outlet's rows meet the other outlets' rows, so the result grows with the
     outlets, not with their pairs.
     """
-    donors = fs.filter((F.col("classification") == "DONOR") & (F.col("can_donate_qty") > 0))
-    takers = fs.filter((F.col("classification") == "RECIPIENT") & (F.col("need_qty") > 0))
-    mine, other = F.col("location_id") == outlet, F.col("location_id") != outlet
-
-    def side(df, prefix):
-        cols = ["location_id", "location_name", "days_of_inventory", "current_balance", "fair_share_qty", "can_donate_qty", "need_qty"]
-        return df.select("stock_id", *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
-
+    movable = fs.filter((F.col("can_donate_qty") > 0) | (F.col("need_qty") > 0))
+    cols = [
+        "location_id", "location_name", "days_of_inventory", "current_balance", "fair_share_qty", "can_donate_qty", "need_qty", "classification",
+    ]
     shared = ["order_uom_rate", "company_doi", "ud1_code", "abc_class", "urgency_tier", "priority_score"]
-
-    def match(name, own, own_side, far, far_side):
-        left = side(own, own_side).join(own.select("stock_id", *shared), "stock_id")
-        return left.join(side(far, far_side), "stock_id").withColumn("direction", F.lit(name))
-
-    give = match("DONATE", donors.filter(mine), "from", takers.filter(other), "to")
-    take = match("RECEIVE", takers.filter(mine), "to", donors.filter(other), "from")
-    both = give.unionByName(take)
+    side = lambda df, prefix: [F.col(c).alias(f"{prefix}_{c}") for c in cols]
+    own = movable.filter(F.col("location_id") == outlet)
+    far = movable.filter(F.col("location_id") != outlet)
+    both = own.select("stock_id", *shared, *side(own, "own")).join(far.select("stock_id", *side(far, "far")), "stock_id")
+    both = both.filter(F.col("own_classification") != F.col("far_classification"))
+    gives = F.col("own_classification") == "DONOR"
+    both = both.select(
+        "stock_id", *shared, F.when(gives, "DONATE").otherwise("RECEIVE").alias("direction"),
+        *[F.when(gives, F.col(f"own_{c}")).otherwise(F.col(f"far_{c}")).alias(f"from_{c}") for c in cols],
+        *[F.when(gives, F.col(f"far_{c}")).otherwise(F.col(f"own_{c}")).alias(f"to_{c}") for c in cols],
+    )
     known = s.select("stock_id", F.coalesce("order_uom_stock_name", "stock_name").alias("stock_name"), "order_uom", "demand_pattern")
     j = both.join(known, "stock_id", "left")
     rate = "order_uom_rate"

@@ -6,13 +6,17 @@ test data, a wider value is passed; the values stand beside each query.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from stockloom.functions.expr import days_before, dbl, lng, rnd
-from stockloom.operators import abcxyz, assortment, balance, dashboard, facts, seasonal, sellout, yoy
+from stockloom.operators import (
+    abcxyz, assortment, balance, dashboard, expiry, facts, outlet, purchasing, seasonal, sellout, sku, transfer, yoy,
+)
 from stockloom.plans import monthly, summary
 from stockloom.session import cut_lineage
-from stockloom.sources.star import AS_OF, StarTables
+from stockloom.sources.star import AS_OF, EXPIRY_AS_OF, StarTables
 
 QUERIES = {}
 
@@ -199,3 +203,149 @@ query("ud1_stock_type_distribution")(lambda T: assortment.stock_type_distributio
 query("ud2_true_stockout")(lambda T: assortment.true_stockout(T))
 query("tg1_therapeutic_groups")(lambda T: assortment.therapeutic_groups(T, AS_OF))
 query("sr1_special_request")(lambda T: assortment.special_request(T, AS_OF))
+
+# --- stock intelligence, reviews, access ------------------------------------
+
+
+def _dates(df, *columns):
+    return df.withColumns({c: F.col(c).cast("date") for c in columns})
+
+
+def _sku_list(df):
+    return _dates(df, "reviewed_at", "po_last_generated_at").withColumns({"safety_days": lng("safety_days"), "active_months": lng("active_months")})
+
+
+query("sku1_sku_intelligence")(lambda T: _sku_list(sku.sku_intelligence(T.sku_summary)))
+query("sku1_sku_intelligence_filtered")(
+    lambda T: _sku_list(sku.sku_intelligence(T.sku_summary, limit=50, offset=10, recommendation="OVERSTOCKED", is_active="Y", search="ring"))
+)
+query("sku2_sku_counts")(lambda T: sku.sku_counts(T.sku_summary, recommendation="OVERSTOCKED", ud1="NA"))
+query("sku3_display_recommendation")(
+    lambda T: T.sku_summary.select("stock_id", "reorder_recommendation", sku.display_recommendation().alias("display_name"))
+)
+query("rv1_apply_reviews")(
+    lambda T: _dates(sku.apply_reviews(T.sku_summary, T.review_actions), "reviewed_at").select(
+        "stock_id", "reviewed_at", "reviewed_by", "review_notes", lng("review_priority").alias("review_priority"), "review_flag"
+    )
+)
+query("acc1_access_level")(lambda T: sku.access_level(T.staff))
+query("acc1_manager_access")(lambda T: sku.manager_access(T.staff))
+query("acc2_accessible_outlets")(lambda T: sku.accessible_outlets(T.staff, T.outlet_sku))
+
+# --- outlet level -----------------------------------------------------------
+
+
+def _joined(df, *columns):
+    """Outlet lists as text, so results compare as plain values."""
+    return df.withColumns({c: F.array_join(c, ",") for c in columns})
+
+
+def _suggest(T):
+    return outlet.suggest(T.outlet_sku, T.sku_summary, "L23")
+
+
+query("osi1_outlet_intelligence")(lambda T: outlet.outlet_intelligence(T.outlet_sku, "L03"))
+query("osi1_outlet_intelligence_all")(lambda T: outlet.outlet_intelligence(T.outlet_sku))
+query("osi1_outlet_intelligence_joined")(lambda T: outlet.outlet_intelligence_joined(T.outlet_sku, T.sku_summary, "L03"))
+query("osi2_pattern_group")(lambda T: outlet.outlet_intelligence(T.outlet_sku, "L03", demand_pattern="GROWTH"))
+query("osi3_outlet_page")(lambda T: outlet.outlet_page(T.outlet_sku, after_row=100, limit=200))
+query("osi4_outlet_counts")(lambda T: outlet.outlet_counts(T.outlet_sku))
+query("osi5_outlet_review_counts")(lambda T: outlet.outlet_review_counts(T.outlet_sku, T.sku_summary))
+query("sug1_suggestions")(lambda T: _joined(_suggest(T), "selling_outlets"))
+query("sug1a_category_gap")(lambda T: outlet.category_coverage(T.outlet_sku, T.sku_summary, "L23"))
+query("sug2_outlet_profile")(lambda T: outlet.outlet_profile(T.outlet_sku))
+query("sug3_suggestion_summary")(lambda T: outlet.suggestion_summary(_suggest(T)))
+query("xr1_cross_recommend")(
+    lambda T: _joined(
+        outlet.cross_recommend(T.outlet_sku, T.sku_summary, outlet.peer_outlets(T.staff, T.outlet_sku, "U0", "L23"), "L23"),
+        "selling_outlet_ids", "selling_outlet_names",
+    )
+)
+query("xr2_peer_outlets")(lambda T: _own_peers(T, "U2"))
+
+
+def _own_peers(T, staff_id):
+    """An area manager's peers of the outlet they are based at."""
+    home = T.staff.filter(F.col("staff_id") == staff_id).select("primary_outlet").first()[0]
+    return outlet.peer_outlets(T.staff, T.outlet_sku, staff_id, home)
+
+
+# --- rotation and rebalancing -----------------------------------------------
+
+query("rot1_tiers")(
+    lambda T: transfer._positions(T.outlet_sku, T.sku_summary).select(
+        "stock_id", "location_id", "region", transfer.velocity_tier(F.col("ams"), F.col("rate")).alias("velocity_tier"),
+        transfer.pattern_category(F.col("pattern")).alias("pattern_category"),
+    )
+)
+query("rot3_overstock")(
+    lambda T: transfer.excess(transfer._positions(T.outlet_sku, T.sku_summary)).select(
+        "stock_id", "location_id", "velocity_tier", "pattern_category", lng("doi_threshold").alias("doi_threshold"), dbl("excess_qty").alias("excess_qty")
+    )
+)
+query("rot4_transfers_out")(lambda T: transfer.transfers_out(T.outlet_sku, T.sku_summary))
+query("rot5_transfers_in")(lambda T: transfer.transfers_in(T.outlet_sku, T.sku_summary))
+query("rot_one_outlet")(lambda T: transfer.rotation(T.outlet_sku, T.sku_summary, "L03"))
+query("rb1_supply_constrained")(
+    lambda T: _doubles(transfer.supply_constrained(T.outlet_sku, T.sku_summary), "total_balance", "total_ams")
+)
+
+
+def _shares(T):
+    s = T.sku_summary
+    return transfer.fair_share(T.outlet_sku, transfer.supply_constrained(T.outlet_sku, s), s)
+
+
+query("rb2_fair_share")(
+    lambda T: _shares(T).select(
+        "stock_id", "location_id", "classification",
+        *[rnd(c, 4).alias(c) for c in ("fair_share_qty", "fair_share_deviation", "can_donate_qty", "need_qty")],
+    )
+)
+query("rb3_rebalance")(lambda T: transfer.rebalance(_shares(T), T.sku_summary, "L05"))
+
+# --- purchasing -------------------------------------------------------------
+
+
+def _lines_to_order(T):
+    return purchasing.po_lines(T.sku_summary)
+
+
+query("po1_po_lines")(lambda T: _dates(_lines_to_order(T), "po_data_updated_at", "po_last_generated_at"))
+query("po2_po_suppliers")(lambda T: _dates(purchasing.po_suppliers(_lines_to_order(T)), "last_po_generated_at"))
+query("po3_po_log")(lambda T: purchasing.po_log(_lines_to_order(T), AS_OF, "U1"))
+query("po3_po_log_items")(lambda T: purchasing.po_log_items(_lines_to_order(T), AS_OF))
+query("po3_stamp_ordered")(
+    lambda T: _dates(
+        purchasing.stamp_ordered(T.sku_summary, purchasing.po_log_items(_lines_to_order(T), AS_OF), AS_OF), "po_last_generated_at"
+    ).select("stock_id", "po_last_generated_at")
+)
+
+
+def _history(T):
+    lines = _lines_to_order(T)
+    logs = [purchasing.po_log(lines, AS_OF - timedelta(days=n), "U1") for n in (0, 20, 45)]
+    return purchasing.po_history(logs[0].unionByName(logs[1]).unionByName(logs[2]), AS_OF)
+
+
+query("po4_po_history")(_history)
+
+# --- batch expiry -----------------------------------------------------------
+
+query("exp0_parse_batch")(
+    lambda T: expiry.parse_batch(T.batch_line).select(lng("doc_id").alias("doc_id"), "stock_id", "batch_remark", "expiry_str", "expiry_date")
+)
+query("exp1_warehouse_batches")(
+    lambda T: expiry.warehouse_batches(T).select(
+        "stock_id", "expiry_str", dbl("qty").alias("remaining"), "stock_name", dbl("unit_cost").alias("unit_cost")
+    )
+)
+query("exp2_outlet_batches")(
+    lambda T: _doubles(expiry.outlet_batches(T), "qty", "unit_cost").select("stock_id", "location_id", "expiry_str", "qty", "unit_cost")
+)
+query("exp3_expiry_windows")(lambda T: expiry.expiry_windows(expiry.all_batches(T), EXPIRY_AS_OF))
+query("exp4_at_risk")(lambda T: expiry.at_risk(expiry.expiry_windows(expiry.all_batches(T), EXPIRY_AS_OF)))
+query("exp5_by_location")(lambda T: expiry.expiry_by_location(T, EXPIRY_AS_OF))
+query("exp6_expiry_items")(lambda T: expiry.expiry_items(T, EXPIRY_AS_OF))
+query("exp6_expiry_items_expired")(lambda T: expiry.expiry_items(T, EXPIRY_AS_OF, window="expired", limit=None))
+query("exp6_expiry_items_outlet")(lambda T: expiry.expiry_items(T, EXPIRY_AS_OF, location="L07", window="60_days"))

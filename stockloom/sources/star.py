@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stockloom.functions.expr import QTY, day, first_match
 from stockloom.operators.facts import join_document
+from stockloom.session import cut_lineage
 from stockloom.sources.catalog import Tables
 
 AS_OF = date(2001, 8, 1)
@@ -269,7 +270,8 @@ class StarTables(Tables):
         trend = F.when(h2 == 0, F.lit(1.0)).otherwise(F.least(F.lit(2.0), F.greatest(F.lit(0.5), F.try_divide(h1.cast("double"), h2.cast("double")))))
         names = self.location.select("location_id", F.col("name").alias("location_name"))
         products = self.star("part").select(F.col("p_partkey").alias("p"), F.upper("p_name").alias("stock_name"))
-        return (
+        # a stored table wherever it is read, so it is materialised here too
+        return cut_lineage(
             both.join(names, "location_id", "left").join(products, "p", "left")
             .select(
                 "location_id", "location_name", "stock_id", "stock_name", *months, "total_12m", "outlet_ams",
@@ -362,7 +364,7 @@ class StarTables(Tables):
         p = F.substring("stock_id", 2, 20).cast("bigint")
         rate = F.col("order_uom_rate")
         stamp = day(self.as_of).cast("timestamp")
-        return s.withColumns({
+        return cut_lineage(s.withColumns({
             "order_uom_stock_name": F.col("order_uom_desc"),
             "is_active": p % 20 != 18,
             "demand_pattern": pick(DEMAND_PATTERNS, p % 9),
@@ -401,4 +403,4 @@ class StarTables(Tables):
             "brand_description": F.col("brand"),
             "po_data_updated_at": stamp,
             "po_last_generated_at": F.when(p % 6 == 0, F.date_sub(day(self.as_of), (p % 40).cast("int")).cast("timestamp")),
-        })
+        }))
