@@ -19,6 +19,8 @@ def local_session(cores: int | str = "*", app: str = "stockloom", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("STOCKLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # no call-site capture per column expression: halves the time to build wide plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -33,6 +33,18 @@ STAFF_GROUPS = ["ADMINISTRATORS", "PURCHASER", "AREA MANAGER", "PIC OUTLET", "CA
 NATIONS = 25  # the star schema fixes the number of nations
 
 
+# Explicit schemas: no job to infer one, and a changed file fails loudly
+STAR_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def pick(values, index):
     """values[index] as an expression."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -47,7 +59,7 @@ class StarTables(Tables):
         self.spark, self.folder, self.as_of = spark, folder, as_of
 
     def star(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     # --- dimensions ---------------------------------------------------------
 
