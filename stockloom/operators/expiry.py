@@ -32,54 +32,55 @@ def parse_batch(df: DataFrame, text="batch_remark") -> DataFrame:
 
     Day 00 (month only) counts as the 28th; an impossible date gives NULL.
     """
-    s = F.substring(text, 1, 10)
-    fixed = F.when(s.endswith("-00"), F.concat(F.substring(s, 1, 8), F.lit("28"))).otherwise(s)
-    return (
-        df.filter(F.col(text).rlike(config.BATCH_PATTERN))
-        .withColumn("expiry_str", s)
-        .withColumn("expiry_date", F.try_to_date(fixed, "yyyy-MM-dd"))
+    return df.filter(F.col(text).rlike(config.BATCH_PATTERN)).withColumn("expiry_str", F.substring(text, 1, 10)).withColumn(
+        "expiry_date", expiry_date("expiry_str")
     )
 
 
+def expiry_date(text):
+    """Date of a ten-character batch date."""
+    fixed = F.when(F.substring(text, 9, 2) == "00", F.concat(F.substring(text, 1, 8), F.lit("28"))).otherwise(F.col(text))
+    return fixed.try_cast("date")
+
+
 def _costed(df: DataFrame, T) -> DataFrame:
     cost = facts.base_products(T).select("stock_id", F.col("name").alias("stock_name"), "barcode", F.coalesce("cost", F.lit(0)).alias("unit_cost"))
     return df.join(cost, "stock_id", "left").withColumn("unit_cost", F.coalesce("unit_cost", F.lit(0)))
 
 
-def _with_date(df: DataFrame) -> DataFrame:
-    """Parse dates once per batch, after the sums."""
-    return parse_batch(df, "expiry_str").withColumn("location_id", F.col("location_id"))
-
-
-def warehouse_batches(T) -> DataFrame:
-    """EXP-1: what is left in the warehouse per (stock, expiry): received less sent, when positive.
+def _remaining(T, warehouse: bool, outlets: bool) -> DataFrame:
+    """Positive quantity per (location, stock, expiry) in one pass over the batch lines.
 
-    Signed quantities summed once, so several lines on either side cannot
-    multiply each other.
+    Receipts count up, dispatches and credits down, in one sum: several lines
+    on either side cannot multiply each other.
     """
-    kind = F.col("doc_type")
-    lines = T.batch_line.filter(
-        (F.col("location_id") == config.WAREHOUSE) & kind.isin(INBOUND + OUTBOUND) & F.col("batch_remark").rlike(config.BATCH_PATTERN)
+    kind, here = F.col("doc_type"), F.col("location_id") == config.WAREHOUSE
+    wanted = F.lit(False)
+    if warehouse:
+        wanted = wanted | (here & kind.isin(INBOUND + OUTBOUND))
+    if outlets:
+        wanted = wanted | (~here & (kind == TRANSFER))
+    lines = T.batch_line.filter(wanted & F.col("batch_remark").rlike(config.BATCH_PATTERN))
+    qty = F.coalesce("qty", F.lit(0))
+    left = lines.groupBy("location_id", "stock_id", F.substring("batch_remark", 1, 10).alias("expiry_str")).agg(
+        F.sum(F.when(kind.isin(OUTBOUND), -qty).otherwise(qty)).alias("qty")
     )
-    signed = F.when(kind.isin(INBOUND), F.coalesce("qty", F.lit(0))).otherwise(-F.coalesce("qty", F.lit(0)))
-    left = lines.groupBy("stock_id", F.substring("batch_remark", 1, 10).alias("expiry_str")).agg(F.sum(signed).alias("qty"))
-    left = left.filter(F.col("qty") > 0).withColumn("location_id", F.lit(config.WAREHOUSE))
-    return _costed(_with_date(left), T)
+    return _costed(left.filter(F.col("qty") > 0).withColumn("expiry_date", expiry_date("expiry_str")), T)
+
+
+def warehouse_batches(T) -> DataFrame:
+    """EXP-1: what is left in the warehouse per (stock, expiry): received less sent, when positive."""
+    return _remaining(T, warehouse=True, outlets=False)
 
 
 def outlet_batches(T) -> DataFrame:
     """EXP-2: batches that reached the outlets by transfer."""
-    lines = T.batch_line.filter(
-        (F.col("doc_type") == TRANSFER) & (F.col("location_id") != config.WAREHOUSE) & F.col("batch_remark").rlike(config.BATCH_PATTERN)
-    )
-    held = lines.groupBy("stock_id", "location_id", F.substring("batch_remark", 1, 10).alias("expiry_str")).agg(
-        F.sum(F.coalesce("qty", F.lit(0))).alias("qty")
-    )
-    return _costed(_with_date(held.filter(F.col("qty") > 0)), T)
+    return _remaining(T, warehouse=False, outlets=True)
 
 
 def all_batches(T) -> DataFrame:
-    return warehouse_batches(T).unionByName(outlet_batches(T))
+    """Both, read once."""
+    return _remaining(T, warehouse=True, outlets=True)
 
 
 def window_label(days):
