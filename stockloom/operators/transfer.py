@@ -55,57 +55,61 @@ def _known(s: DataFrame) -> DataFrame:
     )
 
 
-def _positions(o: DataFrame, s: DataFrame) -> DataFrame:
-    """Outlet rows with what rotation needs, joined to the summary once."""
-    own = o.select(
+def _own(o: DataFrame) -> DataFrame:
+    """Selling outlet rows under short names."""
+    return o.select(
         "stock_id", "location_id", "location_name", region_of(F.col("location_name")).alias("region"),
         F.col("current_balance").alias("bal"), F.col("outlet_ams").alias("ams"), F.col("days_of_inventory").alias("doi"),
         "reorder_recommendation", "order_uom_rate",
     ).filter(F.col("ams") > 0)
-    j = own.join(_known(s), "stock_id", "left")
+
+
+def positions(o: DataFrame, s: DataFrame) -> DataFrame:
+    """Selling outlet rows with unit, type and demand pattern from the summary."""
+    j = _own(o).join(_known(s), "stock_id", "left")
     return j.withColumn("rate", F.coalesce("order_uom_rate", "s_rate", F.lit(1))).withColumn("pattern", F.coalesce("s_pattern", F.lit("STABLE")))
 
 
-def excess(positions: DataFrame) -> DataFrame:
+def excess(rows: DataFrame) -> DataFrame:
     """ROT-2, ROT-3: rows over their thresholds, with the excess quantity.
 
     The months kept are taken off once for the excess and compared again for
     the test, so a row must hold twice that many.
     """
-    p = positions.filter(F.col("bal") > 0).withColumns({
+    p = rows.filter(F.col("bal") > 0).withColumns({
         "velocity_tier": velocity_tier(F.col("ams"), F.col("rate")),
         "pattern_category": pattern_category(F.col("pattern")),
         "house": F.coalesce(F.col("s_ud1") == config.HOUSE_BRAND, F.lit(False)),
     })
-    p = p.join(F.broadcast(thresholds(positions.sparkSession)), ["velocity_tier", "pattern_category", "house"])
+    p = p.join(F.broadcast(thresholds(rows.sparkSession)), ["velocity_tier", "pattern_category", "house"])
     keep = F.col("ams") * F.col("excess_months")
     raw = F.col("bal") - keep
     over = (raw > keep) | ((F.col("velocity_tier") == "VERY_SLOW") & (raw > config.VERY_SLOW_EXCESS_UNITS))
     return p.filter((F.col("doi") > F.col("doi_threshold")) & over & (raw > 0)).withColumn("excess_qty", raw)
 
 
-def need(positions: DataFrame) -> DataFrame:
+def need(rows: DataFrame) -> DataFrame:
     """Understocked rows and what two months of sales still need."""
-    short = positions.filter(F.col("reorder_recommendation").isin(config.UNDERSTOCKED))
+    short = rows.filter(F.col("reorder_recommendation").isin(config.UNDERSTOCKED))
     return short.withColumn("need_qty", F.col("ams") * 2 - F.col("bal")).filter(F.col("need_qty") > 0)
 
 
-def _best_partner(df: DataFrame, partners: DataFrame, order, carry) -> DataFrame:
-    """For each row the best partner outlet of its stock: own region first, then by the order.
+def _best_partner(df: DataFrame, partners: DataFrame, keys, carry) -> DataFrame:
+    """For each row the best partner outlet of its stock: own region first, then by the keys ascending.
 
     The order of partners does not depend on who asks, apart from the asking
-    outlet itself. So the best two per (stock, region) and the best two per
-    stock are enough, and no pair of outlets is ever formed.
+    outlet itself. So the best two per (stock, region), and the best two of
+    those per stock, are enough, and no pair of outlets is ever formed.
     """
-    entry = F.struct(F.col("rn"), F.col("location_id").alias("loc"), *[F.col(c).alias(c) for c in carry])
-
-    def best_two(rows, *keys):
-        w = Window.partitionBy(*keys).orderBy(*order, "location_id")
-        two = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
-        return two.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("best"))
-
-    near = best_two(partners.filter(F.col("region").isNotNull()), "stock_id", "region").withColumnRenamed("best", "near")
-    far = best_two(partners, "stock_id").withColumnRenamed("best", "far")
+    names = [f"k{i}" for i in range(len(keys))]
+    ranked = partners.select(
+        "stock_id", "region", *[k.alias(n) for k, n in zip(keys, names)], F.col("location_id").alias("loc"), *carry
+    )
+    w = Window.partitionBy("stock_id", "region").orderBy(*names, "loc")
+    two = ranked.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
+    near = two.groupBy("stock_id", "region").agg(F.sort_array(F.collect_list(F.struct(*names, "loc", *carry))).alias("near"))
+    # at most two entries a region
+    far = near.groupBy("stock_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, 2).alias("far"))
     j = df.join(far, "stock_id").join(near, ["stock_id", "region"], "left")
     first_other = lambda c: F.try_element_at(F.filter(c, lambda e: e.loc != F.col("location_id")), F.lit(1))
     j = j.withColumn("n1", first_other("near")).withColumn("partner", F.coalesce("n1", first_other("far")))
@@ -123,11 +127,11 @@ def _not_pseudo(df):
 
 def transfers_out(o: DataFrame, s: DataFrame, outlet=None, limit: int | None = 500) -> DataFrame:
     """ROT-4: for each overstocked row the best outlet to send to: same region, lowest cover, largest need."""
-    pos = _positions(o, s)
-    sources = excess(pos)
+    sources = excess(positions(o, s))
     if outlet is not None:
         sources = sources.filter(F.col("location_id") == outlet)
-    j = _best_partner(sources, _not_pseudo(need(pos)), [F.asc("doi"), F.desc("need_qty")], ["location_name", "bal", "doi", "need_qty"])
+    keys = [F.col("doi"), -F.col("need_qty")]
+    j = _best_partner(sources, _not_pseudo(need(_own(o))), keys, ["location_name", "bal", "doi", "need_qty"])
     other = lambda c: F.col(f"partner.{c}")
     out = j.select(
         F.lit("OUT").alias("direction"), "stock_id", F.col("s_name").alias("stock_name"), F.col("s_uom").alias("order_uom"), F.col("s_ud1").alias("ud1_code"),
@@ -147,12 +151,12 @@ def transfers_out(o: DataFrame, s: DataFrame, outlet=None, limit: int | None = 5
 
 def transfers_in(o: DataFrame, s: DataFrame, outlet=None, limit: int | None = 500) -> DataFrame:
     """ROT-5: for each understocked row the best outlet to take from: same region, largest excess, longest cover."""
-    pos = _positions(o, s)
+    pos = positions(o, s)
     wanting = need(pos)
     if outlet is not None:
         wanting = wanting.filter(F.col("location_id") == outlet)
     carry = ["location_name", "bal", "doi", "excess_qty", "velocity_tier", "pattern_category", "doi_threshold", "pattern"]
-    j = _best_partner(wanting, _not_pseudo(excess(pos)), [F.desc("excess_qty"), F.desc("doi")], carry)
+    j = _best_partner(wanting, _not_pseudo(excess(pos)), [-F.col("excess_qty"), -F.col("doi")], carry)
     other = lambda c: F.col(f"partner.{c}")
     out = j.select(
         F.lit("IN").alias("direction"), "stock_id", F.col("s_name").alias("stock_name"), F.col("s_uom").alias("order_uom"), F.coalesce("s_ud1", F.lit("")).alias("ud1_code"),
@@ -200,7 +204,7 @@ def supply_constrained(o: DataFrame, s: DataFrame) -> DataFrame:
     per = held.groupBy("stock_id").agg(
         F.sum("current_balance").alias("total_balance"), F.sum("outlet_ams").alias("total_ams"), F.count("location_id").alias("outlet_count")
     ).filter((F.col("total_ams") > 0) & (F.col("outlet_count") >= 2))
-    known = s.select("stock_id", "ud1_code", "abc_class")
+    known = s.select("stock_id", "ud1_code", "abc_class", F.col("order_uom_rate").cast("decimal(18,4)").alias("summary_rate"))
     j = per.join(known, "stock_id", "left").withColumns({
         "ud1_code": F.coalesce("ud1_code", F.lit("OTHER")), "abc_class": F.coalesce("abc_class", F.lit("C")),
         "company_doi": ratio(dbl("total_balance") * 30, "total_ams"),
@@ -218,14 +222,13 @@ def supply_constrained(o: DataFrame, s: DataFrame) -> DataFrame:
     )
 
 
-def fair_share(o: DataFrame, constrained: DataFrame, s: DataFrame, min_doi_variance: int = 7) -> DataFrame:
+def fair_share(o: DataFrame, constrained: DataFrame, min_doi_variance: int = 7) -> DataFrame:
     """RB-2: each selling outlet's share of the stock by its share of demand, and what it can give or needs."""
     own = o.filter(F.col("outlet_ams") > 0).select(
         "stock_id", "location_id", "location_name", "current_balance", "outlet_ams", "days_of_inventory", "order_uom_rate"
     )
-    rates = s.select("stock_id", F.col("order_uom_rate").cast("decimal(18,4)").alias("s_rate"))
-    j = own.join(constrained, "stock_id").join(rates, "stock_id", "left")
-    j = j.withColumn("order_uom_rate", F.coalesce("order_uom_rate", "s_rate", F.lit(1))).drop("s_rate")
+    j = own.join(constrained, "stock_id")
+    j = j.withColumn("order_uom_rate", F.coalesce("order_uom_rate", "summary_rate", F.lit(1))).drop("summary_rate")
     share = ratio("outlet_ams", "total_ams") * dbl("total_balance")
     j = j.withColumn("fair_share_qty", share).withColumn("fair_share_deviation", dbl("current_balance") - F.col("fair_share_qty"))
     dev, doi = F.col("fair_share_deviation"), dbl("days_of_inventory")

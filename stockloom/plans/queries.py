@@ -273,13 +273,13 @@ def _own_peers(T, staff_id):
 # --- rotation and rebalancing -----------------------------------------------
 
 query("rot1_tiers")(
-    lambda T: transfer._positions(T.outlet_sku, T.sku_summary).select(
+    lambda T: transfer.positions(T.outlet_sku, T.sku_summary).select(
         "stock_id", "location_id", "region", transfer.velocity_tier(F.col("ams"), F.col("rate")).alias("velocity_tier"),
         transfer.pattern_category(F.col("pattern")).alias("pattern_category"),
     )
 )
 query("rot3_overstock")(
-    lambda T: transfer.excess(transfer._positions(T.outlet_sku, T.sku_summary)).select(
+    lambda T: transfer.excess(transfer.positions(T.outlet_sku, T.sku_summary)).select(
         "stock_id", "location_id", "velocity_tier", "pattern_category", lng("doi_threshold").alias("doi_threshold"), dbl("excess_qty").alias("excess_qty")
     )
 )
@@ -287,13 +287,12 @@ query("rot4_transfers_out")(lambda T: transfer.transfers_out(T.outlet_sku, T.sku
 query("rot5_transfers_in")(lambda T: transfer.transfers_in(T.outlet_sku, T.sku_summary))
 query("rot_one_outlet")(lambda T: transfer.rotation(T.outlet_sku, T.sku_summary, "L03"))
 query("rb1_supply_constrained")(
-    lambda T: _doubles(transfer.supply_constrained(T.outlet_sku, T.sku_summary), "total_balance", "total_ams")
+    lambda T: _doubles(transfer.supply_constrained(T.outlet_sku, T.sku_summary).drop("summary_rate"), "total_balance", "total_ams")
 )
 
 
 def _shares(T):
-    s = T.sku_summary
-    return transfer.fair_share(T.outlet_sku, transfer.supply_constrained(T.outlet_sku, s), s)
+    return transfer.fair_share(T.outlet_sku, transfer.supply_constrained(T.outlet_sku, T.sku_summary))
 
 
 query("rb2_fair_share")(

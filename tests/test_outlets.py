@@ -66,7 +66,7 @@ def _region(name):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_best_partner_equals_trying_every_pair(spark, seed):
     o, s = _random_chain(spark, seed)
-    pos = transfer._positions(o, s)
+    pos = transfer.positions(o, s)
     have = transfer.excess(pos).collect()
     want = transfer.need(pos).collect()
     pseudo = {"WAREHOUSE"}
@@ -99,7 +99,7 @@ def test_fair_share_invariants(spark):
     short = transfer.supply_constrained(o, s)
     c = short.collect()[0]
     assert (c.urgency_tier, c.outlet_count, c.priority_score) == ("URGENT", 3, 6.0)
-    fs = transfer.fair_share(o, short, s)
+    fs = transfer.fair_share(o, short)
     rows = {r.location_id: r for r in fs.collect()}
     assert abs(sum(r.fair_share_qty for r in rows.values()) - 29) < 1e-9
     assert [rows[k].classification for k in ("L1", "L2", "L3")] == ["DONOR", "RECIPIENT", "RECIPIENT"]
