@@ -16,7 +16,7 @@ from stockloom.session import local_session
 
 HEADLINE = [
     "mov1_movement_analysis", "sel1_sellout", "alr1_movement_alerts", "sea2_seasonal_index", "sea3_smart_cv", "yoy1_comparison",
-    "lfl1_like_for_like", "abc1_abc_xyz", "smr1_rolling_sales", "smr7_movement_summary", "mon_monthly_analysis", "dsh2_inventory_supply",
+    "lfl1_like_for_like", "abc1_abc_xyz", "smr1_rolling_sales", "smr7_movement_summary", "mon2_to_mon10_monthly_analysis", "dsh2_inventory_supply",
     "mh1_must_have", "osi4_outlet_counts", "sug1_suggestions", "rot4_transfers_out", "rb3_rebalance", "po1_po_lines", "exp3_expiry_windows",
 ]
 

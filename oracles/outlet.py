@@ -247,9 +247,9 @@ SQL = {
     "xr2_peer_outlets": query("""SELECT w.location_id FROM staff s JOIN region_outlet w ON w.n_regionkey = s.n_regionkey WHERE s.staff_id = 'U2' AND s.is_active AND w.location_id <> s.primary_outlet"""),
     "rot4_transfers_out": query(rot(True)),
     "rot5_transfers_in": query(rot(False)),
-    "rot_one_outlet": query(f"""SELECT * FROM ({rot(True)}) WHERE from_outlet = 'L03' UNION ALL SELECT * FROM ({rot(False)}) WHERE to_outlet = 'L03'"""),
-    "rot3_overstock": query(f"""SELECT stock_id, location_id, tier AS velocity_tier, cat AS pattern_category, {lng('doi_max')} AS doi_threshold, {dbl('exc')} AS excess_qty FROM rot_have"""),
-    "rot1_tiers": query("SELECT stock_id, location_id, region, tier AS velocity_tier, cat AS pattern_category FROM rot_pos"),
+    "rot4_rot5_one_outlet": query(f"""SELECT * FROM ({rot(True)}) WHERE from_outlet = 'L03' UNION ALL SELECT * FROM ({rot(False)}) WHERE to_outlet = 'L03'"""),
+    "rot2_rot3_overstock": query(f"""SELECT stock_id, location_id, tier AS velocity_tier, cat AS pattern_category, {lng('doi_max')} AS doi_threshold, {dbl('exc')} AS excess_qty FROM rot_have"""),
+    "rot1_rot6_tiers_and_region": query("SELECT stock_id, location_id, region, tier AS velocity_tier, cat AS pattern_category FROM rot_pos"),
     "rb1_supply_constrained": query("SELECT * FROM rb_short"),
     "rb2_fair_share": query(f"""SELECT stock_id, location_id, {rnd('fair', 4)} AS fair_share_qty, {rnd('dev', 4)} AS fair_share_deviation, cls AS classification, {rnd('give', 4)} AS can_donate_qty, {rnd('want', 4)} AS need_qty FROM rb_share"""),
     "rb3_rebalance": query(f"SELECT * FROM ({RB}) ORDER BY priority_score DESC, transfer_qty DESC, stock_id, from_outlet, to_outlet LIMIT 500"),

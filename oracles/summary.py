@@ -146,7 +146,7 @@ SQL = {
         FROM summary_table s LEFT JOIN last_buy b ON b.stock_id = s.stock_id AND b.uom_id = s.order_uom
         LEFT JOIN stock_master m ON m.stock_id = s.stock_id AND m.uom_id = s.order_uom"""),
     "mon1_monthly_pivot": query(f"SELECT stock_id, {', '.join(f'{dbl(m)} AS {m}' for m in MON)} FROM pivot12"),
-    "mon_monthly_analysis": query("SELECT * FROM monthly_table"),
+    "mon2_to_mon10_monthly_analysis": query("SELECT * FROM monthly_table"),
     "mon11_monthly_stats": query(f"""SELECT {', '.join(f"{cnt(f"seasonality_type = '{v}'")} AS {v.lower()}" for v in ('HIGHLY_SEASONAL', 'MODERATELY_SEASONAL', 'STABLE', 'DEAD'))},
         {', '.join(f"{cnt(f"velocity_category = '{v}'")} AS {v.lower()}" for v in ('FAST', 'MEDIUM', 'SLOW'))},
         {', '.join(f"{cnt(f"reorder_recommendation = '{v}'")} AS {v.lower()}" for v in ('ORDER_NOW', 'ORDER_SOON', 'STOP_ORDERING'))},

@@ -33,11 +33,20 @@ def invoice_sales(T) -> DataFrame:
 
 
 def period(df: DataFrame, start=None, end=None, location=None, stock=None, date_col="doc_date") -> DataFrame:
-    """Rows from start (inclusive) to end (exclusive), optionally of one location or stock."""
+    """Rows from start (inclusive) to end (exclusive), optionally of one location or stock.
+
+    A fact stored by month is also filtered on its month, so older folders are
+    not even listed.
+    """
+    by_month = "month" in df.columns
     if start is not None:
         df = df.filter(F.col(date_col) >= start)
+        if by_month:
+            df = df.filter(F.col("month") >= F.trunc(start, "month"))
     if end is not None:
         df = df.filter(F.col(date_col) < end)
+        if by_month:
+            df = df.filter(F.col("month") < end)
     if location is not None:
         df = df.filter(F.col("location_id") == location)
     if stock is not None:
@@ -133,9 +142,7 @@ def valued_balance(T) -> DataFrame:
 
 def v_monthly_sales(T, as_of, months=24) -> DataFrame:
     """SRC-9: ledger sales per stock, unit and month over two years."""
-    led = T.stock_ledger.filter(
-        F.col("doc_type").isin(config.SALES_DOC_TYPES) & (F.col("doc_date") >= F.add_months(day(as_of), -months))
-    )
+    led = period(T.stock_ledger, F.add_months(day(as_of), -months)).filter(F.col("doc_type").isin(config.SALES_DOC_TYPES))
     # outlets first: the distinct count then needs no row expansion
     per_outlet = led.groupBy("stock_id", "uom_id", F.trunc("doc_date", "month").alias("sale_month"), "location_id").agg(
         F.sum("qty_out").alias("q"), F.sum(F.col("qty_out") * F.col("unit_price")).alias("r")

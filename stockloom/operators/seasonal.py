@@ -13,8 +13,12 @@ PEAK_INDEX, TROUGH_INDEX = 1.3, 0.7
 
 
 def _calendar(monthly: DataFrame) -> DataFrame:
-    """Monthly rows to one row per (stock, calendar month): at most twelve a stock."""
-    return monthly.groupBy("stock_id", F.month("month").alias("month_num")).agg(
+    """Monthly rows to one row per (stock, calendar month): at most twelve a stock.
+
+    Month sums are few per stock, so one exchange on the stock serves this sum
+    and the next.
+    """
+    return monthly.repartition("stock_id").groupBy("stock_id", F.month("month").alias("month_num")).agg(
         F.sum("qty").alias("s"),
         F.sum(F.col("qty").cast("decimal(18,4)") * F.col("qty").cast("decimal(18,4)")).alias("q"),
         F.count("month").alias("n"),
@@ -100,7 +104,7 @@ def smart_cv(T, as_of, stock=None, months: int = 12, min_months: int = 6, limit:
     sales = facts.period(facts.cash_sales(T, costed=False), days_before(as_of, months * 30), stock=stock)
     days = sales.groupBy("stock_id", "doc_date").agg(F.sum("qty").alias("qty"), F.bool_or("has_promo").alias("promo"))
     clean = F.sum(F.when(~F.col("promo"), F.col("qty")).otherwise(F.lit(0)))
-    per_month = days.groupBy("stock_id", F.trunc("doc_date", "month").alias("month")).agg(
+    per_month = days.repartition("stock_id").groupBy("stock_id", F.trunc("doc_date", "month").alias("month")).agg(
         F.sum("qty").cast("decimal(18,4)").alias("q"), clean.cast("decimal(18,4)").alias("c"), F.bool_or("promo").alias("promo")
     )
     st = per_month.groupBy("stock_id").agg(

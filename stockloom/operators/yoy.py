@@ -29,6 +29,8 @@ def _two_periods(sales: DataFrame, as_of, month):
     d = F.col("doc_date")
     in_this = (d >= day(this[0])) & (d < day(this[1]))
     in_last = (d >= day(last[0])) & (d < day(last[1]))
+    if "month" in sales.columns:
+        sales = sales.filter(F.col("month").isin(this[0], last[0]))
     return sales.filter(in_this | in_last), in_this, in_last
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockloom import config
 from stockloom.functions.expr import count_if, day, dbl, first_match, ratio, rnd
+from stockloom.operators.facts import period
 
 MONTHS = [f"qty_m{i}" for i in range(1, 13)]
 
@@ -18,7 +19,7 @@ def monthly_pivot(ledger: DataFrame, as_of) -> DataFrame:
     returns shows as 0 once the stock sold in any other month.
     """
     this = F.trunc(day(as_of), "month")
-    sold = ledger.filter(F.col("doc_type").isin(config.SALES_DOC_TYPES) & (F.col("doc_date") >= F.add_months(this, -12)))
+    sold = period(ledger, F.add_months(this, -12)).filter(F.col("doc_type").isin(config.SALES_DOC_TYPES))
     per_month = sold.groupBy("stock_id", F.trunc("doc_date", "month").alias("month")).agg(F.sum("root_uom_qty_out").alias("qty"))
     pick = [
         F.max(F.when(F.col("month") == F.add_months(this, -i), F.col("qty")).otherwise(F.lit(0))).cast("decimal(28,4)").alias(m)

@@ -108,7 +108,7 @@ query("lpc2_unit_cost")(
 query("mon1_monthly_pivot")(
     lambda T: monthly.monthly_pivot(T.stock_ledger, AS_OF).select("stock_id", *[dbl(m).alias(m) for m in monthly.MONTHS])
 )
-query("mon_monthly_analysis")(_monthly)
+query("mon2_to_mon10_monthly_analysis")(_monthly)
 query("mon11_monthly_stats")(lambda T: monthly.monthly_stats(_monthly(T)))
 query("src9_v_monthly_sales")(lambda T: facts.v_monthly_sales(T, AS_OF))
 query("src10_v_sku_intelligence")(lambda T: facts.v_sku_intelligence(_monthly(T)))
@@ -272,20 +272,20 @@ def _own_peers(T, staff_id):
 
 # --- rotation and rebalancing -----------------------------------------------
 
-query("rot1_tiers")(
+query("rot1_rot6_tiers_and_region")(
     lambda T: transfer.positions(T.outlet_sku, T.sku_summary).select(
         "stock_id", "location_id", "region", transfer.velocity_tier(F.col("ams"), F.col("rate")).alias("velocity_tier"),
         transfer.pattern_category(F.col("pattern")).alias("pattern_category"),
     )
 )
-query("rot3_overstock")(
+query("rot2_rot3_overstock")(
     lambda T: transfer.excess(transfer.positions(T.outlet_sku, T.sku_summary)).select(
         "stock_id", "location_id", "velocity_tier", "pattern_category", lng("doi_threshold").alias("doi_threshold"), dbl("excess_qty").alias("excess_qty")
     )
 )
 query("rot4_transfers_out")(lambda T: transfer.transfers_out(T.outlet_sku, T.sku_summary))
 query("rot5_transfers_in")(lambda T: transfer.transfers_in(T.outlet_sku, T.sku_summary))
-query("rot_one_outlet")(lambda T: transfer.rotation(T.outlet_sku, T.sku_summary, "L03"))
+query("rot4_rot5_one_outlet")(lambda T: transfer.rotation(T.outlet_sku, T.sku_summary, "L03"))
 query("rb1_supply_constrained")(
     lambda T: _doubles(transfer.supply_constrained(T.outlet_sku, T.sku_summary).drop("summary_rate"), "total_balance", "total_ams")
 )

@@ -1,7 +1,7 @@
 """Canonical tables on Parquet, and the database connector.
 
-Large facts are stored by month, so every "last N days" operator prunes to the
-folders it needs before reading a byte.
+Large facts are stored by month; operators over a period filter on that month
+too, so they read only the folders they need.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from stockloom.sources.schemas import SCHEMAS
 
@@ -46,7 +47,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         schema = SCHEMAS[name]
         if name in MONTHLY:
-            schema = schema.add("month", "date") if "month" not in schema.names else schema
+            schema = StructType(schema.fields + [StructField("month", DateType())])
         reader = reader.schema(schema)
     return reader.parquet(os.path.join(root, name))
 
@@ -63,11 +64,6 @@ def write_table(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
-def months_since(df: DataFrame, first_day) -> DataFrame:
-    """Partition filter for a monthly fact: folders at or after a day's month."""
-    return df.filter(F.col("month") >= F.trunc(F.lit(first_day).cast("date"), "month"))
-
-
 def jdbc_options(url: str, table: str, column: str, lower, upper, partitions: int, **extra) -> dict:
     """Options for a parallel database read split over a numeric or date column."""
     return {

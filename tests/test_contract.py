@@ -44,6 +44,11 @@ def test_stored_tables_round_trip(spark, tmp_path):
 
     a, b = movement_analysis(stored, AS_OF, "L1").collect(), movement_analysis(T, AS_OF, "L1").collect()
     assert a == b and len(a) == 1
+    plan = movement_analysis(stored, AS_OF, "L1")._jdf.queryExecution().executedPlan().toString()
+    assert any("month#" in part.split("PushedFilters")[0] for part in plan.split("PartitionFilters: [")[1:])
+    from stockloom.operators.yoy import lfl
+
+    assert lfl(stored, AS_OF).collect() == lfl(T, AS_OF).collect()
 
 
 def test_jdbc_options_split_the_read():
