@@ -84,25 +84,24 @@ def all_batches(T) -> DataFrame:
 
 
 def window_label(days):
-    edges = [(days < 0, 0), (days <= 30, 1), (days <= 60, 2), (days <= 90, 3), (days <= 180, 4)]
-    return first_match([(c, config.EXPIRY_WINDOWS[i]) for c, i in edges], config.EXPIRY_WINDOWS[5])
+    """Time window by days to expiry, NULL without a date."""
+    edges = [days < 0, days <= 30, days <= 60, days <= 90, days <= 180, days > 180]
+    return first_match(list(zip(edges, config.EXPIRY_WINDOWS)))
 
 
 def expiry_windows(batches: DataFrame, as_of) -> DataFrame:
     """EXP-3: batches, units and value per time window for warehouse, outlets and together; empty windows as zero."""
-    b = batches.filter(F.col("expiry_date").isNotNull()).withColumn(
-        "expiry_window", window_label(F.datediff("expiry_date", day(as_of)))
+    # sums per day first: labels are then given to a few hundred days, not to every batch.
+    # Batches without a date get no label and meet no window in the join below.
+    per_day = batches.groupBy("expiry_date", (F.col("location_id") == config.WAREHOUSE).alias("here")).agg(
+        F.count("stock_id").alias("n"), F.sum(F.col("qty").cast("bigint")).alias("units"), F.sum(F.col("qty") * F.col("unit_cost")).alias("value")
     )
-    here = F.col("location_id") == config.WAREHOUSE
+    b = per_day.withColumn("expiry_window", window_label(F.datediff("expiry_date", day(as_of))))
+    here = F.col("here")
     scopes = {"warehouse": here, "outlet": ~here, "total": F.lit(True)}
-    units, value = F.col("qty").cast("bigint"), F.col("qty") * F.col("unit_cost")
     sums = []
     for name, cond in scopes.items():
-        sums += [
-            F.count_if(cond).alias(f"{name}_batches"),
-            F.sum(F.when(cond, units)).alias(f"{name}_units"),
-            F.sum(F.when(cond, value)).alias(f"{name}_value"),
-        ]
+        sums += [F.sum(F.when(cond, F.col(m))).alias(f"{name}_{out}") for m, out in (("n", "batches"), ("units", "units"), ("value", "value"))]
     found = b.groupBy("expiry_window").agg(*sums)
     names = batches.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in config.EXPIRY_WINDOWS])).alias("expiry_window"))
     out = names.join(found, "expiry_window", "left")
