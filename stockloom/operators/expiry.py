@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom import config
-from stockloom.functions.expr import count_if, day, dbl, first_match, lng, rnd, top
+from stockloom.functions.expr import count_if, day, dbl, lng, rnd, top
 from stockloom.operators import facts
 
 INBOUND = ["SUP_INVOICE", "RECEIVE"]
@@ -83,34 +83,28 @@ def all_batches(T) -> DataFrame:
     return _remaining(T, warehouse=True, outlets=True)
 
 
-def window_label(days):
-    """Time window by days to expiry, NULL without a date."""
-    edges = [days < 0, days <= 30, days <= 60, days <= 90, days <= 180, days > 180]
-    return first_match(list(zip(edges, config.EXPIRY_WINDOWS)))
-
-
 def expiry_windows(batches: DataFrame, as_of) -> DataFrame:
     """EXP-3: batches, units and value per time window for warehouse, outlets and together; empty windows as zero."""
-    # sums per day first: labels are then given to a few hundred days, not to every batch.
-    # Batches without a date get no label and meet no window in the join below.
-    per_day = batches.groupBy("expiry_date", (F.col("location_id") == config.WAREHOUSE).alias("here")).agg(
-        F.count("stock_id").alias("n"), F.sum(F.col("qty").cast("bigint")).alias("units"), F.sum(F.col("qty") * F.col("unit_cost")).alias("value")
+    # sums per day first, then all windows in one row that is turned into six:
+    # a join on a window label would push its long CASE down to every batch line
+    per_day = batches.groupBy("expiry_date", "location_id").agg(
+        F.count("stock_id").alias("batches"), F.sum(F.col("qty").cast("bigint")).alias("units"), F.sum(F.col("qty") * F.col("unit_cost")).alias("value")
     )
-    b = per_day.withColumn("expiry_window", window_label(F.datediff("expiry_date", day(as_of))))
-    here = F.col("here")
+    b = per_day.select(F.datediff("expiry_date", day(as_of)).alias("days"), (F.col("location_id") == config.WAREHOUSE).alias("here"), "batches", "units", "value")
+    days, here = F.col("days"), F.col("here")
+    edges = [days < 0, days.between(0, 30), days.between(31, 60), days.between(61, 90), days.between(91, 180), days > 180]
     scopes = {"warehouse": here, "outlet": ~here, "total": F.lit(True)}
-    sums = []
-    for name, cond in scopes.items():
-        sums += [F.sum(F.when(cond, F.col(m))).alias(f"{name}_{out}") for m, out in (("n", "batches"), ("units", "units"), ("value", "value"))]
-    found = b.groupBy("expiry_window").agg(*sums)
-    names = batches.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in config.EXPIRY_WINDOWS])).alias("expiry_window"))
-    out = names.join(found, "expiry_window", "left")
-    zero = F.lit(0)
-    return out.select(
-        "expiry_window",
-        *[lng(F.coalesce(f"{n}_{m}", zero)).alias(f"{n}_{m}") for n in scopes for m in ("batches", "units")],
-        *[rnd(F.coalesce(f"{n}_value", zero), 2).alias(f"{n}_value") for n in scopes],
-    )
+    measures = ("batches", "units", "value")
+    sums = [
+        F.coalesce(F.sum(F.when(edge & cond, F.col(m))), F.lit(0)).alias(f"w{i}_{n}_{m}")
+        for i, edge in enumerate(edges) for n, cond in scopes.items() for m in measures
+    ]
+    shown = {"batches": lng, "units": lng, "value": lambda c: rnd(c, 2)}
+    six = F.array(*[
+        F.struct(F.lit(name).alias("expiry_window"), *[shown[m](f"w{i}_{n}_{m}").alias(f"{n}_{m}") for m in measures for n in scopes])
+        for i, name in enumerate(config.EXPIRY_WINDOWS)
+    ])
+    return b.agg(*sums).select(F.inline(six))
 
 
 def at_risk(windows: DataFrame) -> DataFrame:
