@@ -1,7 +1,10 @@
 """Registered corpus queries; none has SQL that could run over whole tables in reasonable time."""
 
+from stockloom.llm.packing import op10_hierarchical_packing
+from stockloom.llm.prefixcount import op4_prefix_token_counts
 from stockloom.llm.simhash import op8_simhash_covering_lsh
 from stockloom.llm.warc import op6_warc_round_trip
+from stockloom.llm.wavelet import op1_wavelet_shards
 
-QUERIES = {f.__name__: f for f in (op6_warc_round_trip, op8_simhash_covering_lsh)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op4_prefix_token_counts, op6_warc_round_trip, op8_simhash_covering_lsh, op10_hierarchical_packing)}
 SQL: dict[str, str] = {}
