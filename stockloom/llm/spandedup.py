@@ -7,9 +7,10 @@ sorted apart, so equal strings are first brought together:
 1. Every string of LENGTH bytes has an anchor: the place in it where a hash of
    GRAM bytes is smallest. Equal strings have equal anchors, and neighbouring strings
    mostly share one, so only one place in eighteen is an anchor.
-2. Anchors that occur under one doc_id only cannot matter. A bit table of the others
-   (at most 2^MOST_BITS bits, whatever the corpus) lets tasks drop most of their text;
-   a false hit costs time, never a result.
+2. Anchors that occur under one doc_id only cannot matter. Tasks send hashes in packed
+   rows by bucket, with at most two doc_ids of each. A bit table of the anchors that several
+   documents have (at most 2^MOST_BITS bits, whatever the corpus) then lets tasks drop most
+   of their text; a false hit costs time, never a result.
 3. What is left goes on as pieces: the run of strings of one anchor. Equal pieces are merged
    before they are shuffled, with the smallest and largest doc_id they have, so a passage that a third of
    the documents share is one row for each task. An anchor with very many different pieces
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ GRAM = 16
 SHARD = 2 << 20
 #: Bits for each anchor that several documents have, and at most so many in all (as a power of two).
 BITS_EACH, MOST_BITS = 16, 28
+#: Anchors, and different pieces, that a task gathers before it passes them on.
+GATHERED, MERGED = 4_000_000, 200_000
 #: Different pieces of one anchor above which it is split by its strings.
 CROWD = 20_000
 #: Sorts after every document.
@@ -134,50 +138,153 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col("text").cast("string").alias("text"))
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, key): the anchors of each document."""
+def outermost(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once with its smallest key, and once more with the largest if that differs; in order of keys."""
+    order = np.lexsort((key, h))
+    h, key = h[order], key[order]
+    first = np.nonzero(np.append(True, h[1:] != h[:-1])[: len(h)])[0]
+    last = np.append(first[1:], len(h)) - 1
+    at = np.concatenate([first, last[key[last] != key[first]]])
+    at = at[np.argsort(key[at], kind="stable")]
+    return h[at], key[at]
+
+
+def shared_anchors(docs: DataFrame) -> DataFrame:
+    """(h): anchors that documents of different keys have.
+
+    A task's anchors go out as a few long rows, one for each bucket of hashes: six
+    bytes a hash, and the keys as differences.
+    """
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = HASH_BITS // 8
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            h, key = outermost(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b] < cut[b + 1]]
+            hashes = [h[i].view(np.uint8).reshape(-1, 8)[:, :size].tobytes() for _, i in rows]
+            keys = [np.diff(key[i], prepend=0).tobytes() for _, i in rows]
+            return pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array(hashes, pa.binary()), pa.array(keys, pa.binary())], names=["bucket", "hashes", "keys"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data, ends, keys, _ in blocks(b):
                 h, _, _, text = anchors(data, ends)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(keys[text])], names=["h", "key"])
+                held.append((h, keys[text]))
+                n += len(h)
+            if n > GATHERED:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
 
-    return docs.mapInArrow(run, "h long, key long")
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, _ = outermost(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            h.sort()
+            several = h[:-1][h[1:] == h[:-1]]
+            for i in range(0, len(several), 10_000):
+                yield pa.record_batch([pa.array(several[i : i + 10_000].view(np.int64))], names=["h"])
+
+        for b in batches:
+            for bucket, hashes, keys in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if held and bucket != now:
+                    yield from out()
+                    held = []
+                now = bucket
+                raw = np.frombuffer(hashes.as_py(), np.uint8).reshape(-1, size)
+                wide = np.zeros((len(raw), 8), np.uint8)
+                wide[:, :size] = raw
+                held.append((wide.view(np.uint64).reshape(-1), np.cumsum(np.frombuffer(keys.as_py(), np.int64))))
+        if held:
+            yield from out()
+
+    sent = docs.mapInArrow(send, "bucket int, hashes binary, keys binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "h long")
+
+
+def slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places of each hash in a table of 2^bits bits."""
+    return [h >> np.uint64(HASH_BITS - bits), (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)]
 
 
 def bit_table(shared: DataFrame) -> np.ndarray:
-    """A table of bits, a power of two of them, with those of the hashes h set; built by Spark, bounded by MOST_BITS."""
+    """A table of a power of two of bits with those of the hashes h set: built by tasks, bounded by MOST_BITS."""
     n = shared.count()
     bits = min(MOST_BITS, max(10, (n * BITS_EACH).bit_length()))
-    slots = shared.select(F.shiftrightunsigned("h", HASH_BITS - bits).alias("slot"))
-    words = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("b")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = np.concatenate(slots(b.column(0).to_numpy().view(np.uint64), bits)).astype(np.int64)
+            yield pa.record_batch([pa.array(slot >> 6), pa.array(np.int64(1) << (slot & 63))], names=["w", "b"])
+
+    words = shared.mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return table.view(np.uint64)
 
 
 def piece_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, piece, key, at): runs of strings whose anchor may be shared; `at` is where the piece starts in its document."""
+    """Runs of strings whose anchor may be shared, as rows of two kinds.
+
+    (h, id, key, at) says where a piece starts in a document; (h, id, piece, low,
+    high) gives a piece with the smallest and largest key that the task met it under. `id` is a
+    hash of the piece.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    names = ["h", "id", "key", "at", "piece", "low", "high"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        shift = np.uint64(HASH_BITS - (len(bits) * 64).bit_length() + 1)
+        width = (len(bits) * 64).bit_length() - 1
+        seen: dict[bytes, list[int]] = {}
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            rows = list(seen.items())
+            seen.clear()
+            for i in range(0, len(rows), 20_000):
+                part = rows[i : i + 20_000]
+                n = [None] * len(part)
+                columns = [[v[0] for _, v in part], [v[1] for _, v in part], n, n, [p for p, _ in part], [v[2] for _, v in part], [v[3] for _, v in part]]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
         for b in batches:
             for data, ends, keys, offset in blocks(b):
                 h, first, last, text = anchors(data, ends)
-                slot = h >> shift
-                hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                h, first, last, text = h[hit], first[hit], last[hit], text[hit]
-                raw = data.tobytes()
-                for i in range(0, len(h), 50_000):
-                    part = slice(i, i + 50_000)
-                    pieces = [raw[s : e + LENGTH] for s, e in zip(first[part].tolist(), last[part].tolist())]
-                    at = first[part] - ends[text[part]] + offset[text[part]]
-                    yield pa.record_batch([pa.array(h[part].view(np.int64)), pa.array(pieces, pa.binary()), pa.array(keys[text[part]]), pa.array(at)], names=["h", "piece", "key", "at"])
-
-    return docs.mapInArrow(run, "h long, piece binary, key long, at long")
+                hit = np.ones(len(h), bool)
+                for slot in slots(h, width):
+                    hit &= (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                h, first, last, text = h[hit].view(np.int64), first[hit], last[hit], text[hit]
+                raw, key, at = data.tobytes(), keys[text], first - ends[text] + offset[text]
+                ids = []
+                for x, s, e, k in zip(h.tolist(), first.tolist(), last.tolist(), key.tolist()):
+                    piece = raw[s : e + LENGTH]
+                    had = seen.get(piece)
+                    if had is None:
+                        had = seen[piece] = [x, xxhash.xxh64_intdigest(piece) - (1 << 63), k, k]
+                    elif k < had[2]:
+                        had[2] = k
+                    elif k > had[3]:
+                        had[3] = k
+                    ids.append(had[1])
+                for i in range(0, len(h), 20_000):
+                    part = slice(i, i + 20_000)
+                    n = len(ids[part])
+                    yield pa.record_batch([pa.array(h[part]), pa.array(ids[part], pa.int64()), pa.array(key[part]), pa.array(at[part]), *(pa.nulls(n, k) for k in kinds[4:])], names=names)
+                if len(seen) > MERGED:
+                    yield from merged()
+        yield from merged()
+
+    return docs.mapInArrow(run, "h long, id long, key long, at long, piece binary, low long, high long")
 
 
 def earliest(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,58 +320,66 @@ def runs(owner: np.ndarray, offset: np.ndarray, value: np.ndarray, wanted: np.nd
     return owner[first], offset[first], offset[following - 1], value[first]
 
 
-def shard_runs(merged: DataFrame) -> DataFrame:
+def shard_runs(pieces: DataFrame) -> DataFrame:
     """(h, id, a, b, least): strings a..b of piece id first occur in document `least`.
 
-    merged: (h, piece, low, high), pieces distinct; only strings that some document after `least` holds are given.
+    pieces: (h, id, piece, low, high); rows of one piece are merged. Only strings that
+    some document after `least` holds are given.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int, int, int]] = []
+        held: dict[bytes, list[int]] = {}
         size, last = 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
-            h, pieces, low, high, ids = zip(*held)
-            high_a = np.array(high, np.int64)
-            owner, offset, value = earliest(list(pieces), np.array(low, np.int64))
-            piece, a, b, least = runs(owner, offset, value, value < high_a[owner])
-            yield pa.record_batch([pa.array(np.array(h, np.int64)[piece]), pa.array(np.array(ids, np.int64)[piece]), pa.array(a), pa.array(b), pa.array(least)], names=["h", "id", "a", "b", "least"])
-
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if held and size >= SHARD and row[0] != last:
+            h, ids, low, high = (np.array(c, np.int64) for c in zip(*held.values()))
+            owner, offset, value = earliest(list(held), low)
+            piece, a, b, least = runs(owner, offset, value, value < high[owner])
+            for i in range(0, len(piece), 10_000):
+                part = slice(i, i + 10_000)
+                yield pa.record_batch([pa.array(c[part]) for c in (h[piece], ids[piece], a, b, least)], names=["h", "id", "a", "b", "least"])
+
+        for batch in batches:
+            for h, key, piece, low, high in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if held and size >= SHARD and h != last:
                     yield from close()
-                    held, size = [], 0
-                held.append(row)
-                last = row[0]
-                size += len(row[1]) + 1
+                    held, size = {}, 0
+                last = h
+                had = held.get(piece)
+                if had is None:
+                    held[piece] = [h, key, low, high]
+                    size += len(piece) + 1
+                else:
+                    had[2], had[3] = min(had[2], low), max(had[3], high)
         if held:
             yield from close()
 
-    rows = merged.select("h", "piece", "low", "high", F.xxhash64("piece").alias("id"))
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, id long, a long, b long, least long")
+    return pieces.select("h", "id", "piece", "low", "high").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, id long, a long, b long, least long")
+
+
+def crowd_runs(pieces: DataFrame) -> DataFrame:
+    """As shard_runs, for anchors with very many pieces: their strings one by one, each its own anchor."""
+    strings = pieces.select("h", "id", "low", "high", "piece", F.explode(F.expr(f"sequence(0, length(piece) - {LENGTH})")).alias("a"))
+    strings = strings.withColumn("piece", F.expr(f"substring(piece, a + 1, {LENGTH})")).withColumn("s", F.xxhash64("piece"))
+    own = strings.groupBy("s", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    lone = shard_runs(own.select(F.col("s").alias("h"), F.col("s").alias("id"), "piece", "low", "high")).groupBy(F.col("h").alias("s")).agg(F.min("least").alias("least"))
+    a = F.col("a").cast("long")
+    return strings.join(lone, "s").where("least < high").select("h", "id", a.alias("a"), a.alias("b"), "least").distinct()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, start, stop): byte spans of documents that are to be removed; spans may overlap."""
     small_text_batches(docs.sparkSession)
     texts = keyed(docs)
-    shared = stored(anchor_rows(texts).groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h"), "spans-anchors")
-    pieces = stored(piece_rows(texts, bit_table(shared)), "spans-pieces")
-    merged = stored(pieces.groupBy("h", "piece").agg(F.min("key").alias("low"), F.max("key").alias("high")), "spans-merged")
-    crowds = merged.groupBy("h").agg(F.count("*").alias("n"), F.min("low").alias("l"), F.max("high").alias("g"))
-    some = crowds.where((F.col("n") <= CROWD) & (F.col("l") < F.col("g"))).select("h")
-    found = shard_runs(merged.join(some, "h", "left_semi"))
-    # anchors with very many pieces: their strings one by one, each anew its own anchor
-    crowd = crowds.where(F.col("n") > CROWD).select("h")
-    strings = merged.join(crowd, "h", "left_semi").select("h", F.xxhash64("piece").alias("id"), "low", "high", F.explode(F.expr(f"sequence(0, length(piece) - {LENGTH})")).alias("a"), "piece")
-    strings = strings.withColumn("piece", F.expr(f"substring(piece, a + 1, {LENGTH})")).withColumn("s", F.xxhash64("piece"))
-    own = strings.groupBy("s", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    lone = shard_runs(own.select(F.col("s").alias("h"), "piece", "low", "high")).select(F.col("h").alias("s"), "least").distinct()
-    split = strings.join(lone, "s").where("least < high").select("h", "id", F.col("a").cast("long").alias("a"), F.col("a").cast("long").alias("b"), "least")
-    spans = found.unionByName(split)
-    held = pieces.select("h", F.xxhash64("piece").alias("id"), "key", "at")
-    return held.join(spans, ["h", "id"]).where("least < key").select("key", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + LENGTH).alias("stop"))
+    both = stored(piece_rows(texts, bit_table(stored(shared_anchors(texts), "spans-anchors"))), "spans-pieces")
+    pieces = both.where("piece is not null").select("h", "id", "piece", "low", "high")
+    crowd = stored(pieces.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h"), "spans-crowds")
+    if crowd.isEmpty():
+        found = shard_runs(pieces)
+    else:
+        found = shard_runs(pieces.join(crowd, "h", "left_anti")).unionByName(crowd_runs(pieces.join(crowd, "h", "left_semi")))
+    held = both.where("key is not null").select("h", "id", "key", "at")
+    return held.join(found, ["h", "id"]).where("least < key").select("key", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + LENGTH).alias("stop"))
 
 
 def merged_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
