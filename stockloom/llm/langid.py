@@ -132,17 +132,21 @@ def strings(column: pa.Array) -> list[str]:
 
 
 def sample(labelled: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Feature rows and languages of at most SAMPLE rows (lang, text), chosen by hash, every language alike.
+    """Feature rows and languages of at most SAMPLE rows (doc_id, lang, text), chosen by hash, every language alike.
 
     Texts become fixed-size bit rows in the executors; only those reach the driver.
+    A first cut by hash, with twice the rows wanted of each language, keeps all other
+    texts out of the shuffle.
     """
     small_text_batches(labelled.sparkSession)
-    frequent = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    frequent = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not frequent:
         return np.zeros((0, DIM), np.uint8), []
     each = max(1, min(PER_LANGUAGE, SAMPLE // len(frequent)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = labelled.where(F.col("lang").isin(frequent)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for lang, n in frequent.items() for x in (lang, min(1.0, (2 * each + 20) / n))])[F.col("lang")]
+    drawn = labelled.withColumn("r", F.xxhash64(F.col("doc_id").cast("string"), "text")).where(F.pmod("r", F.lit(1 << 30)) < share * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("r", "text")
+    chosen = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,24 +168,26 @@ def part_of(column: Column, parts: int) -> Column:
 def train(docs: DataFrame) -> Model | None:
     """Learn from documents with a language and a text that has a letter, outside the held-out quarter."""
     ours = docs.where("lang is not null and text rlike '\\\\p{L}'").where(F.coalesce(part_of(F.col("doc_id"), 4) != 2, F.lit(True)))
-    return Model.learn(*sample(ours.select(F.col("lang").cast("string"), F.col("text").cast("string"))))
+    return Model.learn(*sample(ours.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))))
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of each document with lang_pred and score, predicted from text alone."""
     small_text_batches(docs.sparkSession)
-    rows = docs.select(*(keep or ["doc_id"]), F.col("text").cast("string").alias("_text"))
-    fields = rows.schema.fields[:-1]
-    names = [f.name for f in fields] + ["lang_pred", "score"]
+    keep = keep or ["doc_id"]
+    rows = docs.select(*(c for c in keep if c != "text"), F.col("text").cast("string"))
+    others = [c for c in rows.columns if c != "text"]
+    names = others + ["text"] * ("text" in keep) + ["lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = strings(b.column(b.num_columns - 1))
             lang, score = model.predict(texts) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
+            kept = b.columns if "text" in names else b.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    schema = rows.select(*names[:-2]).schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema).select(*keep, "lang_pred", "score")
 
 
 def op7_string_kernel_language(spark, sf_dir: str) -> DataFrame:

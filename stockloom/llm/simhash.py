@@ -18,11 +18,19 @@ Nulls and empty texts have no word and get fingerprint zero, which is linked
 like any other. Repeated rows each give a row. Rows with a null doc_id get a
 fingerprint and a component, but name no component: its id is the smallest
 non-null doc_id, or null if there is none. Other columns are ignored.
+
+`near_copies` is the form for deduplication by similarity of word shingles. A
+similarity of 0.8 may move ten of a fingerprint's 64 bits, too many for a
+covering of the whole. So texts are cut into passages at words chosen by their hash;
+a text keeps the fingerprints of PASSAGES of them, those of the smallest hashes, as a
+minimum-hash sketch does. Passages linked as above make candidates of the documents that
+hold them and the first and last of those documents, and 128 bits of SimHash over the whole texts decide.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +46,8 @@ BITS = 64
 #: Distinct fingerprints of a bucket that are compared in one go.
 BUCKET = 1024
 SEED = 42
+#: near_copies: mean words of a passage, passages kept of each text, bits of a whole text's sketch that may differ.
+PASSAGE_WORDS, PASSAGES, FAR = 10, 12, 30
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -45,18 +55,23 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash over the word shingles, repeats included."""
-    words = words_of(text)
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of `shingle` words joined by a space; of all words if there are fewer."""
     flat = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[s:e], seed) for s, e in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist())], "<u8")
+    return np.array([digest(flat[s:e], seed) for s, e in zip(start[: len(words) - k + 1].tolist(), end[k - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: bytes, shingle: int, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash over the word shingles, repeats included."""
+    words = words_of(text)
+    if not words:
+        return 0
+    hashes = shingle_hashes(words, shingle, seed)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
         part = hashes[at : at + (1 << 16)]
@@ -201,6 +216,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return fps.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64 well-mixed bits of each hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sketch(text: bytes, shingle: int) -> tuple[int, int, list[int]]:
+    """(two words of SimHash over the whole text, fingerprints of its chosen passages), all signed."""
+    words = words_of(text)
+    if not words:
+        return 0, 0, [0]
+    hashes = shingle_hashes(words, shingle)
+    chosen = np.fromiter(map(zlib.crc32, words[: len(hashes)]), np.uint32, len(hashes)) % PASSAGE_WORDS == 0
+    chosen[0] = True
+    starts = np.nonzero(chosen)[0]
+    sizes = np.diff(np.append(starts, len(hashes)))
+    ones = np.zeros((len(starts), 2 * BITS), np.int64)
+    for at in range(0, len(starts), 1 << 12):  # bounded memory for very long texts
+        first, last = starts[at], starts[at + (1 << 12)] if at + (1 << 12) < len(starts) else len(hashes)
+        part = np.stack([hashes[first:last], mixed(hashes[first:last])], axis=1)
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+        ones[at : at + (1 << 12)] = np.add.reduceat(bits, starts[at : at + (1 << 12)] - first, axis=0, dtype=np.int64)
+    whole = np.packbits(ones.sum(axis=0) * 2 > len(hashes), bitorder="little").view("<i8")
+    fps = np.unique(np.packbits(ones[:, :BITS] * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8"))
+    kept = fps[np.argsort(mixed(fps), kind="stable")[:PASSAGES]]
+    return int(whole[0]), int(whole[1]), kept.view("<i8").tolist()
+
+
+def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) of documents that are near copies of others: the smallest doc_id of their group.
+
+    Documents without a near copy, and rows with a null doc_id, do not appear.
+    Rows that repeat a doc_id count as one document.
+    """
+    small_text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sketch(t, shingle) for t in text_bytes(b.column(1))]
+            a, c, fps = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch([b.column(0), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "x", "y", "fps"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    held = stored(rows.mapInArrow(run, "doc_id long, x long, y long, fps array<long>"), "copies-sketches")
+    passages = held.select("doc_id", F.explode("fps").alias("fp"))
+    distinct = stored(passages.select("fp").distinct(), "copies-passages")
+    roots = components(near_edges(distinct), "copies-classes")
+    classed = stored(passages.join(roots, passages.fp == roots.node, "left").select("doc_id", F.coalesce("root", "fp").alias("c")).distinct(), "copies-classed")
+    ends = classed.groupBy("c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    pairs = classed.join(ends, "c").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other").distinct()
+    left = held.select("doc_id", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    right = held.select(F.col("doc_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    far = F.bit_count(F.col("x1").bitwiseXOR(F.col("x2"))) + F.bit_count(F.col("y1").bitwiseXOR(F.col("y2")))
+    near = pairs.join(left, "doc_id").join(right, "other").where(far <= FAR)
+    found = components(near.select(F.col("doc_id").alias("a"), F.col("other").alias("b")), "copies-groups")
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
 def op8_simhash_covering_lsh(spark, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, fingerprint (16 hex digits), component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -433,6 +433,45 @@ def removal_report(docs: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def whole_characters(raw: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The removed runs, narrowed so that no UTF-8 character is cut."""
+    out = []
+    for s, e in gone:
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while s < e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        if s < e:
+            out.append((s, e))
+    return out
+
+
+def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, text and n_chars of documents after removal; a document of which nothing is left is dropped.
+
+    Only whole characters are removed. `columns` must not hold text or n_chars.
+    """
+    rows = with_spans(docs, columns)
+    names = [*columns, "text", "n_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts: list[str | None] = []
+            for raw, null, spans in zip(text_bytes(b.column(len(columns))), b.column(len(columns)).is_null().to_pylist(), b.column(len(columns) + 1)):
+                kept, at = [], 0
+                for s, e in whole_characters(raw, cut(raw, spans.as_py())[1]):
+                    kept.append(raw[at:s])
+                    at = e
+                texts.append(None if null else b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
+            empty = [spans.as_py() is not None and t == "" for t, spans in zip(texts, b.column(len(columns) + 1))]
+            size = [None if t is None else len(t) for t in texts]
+            out = pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(texts, pa.string()), pa.array(size, pa.int64())], names=names)
+            yield out.filter(pa.array([not x for x in empty], pa.bool_()))
+
+    schema = docs.select(*columns).schema.add("text", "string").add("n_chars", "long")
+    return rows.select(*columns, "_text", "spans").mapInArrow(run, schema)
+
+
 def op5_suffix_array_spans(spark, sf_dir: str) -> DataFrame:
     """Contract query: what is removed from each document, and the digest of what is kept."""
     return removal_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
