@@ -4,6 +4,8 @@ Each byte covered by a string of LENGTH bytes that also starts in a document of
 doc_id is removed. A suffix array of a whole corpus has no shards that could be
 sorted apart, so equal strings are first brought together:
 
+0. Documents with equal texts are merged: all strings of the later ones start in the first, which
+   alone goes on.
 1. Every string of LENGTH bytes has an anchor: the place in it where a hash of
    GRAM bytes is smallest. Equal strings have equal anchors, and neighbouring strings
    mostly share one, so only one place in eighteen is an anchor.
@@ -232,59 +234,65 @@ def bit_table(shared: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
-def piece_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """Runs of strings whose anchor may be shared, as rows of two kinds.
+def shared_runs(batch: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+    """(anchor, piece, document, place in it) of the runs whose anchor the bit table has, by block of texts."""
+    width = (len(bits) * 64).bit_length() - 1
+    for data, ends, keys, offset in blocks(batch):
+        h, first, last, text = anchors(data, ends)
+        hit = np.ones(len(h), bool)
+        for slot in slots(h, width):
+            hit &= (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        h, first, last, text = h[hit].view(np.int64), first[hit], last[hit], text[hit]
+        raw = data.tobytes()
+        yield h, [raw[s : e + LENGTH] for s, e in zip(first.tolist(), last.tolist())], keys[text], first - ends[text] + offset[text]
 
-    (h, id, key, at) says where a piece starts in a document; (h, id, piece, low,
-    high) gives a piece with the smallest and largest key that the task met it under. `id` is a
-    hash of the piece.
-    """
+
+def piece_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """(h, piece, low, high): pieces whose anchor may be shared, with the smallest and largest key that a task met each under."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    names = ["h", "id", "key", "at", "piece", "low", "high"]
-    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        width = (len(bits) * 64).bit_length() - 1
         seen: dict[bytes, list[int]] = {}
 
         def merged() -> Iterator[pa.RecordBatch]:
-            rows = list(seen.items())
+            rows = [(h, piece, low, high) for piece, (h, low, high) in seen.items()]
             seen.clear()
             for i in range(0, len(rows), 20_000):
-                part = rows[i : i + 20_000]
-                n = [None] * len(part)
-                columns = [[v[0] for _, v in part], [v[1] for _, v in part], n, n, [p for p, _ in part], [v[2] for _, v in part], [v[3] for _, v in part]]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 20_000]), kinds)], names=["h", "piece", "low", "high"])
 
         for b in batches:
-            for data, ends, keys, offset in blocks(b):
-                h, first, last, text = anchors(data, ends)
-                hit = np.ones(len(h), bool)
-                for slot in slots(h, width):
-                    hit &= (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                h, first, last, text = h[hit].view(np.int64), first[hit], last[hit], text[hit]
-                raw, key, at = data.tobytes(), keys[text], first - ends[text] + offset[text]
-                ids = []
-                for x, s, e, k in zip(h.tolist(), first.tolist(), last.tolist(), key.tolist()):
-                    piece = raw[s : e + LENGTH]
+            for h, pieces, keys, _ in shared_runs(b, shared.value):
+                for x, piece, k in zip(h.tolist(), pieces, keys.tolist()):
                     had = seen.get(piece)
                     if had is None:
-                        had = seen[piece] = [x, xxhash.xxh64_intdigest(piece) - (1 << 63), k, k]
-                    elif k < had[2]:
+                        seen[piece] = [x, k, k]
+                    elif k < had[1]:
+                        had[1] = k
+                    elif k > had[2]:
                         had[2] = k
-                    elif k > had[3]:
-                        had[3] = k
-                    ids.append(had[1])
-                for i in range(0, len(h), 20_000):
-                    part = slice(i, i + 20_000)
-                    n = len(ids[part])
-                    yield pa.record_batch([pa.array(h[part]), pa.array(ids[part], pa.int64()), pa.array(key[part]), pa.array(at[part]), *(pa.nulls(n, k) for k in kinds[4:])], names=names)
                 if len(seen) > MERGED:
                     yield from merged()
         yield from merged()
 
-    return docs.mapInArrow(run, "h long, id long, key long, at long, piece binary, low long, high long")
+    return docs.mapInArrow(run, "h long, piece binary, low long, high long")
+
+
+def named(piece: bytes) -> int:
+    """A hash of a piece, signed."""
+    return xxhash.xxh64_intdigest(piece) - (1 << 63)
+
+
+def place_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """(h, id, key, at): where pieces start in documents; `id` is a hash of the piece."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, pieces, keys, at in shared_runs(b, shared.value):
+                yield pa.record_batch([pa.array(h), pa.array([named(p) for p in pieces], pa.int64()), pa.array(keys), pa.array(at)], names=["h", "id", "key", "at"])
+
+    return docs.mapInArrow(run, "h long, id long, key long, at long")
 
 
 def earliest(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,17 +304,17 @@ def earliest(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.nda
     inside = np.ones(len(text), bool)
     inside[start + size] = False
     text[inside] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint16) + 1
-    order = suffix_array(text, 257)
-    common = permuted_prefixes(text, order, LENGTH)
     offset = np.arange(len(text)) - start[owner]
     whole = offset + LENGTH <= size[owner]  # a whole string starts here
+    order = suffix_array(text, 257)
+    order = order[whole[order]]  # suffixes between two that share LENGTH bytes share them too, so none is missed
+    common = permuted_prefixes(text, order, LENGTH)
     new = common[order] < LENGTH
     new[0] = True
-    key = np.where(whole, least[owner], LAST)[order]
     at = np.nonzero(new)[0]
-    group = np.minimum.reduceat(key, at)
+    group = np.minimum.reduceat(least[owner[order]], at)
     found = np.empty(len(text), np.int64)
-    found[order] = np.repeat(group, np.diff(np.append(at, len(text))))
+    found[order] = np.repeat(group, np.diff(np.append(at, len(order))))
     return owner[whole], offset[whole], found[whole]
 
 
@@ -323,63 +331,102 @@ def runs(owner: np.ndarray, offset: np.ndarray, value: np.ndarray, wanted: np.nd
 def shard_runs(pieces: DataFrame) -> DataFrame:
     """(h, id, a, b, least): strings a..b of piece id first occur in document `least`.
 
-    pieces: (h, id, piece, low, high); rows of one piece are merged. Only strings that
-    some document after `least` holds are given.
+    pieces: (h, piece, low, high); rows of one piece are merged. Only strings that
+    some document after `least` holds are given. An anchor of more than CROWD pieces is passed over
+    and named in a row with a null id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list[int]] = {}
-        size, last = 0, None
+        held: dict[bytes, tuple[int, int, int]] = {}
+        now: dict[bytes, list[int]] = {}
+        size, last, crowded = 0, None, False
+        names = ["h", "id", "a", "b", "least"]
 
         def close() -> Iterator[pa.RecordBatch]:
-            h, ids, low, high = (np.array(c, np.int64) for c in zip(*held.values()))
+            h, low, high = (np.array(c, np.int64) for c in zip(*held.values()))
+            ids = np.array([named(p) for p in held], np.int64)
             owner, offset, value = earliest(list(held), low)
             piece, a, b, least = runs(owner, offset, value, value < high[owner])
             for i in range(0, len(piece), 10_000):
                 part = slice(i, i + 10_000)
-                yield pa.record_batch([pa.array(c[part]) for c in (h[piece], ids[piece], a, b, least)], names=["h", "id", "a", "b", "least"])
+                yield pa.record_batch([pa.array(c[part]) for c in (h[piece], ids[piece], a, b, least)], names=names)
+
+        def anchor_ends() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if crowded:
+                yield pa.record_batch([pa.array([last], pa.int64()), *(pa.nulls(1, pa.int64()) for _ in names[1:])], names=names)
+            for piece, (low, high) in now.items():
+                held[piece] = (last, low, high)
+                size += len(piece) + 1
+            if size >= SHARD:
+                yield from close()
+                held.clear()
+                size = 0
 
         for batch in batches:
-            for h, key, piece, low, high in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if held and size >= SHARD and h != last:
-                    yield from close()
-                    held, size = {}, 0
-                last = h
-                had = held.get(piece)
+            for h, piece, low, high in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if h != last:
+                    yield from anchor_ends()
+                    now, last, crowded = {}, h, False
+                if crowded:
+                    continue
+                had = now.get(piece)
                 if had is None:
-                    held[piece] = [h, key, low, high]
-                    size += len(piece) + 1
+                    now[piece] = [low, high]
+                    if len(now) > CROWD:
+                        now, crowded = {}, True
                 else:
-                    had[2], had[3] = min(had[2], low), max(had[3], high)
+                    had[0], had[1] = min(had[0], low), max(had[1], high)
+        yield from anchor_ends()
         if held:
             yield from close()
 
-    return pieces.select("h", "id", "piece", "low", "high").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, id long, a long, b long, least long")
+    return pieces.select("h", "piece", "low", "high").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, id long, a long, b long, least long")
+
+
+def crowd_rows(pieces: DataFrame) -> DataFrame:
+    """(h, piece, a, string, low, high) of anchors with very many pieces: each of their strings."""
+    strings = pieces.select("h", "piece", "low", "high", F.explode(F.expr(f"sequence(0, length(piece) - {LENGTH})")).alias("a"))
+    return strings.withColumn("string", F.expr(f"substring(piece, a + 1, {LENGTH})"))
 
 
 def crowd_runs(pieces: DataFrame) -> DataFrame:
     """As shard_runs, for anchors with very many pieces: their strings one by one, each its own anchor."""
-    strings = pieces.select("h", "id", "low", "high", "piece", F.explode(F.expr(f"sequence(0, length(piece) - {LENGTH})")).alias("a"))
-    strings = strings.withColumn("piece", F.expr(f"substring(piece, a + 1, {LENGTH})")).withColumn("s", F.xxhash64("piece"))
-    own = strings.groupBy("s", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    lone = shard_runs(own.select(F.col("s").alias("h"), F.col("s").alias("id"), "piece", "low", "high")).groupBy(F.col("h").alias("s")).agg(F.min("least").alias("least"))
-    a = F.col("a").cast("long")
-    return strings.join(lone, "s").where("least < high").select("h", "id", a.alias("a"), a.alias("b"), "least").distinct()
+    strings = crowd_rows(pieces)
+    own = strings.groupBy("string").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    lone = shard_runs(own.select(F.xxhash64("string").alias("h"), F.col("string").alias("piece"), "low", "high"))
+    least = lone.groupBy(F.col("h").alias("s"), F.col("id").alias("t")).agg(F.min("least").alias("least"))
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, strings = ([named(x) for x in b.column(i).to_pylist()] for i in (1, 3))
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.int64()), b.column(2), b.column(4), pa.array(strings, pa.int64())], names=["h", "id", "a", "s", "t"])
+
+    placed = strings.select("h", "piece", F.col("a").cast("long").alias("a"), "string", F.xxhash64("string").alias("s")).mapInArrow(names, "h long, id long, a long, s long, t long")
+    return placed.join(least, ["s", "t"]).select("h", "id", "a", F.col("a").alias("b"), "least").distinct()
+
+
+def copies(texts: DataFrame) -> DataFrame:
+    """(key, size): documents whose whole text an earlier one has, with their bytes."""
+    rows = texts.select("key", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    first = rows.groupBy("sha").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("sha", "low")
+    return rows.join(first, "sha").where("key > low").select("key", F.col("size").cast("long").alias("size")).distinct()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, start, stop): byte spans of documents that are to be removed; spans may overlap."""
     small_text_batches(docs.sparkSession)
-    texts = keyed(docs)
-    both = stored(piece_rows(texts, bit_table(stored(shared_anchors(texts), "spans-anchors"))), "spans-pieces")
-    pieces = both.where("piece is not null").select("h", "id", "piece", "low", "high")
-    crowd = stored(pieces.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h"), "spans-crowds")
-    if crowd.isEmpty():
-        found = shard_runs(pieces)
-    else:
-        found = shard_runs(pieces.join(crowd, "h", "left_anti")).unionByName(crowd_runs(pieces.join(crowd, "h", "left_semi")))
-    held = both.where("key is not null").select("h", "id", "key", "at")
-    return held.join(found, ["h", "id"]).where("least < key").select("key", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + LENGTH).alias("stop"))
+    every = keyed(docs)
+    again = stored(copies(every), "spans-copies")
+    texts = every.join(again.select("key"), "key", "left_anti")
+    table = bit_table(stored(shared_anchors(texts), "spans-anchors"))
+    pieces = piece_rows(texts, table)
+    found = stored(shard_runs(pieces), "spans-found")
+    crowd = found.where("id is null").select("h")
+    if not crowd.isEmpty():
+        found = found.where("id is not null").unionByName(stored(crowd_runs(pieces.join(stored(crowd, "spans-crowds"), "h", "left_semi")), "spans-crowd-runs"))
+    spans = place_rows(texts, table).join(found, ["h", "id"]).where("least < key").select("key", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + LENGTH).alias("stop"))
+    return spans.unionByName(again.where(F.col("size") >= LENGTH).select("key", F.lit(0).cast("long").alias("start"), F.col("size").alias("stop")))
 
 
 def merged_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -47,9 +47,12 @@ class Buckets:
         c = self.text[suffixes]
         order = np.argsort(c, kind="stable")
         sorted_c = c[order]
-        first = np.searchsorted(sorted_c, sorted_c, side="left")
-        place[free[sorted_c] + step * (np.arange(len(c)) - first)] = suffixes[order]
-        free += step * np.bincount(c, minlength=self.sigma)
+        count = np.bincount(c, minlength=self.sigma)
+        if step > 0:
+            place[(free - np.cumsum(count) + count)[sorted_c] + np.arange(len(c))] = suffixes[order]
+        else:
+            place[(free + np.cumsum(count) - count)[sorted_c] - np.arange(len(c))] = suffixes[order]
+        free += step * count
 
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """All suffixes in order, given LMS suffixes in the order that shall hold among them."""
@@ -159,10 +162,13 @@ def suffix_array(text: np.ndarray, sigma: int | None = None) -> np.ndarray:
 
 
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each position of the text, the common prefix of its suffix with the one before it in suffix order, up to `most`."""
+    """For each position of the text, the common prefix of its suffix with the one before it in `order`, up to `most`.
+
+    `order` is the suffix array or a part of it in the same order.
+    """
     n = len(text)
     out = np.zeros(n, np.int64)
-    if n < 2:
+    if len(order) < 2:
         return out
     padded = np.concatenate([text.astype(np.int64), np.full(most + 1, -1)])
     a, b = order[:-1].copy(), order[1:].copy()
@@ -170,7 +176,7 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndar
     word = np.zeros(len(padded), np.uint64)
     for i in range(4):
         word[: len(padded) - i] |= (padded[i:].astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(16 * i)
-    live, at = np.arange(n - 1), 0
+    live, at = np.arange(len(a)), 0
     while len(live) and at < most:
         same = word[a[live] + at] == word[b[live] + at]
         stop = live[~same]
