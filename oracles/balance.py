@@ -69,5 +69,5 @@ SQL |= {
         ORDER BY days_on_hand DESC, s.stock_id LIMIT 100"""),
     "alr1_movement_alerts": query(f"{ALERTS} {ALERT_ORDER} LIMIT 200"),
     "alr1_movement_alerts_all": query(ALERTS),
-    "alr2_alert_summary": query(f"SELECT alert_type, {lng('COUNT(*)')} AS alert_count FROM ({ALERTS} {ALERT_ORDER} LIMIT 200) GROUP BY alert_type"),
+    "alr2_alert_summary": query(f"SELECT alert_type, {lng('COUNT(*)')} AS alert_count FROM ({ALERTS}) GROUP BY alert_type"),
 }

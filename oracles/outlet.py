@@ -88,7 +88,7 @@ SUG = f"""WITH sel AS (SELECT * FROM outlet_sku WHERE location_id <> 'L23' AND l
       'Selling in ' || CAST(n AS VARCHAR) || ' outlets (avg ' || CAST(CAST(ROUND(m2, 1) AS DECIMAL(18,1)) AS VARCHAR) || '/month)' ||
         CASE WHEN pat IN ('EXTREME_GROWTH', 'STRONG_GROWTH', 'GROWTH') THEN ' • Growing demand' WHEN pat = 'STABLE' THEN ' • Stable demand' ELSE '' END ||
         CASE WHEN gp_abc_class = 'A' THEN ' • High margin' ELSE '' END || CASE WHEN p5 >= 10 THEN ' • Fills category gap' ELSE '' END AS why_suggested
-    FROM sc WHERE p1 + p2 + {GROW} + p4 + p5 >= 50 ORDER BY confidence_score DESC, avg_regional_ams DESC, stock_id LIMIT 500)"""
+    FROM sc WHERE p1 + p2 + {GROW} + p4 + p5 >= 50)"""
 
 # --- rotation ---------------------------------------------------------------
 MONTHS_KEPT = """CASE WHEN cat = 'SPORADIC' THEN 4.0 WHEN tier = 'FAST' AND cat = 'GROWING' THEN 1.0 WHEN tier = 'FAST' THEN 0.5
@@ -230,7 +230,7 @@ SQL = {
     "osi5_outlet_review_counts": query(f"""WITH f AS (SELECT o.location_id, COALESCE(s.review_flag, 'NONE') AS review_flag FROM outlet_sku o LEFT JOIN sku_summary s ON s.stock_id = o.stock_id)
         SELECT location_id, review_flag, {lng('COUNT(*)')} AS sku_count FROM f GROUP BY 1, 2
         UNION ALL SELECT location_id, 'NEEDS_REVIEW', COUNT(*) FILTER (review_flag IN ('NEW_ITEM', 'AMS_CHECK')) FROM f GROUP BY 1"""),
-    "sug1_suggestions": query(f"{SUG} SELECT * FROM sug"),
+    "sug1_suggestions": query(f"{SUG} SELECT * FROM sug ORDER BY confidence_score DESC, avg_regional_ams DESC, stock_id LIMIT 500"),
     "sug1a_category_gap": query(f"""SELECT s.ud1_code, {lng('COUNT(*) FILTER (o.location_id = \'L23\')')} AS target_sku_count, {dbl('COUNT(*)')} / COUNT(DISTINCT o.location_id) AS avg_sku_count
         FROM outlet_sku o JOIN sku_summary s ON s.stock_id = o.stock_id WHERE o.outlet_ams > 0 GROUP BY 1"""),
     "sug2_outlet_profile": query(f"""SELECT location_id, location_name, {dbl('SUM(total_12m)')} AS total_sales, {lng('COUNT(DISTINCT CASE WHEN outlet_ams > 0 THEN stock_id END)')} AS active_skus,

@@ -75,16 +75,16 @@ SQL = {
         FROM (SELECT stock_id, location_id, {dbl('SUM(qty)')} AS qty FROM sales_line GROUP BY 1, 2) s LEFT JOIN product p ON p.stock_id = s.stock_id LEFT JOIN location l ON l.location_id = s.location_id"""),
     "sea1_seasonal_patterns": query(f"WITH {MON24} {SEA1_TOP}"),
     "sea1_seasonal_patterns_all": query(f"WITH {MON24} {SEA1}"),
-    "sea1b_pattern_counts": query(f"WITH {MON24} SELECT seasonality_class, {lng('COUNT(*)')} AS sku_count FROM ({SEA1_TOP}) GROUP BY 1"),
+    "sea1b_pattern_counts": query(f"WITH {MON24} SELECT seasonality_class, {lng('COUNT(*)')} AS sku_count FROM ({SEA1}) GROUP BY 1"),
     "sea2_seasonal_index": query(f"WITH {MONALL} {SEA2_TOP}"),
     "sea2_seasonal_index_all": query(f"WITH {MONALL} {SEA2}"),
-    "sea2b_index_counts": query(f"WITH {MONALL} SELECT seasonality_type, {lng('COUNT(*)')} AS sku_count FROM ({SEA2_TOP}) GROUP BY 1"),
+    "sea2b_index_counts": query(f"WITH {MONALL} SELECT seasonality_type, {lng('COUNT(*)')} AS sku_count FROM ({SEA2}) GROUP BY 1"),
     "sea3_smart_cv": query(f"WITH {SMART} {SEA3_TOP}"),
     "sea3_smart_cv_all": query(f"WITH {SMART} {SEA3}"),
-    "sea3b_smart_counts": query(f"WITH {SMART} SELECT demand_pattern, {lng('COUNT(*)')} AS sku_count FROM ({SEA3_TOP}) GROUP BY 1"),
+    "sea3b_smart_counts": query(f"WITH {SMART} SELECT demand_pattern, {lng('COUNT(*)')} AS sku_count FROM ({SEA3}) GROUP BY 1"),
     "yoy1_comparison": query(YOY_TOP),
     "yoy1_comparison_all": query(YOY),
-    "yoy1b_status_counts": query(f"SELECT yoy_status, {lng('COUNT(*)')} AS sku_count FROM ({YOY_TOP}) GROUP BY 1"),
+    "yoy1b_status_counts": query(f"SELECT yoy_status, {lng('COUNT(*)')} AS sku_count FROM ({YOY}) GROUP BY 1"),
     "out1_outlet_maturity": query(OUT),
     "out1_maturity_counts": query(f"SELECT maturity_status, {lng('COUNT(*)')} AS outlet_count FROM ({OUT}) GROUP BY 1"),
     "lfl1_like_for_like": query(f"WITH {LFL_CTE} {LFL}"),

@@ -14,7 +14,10 @@ cte("d_turn", f"""SELECT {dbl('cogs')} AS cogs, {dbl('gp')} AS gross_profit, {db
 DEAD = f"bal > 0 AND stock_id NOT IN (SELECT stock_id FROM sales_line WHERE channel = 'CASH' AND doc_date >= {AS_OF} - 90)"
 cte("d_dead", f"""SELECT {lng('SUM(CASE WHEN dead THEN 1 ELSE 0 END)')} AS dead_stock_count, {lng('COUNT(*) FILTER (bal > 0)')} AS active_stock_count,
   {rnd(ratio('SUM(CASE WHEN dead THEN 1 ELSE 0 END)', 'COUNT(*) FILTER (bal > 0)') + ' * 100', 2)} AS dead_stock_pct FROM (SELECT *, {DEAD} AS dead FROM base_held)""")
-cte("d_short", f"SELECT {lng('0')} AS short_dated_count, {lng('COUNT(*) FILTER (bal > 0)')} AS total_with_stock, {dbl('0')} AS short_dated_value FROM base_held")
+cte("d_short", f"""SELECT {lng('COUNT(*) FILTER (bal > 0 AND due > 0)')} AS short_dated_count, {lng('COUNT(*) FILTER (bal > 0)')} AS total_with_stock,
+    COALESCE({rnd('SUM(worth) FILTER (bal > 0)', 2)}, 0) AS short_dated_value
+  FROM (SELECT stock_id, SUM(bal) AS bal FROM base_held GROUP BY 1) h
+  LEFT JOIN (SELECT stock_id, COUNT(*) AS due, SUM(q * cost) AS worth FROM batches WHERE days BETWEEN 0 AND 90 GROUP BY 1) d USING (stock_id)""")
 
 MH = f"""SELECT q.stock_id, p.stock_name, p.barcode, p.category, p.ud1_code AS current_ud1, {lng('n')} AS months_sold, {rnd('tq', 0)} AS annual_qty, {rnd('tr', 2)} AS annual_revenue,
     {rnd('gp', 1)} AS gp_margin_pct, 'BRAND_MATCH' AS detection_reason
@@ -22,7 +25,7 @@ MH = f"""SELECT q.stock_id, p.stock_name, p.barcode, p.category, p.ud1_code AS c
           CASE WHEN SUM(amount) > 0 THEN {ratio('SUM(amount) - SUM(qty * unit_cost)', 'SUM(amount)')} * 100 ELSE 0 END AS gp
         FROM cash WHERE doc_date >= {AS_OF} - 365 GROUP BY 1) q JOIN product p ON p.stock_id = q.stock_id
   WHERE n >= 3 AND gp < 40 AND (p.ud1_code IS NULL OR p.ud1_code NOT IN ('FLTHB', 'FLTF1', 'FLTF2', 'FLTF3', 'FLTSC'))
-    AND (p.stock_name LIKE '%WIDGET%' OR p.stock_name LIKE '%RING%') ORDER BY annual_revenue DESC, q.stock_id LIMIT 500"""
+    AND (p.stock_name LIKE '%WIDGET%' OR p.stock_name LIKE '%RING%')"""
 ACTIVE = """(SELECT p.*, COALESCE(b.bal, 0) AS bal FROM product p LEFT JOIN (SELECT stock_id, uom_id, SUM(balance_qty) AS bal FROM stock_balance GROUP BY 1, 2) b
      ON b.stock_id = p.stock_id AND b.uom_id = p.uom_id WHERE p.is_active = 'Y')"""
 OK = "(ud1_code IS NULL OR ud1_code NOT IN ('SPECIAL REQUEST', 'DISCONTINUED'))"
@@ -43,7 +46,7 @@ SQL = {
       UNION ALL SELECT 'tier_2_efficiency', 'gmroi', {rnd('gm', 2)}, '> 3.0', CASE WHEN gm >= 3 THEN 'good' ELSE 'warning' END FROM v
       UNION ALL SELECT 'tier_2_efficiency', 'dead_stock_pct', {rnd('de', 2)}, '< 5%', CASE WHEN de < 5 THEN 'good' WHEN de < 10 THEN 'warning' ELSE 'critical' END FROM v
       UNION ALL SELECT 'tier_3_pharmacy_specific', 'short_dated_ratio', {rnd('sd', 2)}, '< 5%', CASE WHEN sd < 5 THEN 'good' ELSE 'warning' END FROM v"""),
-    "mh1_must_have": query(MH),
+    "mh1_must_have": query(f"{MH} ORDER BY annual_revenue DESC, q.stock_id LIMIT 500"),
     "mh2_must_have_confidence": query(f"SELECT *, CASE WHEN months_sold >= 10 THEN 'high' ELSE 'medium' END AS confidence FROM ({MH})"),
     "ud1_stock_type_distribution": query(f"""SELECT COALESCE(ud1_code, 'NULL/EMPTY') AS ud1_code, {lng('COUNT(DISTINCT stock_id)')} AS sku_count, {dbl('SUM(bal)')} AS total_balance,
         {rnd('SUM(bal * COALESCE(cost, 0))', 2)} AS inventory_value, {rnd(ratio('SUM(bal * COALESCE(cost, 0))', 'SUM(SUM(bal * COALESCE(cost, 0))) OVER ()') + ' * 100', 1)} AS value_pct

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom import config
-from stockloom.functions.expr import count_if, days_before, dbl, first_match, lng, ratio, rnd
-from stockloom.operators import facts
+from stockloom.functions.expr import count_if, day, days_before, dbl, first_match, lng, ratio, rnd
+from stockloom.operators import expiry, facts
 
 
 def _base_balance(T, location=None, *by) -> DataFrame:
@@ -70,20 +70,30 @@ def dead_stock(T, as_of, location=None) -> DataFrame:
     )
 
 
-def short_dated(T, location=None) -> DataFrame:
-    """DSH-5: stocks held; the short-dated figures are not measured here and stay 0."""
-    return _base_balance(T, location).agg(
-        lng(F.lit(0)).alias("short_dated_count"), count_if(F.col("balance") > 0).alias("total_with_stock"), F.lit(0.0).alias("short_dated_value")
+def short_dated(T, as_of, location=None, within: int = 90) -> DataFrame:
+    """DSH-5: stocks held, those with a batch due within ninety days, and what such batches are worth at cost.
+
+    `as_of` is a date of the batches. Expired batches are not short-dated.
+    """
+    batches = facts.period(expiry.all_batches(T), location=location)
+    due = batches.filter(F.datediff("expiry_date", day(as_of)).between(0, within)).groupBy("stock_id").agg(
+        F.sum(F.col("qty") * F.col("unit_cost")).alias("worth")
+    )
+    held = F.col("balance") > 0
+    short = held & F.col("worth").isNotNull()
+    return _base_balance(T, location).join(due, "stock_id", "left").agg(
+        count_if(short).alias("short_dated_count"), count_if(held).alias("total_with_stock"),
+        F.coalesce(rnd(F.sum(F.when(held, F.col("worth"))), 2), F.lit(0.0)).alias("short_dated_value"),
     )
 
 
-def metrics(T, as_of, location=None) -> DataFrame:
-    """All headline numbers as one row."""
+def metrics(T, as_of, location=None, batch_as_of=None) -> DataFrame:
+    """All headline numbers as one row; batch_as_of: today among the batches' dates, if they have another calendar."""
     row = lambda df: df.select(F.struct("*").alias("r")).scalar()
     out = stockout_rate(T, location).select(F.struct("*").alias("so"))
     out = out.withColumns({
         "inv": row(inventory_supply(T, as_of, location)), "turn": row(turnover_gmroi(T, as_of, location)),
-        "dead": row(dead_stock(T, as_of, location)), "sd": row(short_dated(T, location)),
+        "dead": row(dead_stock(T, as_of, location)), "sd": row(short_dated(T, batch_as_of or as_of, location)),
     })
     zero = F.lit(0.0)
     return out.select(

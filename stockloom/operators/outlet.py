@@ -273,13 +273,16 @@ def suggestion_summary(suggestions: DataFrame) -> DataFrame:
 # --- cross-outlet recommendations -------------------------------------------
 
 
-def peer_outlets(staff: DataFrame, o: DataFrame, staff_id: str, outlet: str) -> DataFrame:
+def peer_outlets(staff: DataFrame, o: DataFrame, staff_id: str, outlet: str | None = None) -> DataFrame:
     """XR-2: the outlets a staff member compares an outlet with, by role.
 
     Company roles get the list of the outlet's area manager, or all others when
     it has none; an area manager gets their own list; other roles get nothing.
+    Without an outlet it is the one they are based at; an unknown person has no peers.
     """
     active = staff.filter("is_active")
+    if outlet is None:
+        outlet = staff.filter(F.col("staff_id") == staff_id).agg(F.min("primary_outlet")).scalar()
     manager = active.filter((F.col("primary_outlet") == outlet) & (F.col("role") == "area_manager")).agg(
         F.min_by(F.coalesce("allowed_outlets", F.array().cast("array<string>")), "staff_id").alias("a")
     ).scalar()
@@ -290,7 +293,7 @@ def peer_outlets(staff: DataFrame, o: DataFrame, staff_id: str, outlet: str) ->
     peers = first_match(
         [
             (F.col("role").isin(config.COMPANY_ROLES), F.coalesce("managed", "others")),
-            (F.col("role") == "area_manager", F.filter("allowed_outlets", lambda x: x != outlet)),
+            (F.col("role") == "area_manager", F.array_compact(F.array_remove("allowed_outlets", outlet))),
         ]
     )
     return me.select(F.explode(peers).alias("location_id")).distinct()

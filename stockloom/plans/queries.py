@@ -41,7 +41,7 @@ query("mov3_stock_days_company")(lambda T: balance.stock_days_company(T, AS_OF))
 query("sel1_sellout")(lambda T: sellout.sellout(T, AS_OF))
 query("alr1_movement_alerts")(lambda T: sellout.movement_alerts(T, AS_OF))
 query("alr1_movement_alerts_all")(lambda T: sellout.movement_alerts(T, AS_OF, limit=None))
-query("alr2_alert_summary")(lambda T: sellout.alert_summary(sellout.movement_alerts(T, AS_OF)))
+query("alr2_alert_summary")(lambda T: sellout.alert_summary(sellout.movement_alerts(T, AS_OF, limit=None)))
 
 # --- ABC-XYZ ----------------------------------------------------------------
 
@@ -173,16 +173,16 @@ def _sea3(T, limit=500):
 
 query("sea1_seasonal_patterns")(lambda T: _text(_sea1(T), "top_3_peak_months"))
 query("sea1_seasonal_patterns_all")(lambda T: _text(_sea1(T, None), "top_3_peak_months"))
-query("sea1b_pattern_counts")(lambda T: seasonal.class_counts(_sea1(T), "seasonality_class"))
+query("sea1b_pattern_counts")(lambda T: seasonal.class_counts(_sea1(T, None), "seasonality_class"))
 query("sea2_seasonal_index")(lambda T: _text(_sea2(T), "peak_months", "trough_months"))
 query("sea2_seasonal_index_all")(lambda T: _text(_sea2(T, None), "peak_months", "trough_months"))
-query("sea2b_index_counts")(lambda T: seasonal.class_counts(_sea2(T), "seasonality_type"))
+query("sea2b_index_counts")(lambda T: seasonal.class_counts(_sea2(T, None), "seasonality_type"))
 query("sea3_smart_cv")(_sea3)
 query("sea3_smart_cv_all")(lambda T: _sea3(T, None))
-query("sea3b_smart_counts")(lambda T: seasonal.class_counts(_sea3(T), "demand_pattern"))
+query("sea3b_smart_counts")(lambda T: seasonal.class_counts(_sea3(T, None), "demand_pattern"))
 query("yoy1_comparison")(lambda T: yoy.yoy(T, AS_OF, month=7))
 query("yoy1_comparison_all")(lambda T: yoy.yoy(T, AS_OF, month=7, limit=None))
-query("yoy1b_status_counts")(lambda T: yoy.yoy_summary(yoy.yoy(T, AS_OF, month=7)))
+query("yoy1b_status_counts")(lambda T: yoy.yoy_summary(yoy.yoy(T, AS_OF, month=7, limit=None)))
 query("out1_outlet_maturity")(lambda T: yoy.outlet_maturity(T, AS_OF))
 query("out1_maturity_counts")(lambda T: yoy.maturity_counts(yoy.outlet_maturity(T, AS_OF)))
 query("lfl1_like_for_like")(lambda T: yoy.lfl(T, AS_OF, month=7))
@@ -195,10 +195,10 @@ query("dsh1_stockout_rate")(lambda T: dashboard.stockout_rate(T))
 query("dsh2_inventory_supply")(lambda T: dashboard.inventory_supply(T, AS_OF))
 query("dsh3_turnover_gmroi")(lambda T: dashboard.turnover_gmroi(T, AS_OF))
 query("dsh4_dead_stock")(lambda T: dashboard.dead_stock(T, AS_OF))
-query("dsh5_short_dated")(lambda T: dashboard.short_dated(T))
-query("dsh6_scorecard")(lambda T: dashboard.scorecard(dashboard.metrics(T, AS_OF)))
+query("dsh5_short_dated")(lambda T: dashboard.short_dated(T, EXPIRY_AS_OF))
+query("dsh6_scorecard")(lambda T: dashboard.scorecard(dashboard.metrics(T, AS_OF, batch_as_of=EXPIRY_AS_OF)))
 query("mh1_must_have")(lambda T: assortment.must_have(T, AS_OF, min_months=3, brands=BRANDS))
-query("mh2_must_have_confidence")(lambda T: assortment.must_have_confidence(assortment.must_have(T, AS_OF, min_months=3, brands=BRANDS)))
+query("mh2_must_have_confidence")(lambda T: assortment.must_have_confidence(assortment.must_have(T, AS_OF, min_months=3, brands=BRANDS, limit=None)))
 query("ud1_stock_type_distribution")(lambda T: assortment.stock_type_distribution(T))
 query("ud2_true_stockout")(lambda T: assortment.true_stockout(T))
 query("tg1_therapeutic_groups")(lambda T: assortment.therapeutic_groups(T, AS_OF))
@@ -240,8 +240,8 @@ def _joined(df, *columns):
     return df.withColumns({c: F.array_join(c, ",") for c in columns})
 
 
-def _suggest(T):
-    return outlet.suggest(T.outlet_sku, T.sku_summary, "L23")
+def _suggest(T, limit=500):
+    return outlet.suggest(T.outlet_sku, T.sku_summary, "L23", limit=limit)
 
 
 query("osi1_outlet_intelligence")(lambda T: outlet.outlet_intelligence(T.outlet_sku, "L03"))
@@ -254,20 +254,14 @@ query("osi5_outlet_review_counts")(lambda T: outlet.outlet_review_counts(T.outle
 query("sug1_suggestions")(lambda T: _joined(_suggest(T), "selling_outlets"))
 query("sug1a_category_gap")(lambda T: outlet.category_coverage(T.outlet_sku, T.sku_summary, "L23"))
 query("sug2_outlet_profile")(lambda T: outlet.outlet_profile(T.outlet_sku))
-query("sug3_suggestion_summary")(lambda T: outlet.suggestion_summary(_suggest(T)))
+query("sug3_suggestion_summary")(lambda T: outlet.suggestion_summary(_suggest(T, None)))
 query("xr1_cross_recommend")(
     lambda T: _joined(
         outlet.cross_recommend(T.outlet_sku, T.sku_summary, outlet.peer_outlets(T.staff, T.outlet_sku, "U0", "L23"), "L23"),
         "selling_outlet_ids", "selling_outlet_names",
     )
 )
-query("xr2_peer_outlets")(lambda T: _own_peers(T, "U2"))
-
-
-def _own_peers(T, staff_id):
-    """An area manager's peers of the outlet they are based at."""
-    home = T.staff.filter(F.col("staff_id") == staff_id).select("primary_outlet").first()[0]
-    return outlet.peer_outlets(T.staff, T.outlet_sku, staff_id, home)
+query("xr2_peer_outlets")(lambda T: outlet.peer_outlets(T.staff, T.outlet_sku, "U2"))
 
 
 # --- rotation and rebalancing -----------------------------------------------

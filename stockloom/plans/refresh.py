@@ -1,4 +1,9 @@
-"""Storing a rebuilt summary so that readers always see a whole one."""
+"""Storing a rebuilt summary so that readers always see a whole one.
+
+A run's files appear one by one while it is written. So a run counts only once it
+is published: a row in a small table of its own, written after the data. Readers look at that
+table and open the newest published run alone.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +13,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLE = "stock_movement_summary"
+PUBLISHED = f"{TABLE}_published"
+
+
+def _folder(root: str, run: int) -> str:
+    return os.path.join(root, TABLE, f"run={run}")
 
 
 def store_summary(summary: DataFrame, root: str, run: int) -> str:
-    """Write a rebuild into a folder of its own; earlier runs stay readable meanwhile."""
-    path = os.path.join(root, TABLE, f"run={run}")
+    """Write a rebuild into a folder of its own, then publish it; earlier runs stay readable meanwhile."""
+    path = _folder(root, run)
     summary.write.mode("overwrite").parquet(path)
+    marker = summary.sparkSession.range(1).select(F.lit(run).cast("long").alias("run"))
+    marker.coalesce(1).write.mode("append").parquet(os.path.join(root, PUBLISHED))
     return path
 
 
+def published_runs(spark: SparkSession, root: str) -> list[int]:
+    """Published runs, newest first; a row for each rebuild, so the list is short."""
+    rows = spark.read.schema("run long").parquet(os.path.join(root, PUBLISHED)).distinct().orderBy(F.desc("run")).collect()
+    return [r.run for r in rows]
+
+
 def latest_summary(spark: SparkSession, root: str) -> DataFrame:
-    """The newest stored rebuild; only its folder is read."""
-    every = spark.read.parquet(os.path.join(root, TABLE))
-    newest = every.agg(F.max("run").alias("r")).scalar()
-    return every.filter(F.col("run") == newest).drop("run")
+    """The newest published rebuild; no other run's folder is opened."""
+    return spark.read.parquet(_folder(root, published_runs(spark, root)[0]))
+
+
+def drop_old_runs(spark: SparkSession, root: str, keep: int = 3) -> list[int]:
+    """Delete the data of all but the newest published runs and shorten the list of them; returns what went.
+
+    Call it from the job that stores, between two runs.
+    """
+    runs = published_runs(spark, root)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [r for r in runs[keep:] if store.delete(hadoop.Path(_folder(root, r)), True)]
+    return gone

@@ -7,6 +7,9 @@ stored; a refresh then reads day sums, never sales lines.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +19,7 @@ from stockloom.plans.summary import movement_summary
 
 CADENCE = "60 seconds"
 GRAIN_SCHEMA = (
-    "stock_id string, uom_id string, doc_date date, qty decimal(28,4), rev decimal(28,4), gp decimal(38,8), month date, batch_id bigint"
+    "stock_id string, uom_id string, doc_date date, qty decimal(28,4), rev decimal(28,4), gp decimal(38,8), month date, run string, batch_id bigint"
 )
 
 
@@ -30,15 +33,36 @@ def day_sums(lines: DataFrame) -> DataFrame:
     ).withColumn("month", F.trunc("doc_date", "month"))
 
 
-def store_day_sums(lines: DataFrame, grain_root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def _run_id(spark: SparkSession, grain_root: str, checkpoint: str, another_source: bool) -> str:
+    """The name under which a stream stores its batches; it lives as long as its checkpoint.
+
+    A fresh checkpoint counts batches from 0 and reads its source from the
+    start: under the old name it would overwrite old batches, under a new one count lines twice. So it is
+    refused a root that already has sums, unless the caller says the source is another one.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(grain_root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    note = os.path.join(checkpoint, "day-sums-run")
+    if store.exists(hadoop.Path(note)):
+        return spark.read.text(note).first()[0]
+    root = hadoop.Path(grain_root)
+    if not another_source and store.exists(root) and len(store.listStatus(root)):
+        raise ValueError(f"{grain_root} already has day sums of another checkpoint; restore that one, or take an empty root")
+    run = uuid.uuid4().hex
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.text(note)
+    return run
+
+
+def store_day_sums(lines: DataFrame, grain_root: str, checkpoint: str, trigger: dict | None = None, another_source: bool = False) -> StreamingQuery:
     """Start storing day sums of a stream of sales lines.
 
-    Each batch owns one folder and overwrites it, so a batch replayed after a
-    failure leaves the same sums.
+    Each batch of a run owns one folder and overwrites it, so a batch replayed after a
+    failure leaves the same sums. `another_source` lets a second stream, of other lines, store beside the first.
     """
+    run = _run_id(lines.sparkSession, grain_root, checkpoint, another_source)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        day_sums(batch).write.mode("overwrite").partitionBy("month").parquet(f"{grain_root}/batch_id={batch_id}")
+        day_sums(batch).write.mode("overwrite").partitionBy("month").parquet(f"{grain_root}/run={run}/batch_id={batch_id}")
 
     writer = lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": CADENCE})).start()

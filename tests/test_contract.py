@@ -3,6 +3,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import oracles
+from stockloom.plans.queries import QUERIES
 from stockloom.sources.catalog import ParquetTables, jdbc_options, write_table
 from tests.tiny import AS_OF, balance, product, sale, tables
 
@@ -14,7 +16,8 @@ QUICK = [
 
 
 def test_every_query_has_sql_and_the_other_way_round():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracles.SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
@@ -54,3 +57,14 @@ def test_stored_tables_round_trip(spark, tmp_path):
 def test_jdbc_options_split_the_read():
     o = jdbc_options("jdbc:postgresql://h/db", "sales", "doc_date", "2024-01-01", "2024-07-01", 16, user="u")
     assert o["numPartitions"] == "16" and o["partitionColumn"] == "doc_date" and o["user"] == "u"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
+@pytest.mark.parametrize("counts, listed", [
+    ("alr2_alert_summary", "alr1_movement_alerts_all"), ("sea1b_pattern_counts", "sea1_seasonal_patterns_all"), ("sea2b_index_counts", "sea2_seasonal_index_all"),
+    ("sea3b_smart_counts", "sea3_smart_cv_all"), ("yoy1b_status_counts", "yoy1_comparison_all"),
+])
+def test_counts_cover_the_whole_result(spark, counts, listed):
+    rows = entry.queries()[counts](spark, FOLDER).collect()
+    total = sum(r["alert_count"] if "alert_count" in r else r["sku_count"] for r in rows)
+    assert total == entry.queries()[listed](spark, FOLDER).count()

@@ -126,6 +126,22 @@ def test_stored_summary_reads_latest(spark, tmp_path, run):
     store_summary(s.withColumn("health_score", F.lit(-1.0)), str(tmp_path), run)
     store_summary(s, str(tmp_path), run + 1)
     assert latest_summary(spark, str(tmp_path)).collect()[0].health_score != -1.0
+    # a run that is still being written is no run yet
+    s.withColumn("health_score", F.lit(-2.0)).write.parquet(str(tmp_path / "stock_movement_summary" / f"run={run + 2}"))
+    assert latest_summary(spark, str(tmp_path)).collect()[0].health_score != -2.0
+
+
+def test_old_runs_are_not_opened_and_can_be_dropped(spark, tmp_path):
+    from stockloom.plans.refresh import drop_old_runs, latest_summary, store_summary
+
+    T = tables(spark, [sale("A")], [product("A")], [])
+    s = summary.movement_summary(T, AS_OF)
+    for run in (1, 2, 3):
+        store_summary(s.withColumn("health_score", F.lit(float(run))), str(tmp_path), run)
+    (tmp_path / "stock_movement_summary" / "run=1" / "broken.parquet").write_bytes(b"no parquet")
+    assert latest_summary(spark, str(tmp_path)).collect()[0].health_score == 3.0
+    assert drop_old_runs(spark, str(tmp_path), keep=1) == [2, 1]
+    assert latest_summary(spark, str(tmp_path)).collect()[0].health_score == 3.0
 
 
 def test_streamed_day_sums_give_the_same_summary(spark, tmp_path):
@@ -142,3 +158,15 @@ def test_streamed_day_sums_give_the_same_summary(spark, tmp_path):
     q.awaitTermination(120)
     got = refresh.refreshed_summary(T, str(tmp_path / "grain"), AS_OF, spark)
     assert sorted(got.collect()) == sorted(summary.movement_summary(T, AS_OF).collect())
+    # the same checkpoint goes on under its own name; a fresh one may not count the lines again
+    again = refresh.store_day_sums(stream, str(tmp_path / "grain"), str(tmp_path / "ck"), {"availableNow": True})
+    again.awaitTermination(120)
+    assert sorted(refresh.refreshed_summary(T, str(tmp_path / "grain"), AS_OF, spark).collect()) == sorted(got.collect())
+    with pytest.raises(ValueError):
+        refresh.store_day_sums(stream, str(tmp_path / "grain"), str(tmp_path / "new"), {"availableNow": True})
+    more = str(tmp_path / "more")
+    frame(spark, "sales_line", [sale("P1", AS_OF, 1, 10)]).write.parquet(more)
+    other = spark.readStream.schema(SALES_LINE).parquet(more)
+    refresh.store_day_sums(other, str(tmp_path / "grain"), str(tmp_path / "ck2"), {"availableNow": True}, another_source=True).awaitTermination(120)
+    T = tables(spark, [*sales, sale("P1", AS_OF, 1, 10)], [product(f"P{i}") for i in range(5)], [balance("P1", 4)])
+    assert sorted(refresh.refreshed_summary(T, str(tmp_path / "grain"), AS_OF, spark).collect()) == sorted(summary.movement_summary(T, AS_OF).collect())
