@@ -92,17 +92,19 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         width *= 2
     key = np.minimum(key[:n], key[span - width : span - width + n])
     place = (key & np.uint64((1 << 28) - 1)).astype(np.int64)
+    # runs of one place, broken where a text starts and where its last string has started
+    new = np.append(True, place[1:] != place[:-1])
     size = np.diff(ends)
-    text = np.repeat(np.arange(len(size)), np.maximum(size - LENGTH + 1, 0))
-    start = np.concatenate([np.arange(a, b - LENGTH + 1) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()) if b - a >= LENGTH] or [np.zeros(0, np.int64)])
-    if not len(start):
-        return none
-    place = place[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+    long = size >= LENGTH
+    new[ends[:-1][long]] = True
+    after = (ends[1:] - LENGTH + 1)[long]
+    new[after[after < n]] = True
     first = np.nonzero(new)[0]
-    last = np.append(first[1:], len(start)) - 1
-    return h[place[first]], start[first], start[last], text[first]
+    last = np.append(first[1:], n) - 1
+    text = np.searchsorted(ends, first, side="right") - 1
+    good = first + LENGTH <= ends[text + 1]
+    first, last, text = first[good], last[good], text[good]
+    return h[place[first]], first, last, text
 
 
 def blocks(batch: pa.RecordBatch, limit: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

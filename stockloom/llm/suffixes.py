@@ -57,7 +57,7 @@ class Buckets:
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """All suffixes in order, given LMS suffixes in the order that shall hold among them."""
         n = len(self.text)
-        held = np.full(n, -1, np.int64)
+        held = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
         # seeds at the ends of their buckets
         c = self.text[seeds]
         order = np.argsort(c, kind="stable")
@@ -98,23 +98,35 @@ class Buckets:
 
 
 def doubled(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling."""
+    """Suffix array by prefix doubling; suffixes that are alone in their group are not sorted again."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
+    order = np.argsort(text, kind="stable")
+    first = np.append(True, text[order[1:]] != text[order[:-1]])
+    rank = np.empty(n, np.int64)  # where the group of equal suffixes starts in the order
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    live = np.nonzero(~(first & np.append(first[1:], True)))[0]
     width = 1
-    while True:
-        other = np.zeros(n, np.int64)
-        other[: n - width if width < n else 0] = rank[width:]
-        key = rank * (n + 2) + other
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n:
-            return order
+    while len(live):
+        now = order[live]
+        other = np.where(now + width < n, rank[np.minimum(now + width, n - 1)] + 1, 0)
+        key = rank[now] * (n + 1) + other
+        by = np.argsort(key, kind="stable")
+        now, key = now[by], key[by]
+        order[live] = now
+        first = np.append(True, key[1:] != key[:-1])
+        rank[now] = live[np.maximum.accumulate(np.where(first, np.arange(len(live)), 0))]
+        live = live[~(first & np.append(first[1:], True))]
         width *= 2
+    return order
+
+
+def words_of_four(text: np.ndarray) -> np.ndarray:
+    """At each place, the four characters (below 65,535) that start there in one integer; beyond the end they count as 65,535."""
+    padded = np.append(text.astype(np.uint64), np.full(4, 0xFFFF, np.uint64))
+    word = padded[: len(text)].copy()
+    for i in range(1, 4):
+        word |= padded[i : i + len(text)] << np.uint64(16 * i)
+    return word
 
 
 def suffix_array(text: np.ndarray, sigma: int | None = None) -> np.ndarray:
@@ -141,18 +153,20 @@ def suffix_array(text: np.ndarray, sigma: int | None = None) -> np.ndarray:
     differs = np.ones(len(ordered), bool)
     a, b = ordered[:-1], ordered[1:]
     same = np.nonzero((size[a] == size[b]) & (b + size[b] < n) & (a + size[a] < n))[0]
-    at = 0
-    longest = int(size[b[same]].max()) if len(same) else -1
-    equal = []
-    while len(same) and at <= longest:
-        ok = text[a[same] + at] == text[b[same] + at]
-        same = same[ok]
-        finished = size[b[same]] == at
-        equal.append(same[finished])
-        same = same[~finished]
-        at += 1
-    for e in equal:
-        differs[e + 1] = False
+    word = words_of_four(text)
+    length = size[b[same]] + 1  # the first character of the next LMS is compared too
+    equal = np.ones(len(same), bool)
+    live, at = np.arange(len(same)), 0
+    while len(live):  # four characters at a time; the last word may overlap the one before it
+        x, y, more = a[same[live]], b[same[live]], length[live]
+        step = np.maximum(np.minimum(at, more - 4), 0)
+        short = more < 4
+        mask = np.where(short, (np.uint64(1) << (np.uint64(16) * np.minimum(more, 3).astype(np.uint64))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
+        ok = (word[x + step] & mask) == (word[y + step] & mask)
+        equal[live[~ok]] = False
+        at += 4
+        live = live[ok & (more > at)]
+    differs[same[equal] + 1] = False
     name = np.empty(n, np.int64)
     name[ordered] = np.cumsum(differs) - 1
     names = name[lms]
