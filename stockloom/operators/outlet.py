@@ -73,9 +73,15 @@ def _listed(o: DataFrame) -> DataFrame:
 
 
 def outlet_intelligence(o: DataFrame, outlet=None, limit: int | None = 500, offset: int = 0, **filters) -> DataFrame:
-    """OSI-1: stocks of an outlet, best sellers first. Without an outlet: the rows of all, unordered."""
+    """OSI-1: stocks of an outlet, best sellers first.
+
+    Without an outlet: the rows of all, whole and unordered; `limit` is a page of one
+    outlet and does not apply, an offset is refused.
+    """
     rows = _filtered(o, outlet, **filters)
     if outlet is None:
+        if offset:
+            raise ValueError("an offset needs an outlet")
         return _listed(rows)
     rows = rows.orderBy(*_sales_order())
     if offset:

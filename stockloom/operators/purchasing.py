@@ -60,26 +60,38 @@ def po_suppliers(lines: DataFrame) -> DataFrame:
     )
 
 
-def _po_id(generated_at):
-    return F.concat_ws("-", F.col("supplier_id"), F.date_format(day(generated_at), "yyyyMMdd"))
+def _po_id(generated_at, order_no: int):
+    """Supplier, day, and from the second order of a day on its number."""
+    parts = [F.col("supplier_id"), F.date_format(day(generated_at), "yyyyMMdd")]
+    return F.concat_ws("-", *parts, *([F.lit(str(order_no))] if order_no > 1 else []))
 
 
-def po_log(lines: DataFrame, generated_at, staff: str = "SYSTEM", location: str = config.WAREHOUSE) -> DataFrame:
-    """PO-3: one log row per supplier order generated from the lines; its items are po_log_items."""
+def next_order_no(log: DataFrame, generated_at) -> int:
+    """The number to give to today's next orders: one above those that the log has of that day."""
+    today = log.filter(F.col("generated_at") == day(generated_at))
+    number = F.coalesce(F.regexp_extract("po_id", r"-[0-9]{8}-([0-9]+)$", 1).try_cast("int"), F.lit(1))
+    return (today.agg(F.max(number).alias("n")).first()["n"] or 0) + 1
+
+
+def po_log(lines: DataFrame, generated_at, staff: str = "SYSTEM", location: str = config.WAREHOUSE, order_no: int = 1) -> DataFrame:
+    """PO-3: one log row per supplier order generated from the lines; its items are po_log_items.
+
+    Orders generated later on the same day need another order_no (next_order_no), or their ids and items would meet.
+    """
     return po_suppliers(lines).select(
-        _po_id(generated_at).alias("po_id"), "supplier_id", day(generated_at).alias("generated_at"), F.lit(staff).alias("generated_by"),
+        _po_id(generated_at, order_no).alias("po_id"), "supplier_id", day(generated_at).alias("generated_at"), F.lit(staff).alias("generated_by"),
         "item_count", "total_value", "total_qty", F.lit(location).alias("location_id"),
     )
 
 
-def po_log_items(lines: DataFrame, generated_at) -> DataFrame:
-    """PO-3: the items of the logged orders, one row each.
+def po_log_items(lines: DataFrame, generated_at, order_no: int = 1) -> DataFrame:
+    """PO-3: the items of the logged orders, one row each, under the same order_no.
 
     Kept as rows by order id and not nested in the log: one supplier may hold a
     large part of all items.
     """
     named = lines.withColumn("supplier_id", F.coalesce("po_supplier_id", F.lit("UNKNOWN")))
-    return named.select(_po_id(generated_at).alias("po_id"), "stock_id", "order_qty", F.col("po_unit_price").alias("unit_price"), "line_total")
+    return named.select(_po_id(generated_at, order_no).alias("po_id"), "stock_id", "order_qty", F.col("po_unit_price").alias("unit_price"), "line_total")
 
 
 def stamp_ordered(s: DataFrame, items: DataFrame, generated_at) -> DataFrame:

@@ -126,7 +126,10 @@ def _not_pseudo(df):
 
 
 def transfers_out(o: DataFrame, s: DataFrame, outlet=None, limit: int | None = 500) -> DataFrame:
-    """ROT-4: for each overstocked row the best outlet to send to: same region, lowest cover, largest need."""
+    """ROT-4: for each overstocked row the best outlet to send to: same region, lowest cover, largest need.
+
+    One outlet: its `limit` largest excesses in order. All outlets: every row, unordered; the limit does not apply.
+    """
     sources = excess(positions(o, s))
     if outlet is not None:
         sources = sources.filter(F.col("location_id") == outlet)
@@ -150,7 +153,10 @@ def transfers_out(o: DataFrame, s: DataFrame, outlet=None, limit: int | None = 5
 
 
 def transfers_in(o: DataFrame, s: DataFrame, outlet=None, limit: int | None = 500) -> DataFrame:
-    """ROT-5: for each understocked row the best outlet to take from: same region, largest excess, longest cover."""
+    """ROT-5: for each understocked row the best outlet to take from: same region, largest excess, longest cover.
+
+    One outlet: its `limit` largest needs in order. All outlets: every row, unordered; the limit does not apply.
+    """
     pos = positions(o, s)
     wanting = need(pos)
     if outlet is not None:
@@ -176,7 +182,7 @@ def transfers_in(o: DataFrame, s: DataFrame, outlet=None, limit: int | None = 50
 
 
 def rotation(o: DataFrame, s: DataFrame, outlet=None, direction: str = "both", limit: int | None = 500) -> DataFrame:
-    """ROT-4, ROT-5: transfers out of and into one outlet, or all outlets."""
+    """ROT-4, ROT-5: transfers out of and into one outlet (each side up to `limit`), or whole lists of all outlets."""
     sides = {"out": transfers_out, "in": transfers_in}
     chosen = [f(o, s, outlet, limit) for d, f in sides.items() if direction in (d, "both")]
     return chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])

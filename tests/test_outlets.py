@@ -205,6 +205,19 @@ def test_purchase_lines_edges(spark):
     joined = log.join(items.groupBy("po_id").agg(F.sum("line_total").alias("v")), "po_id").collect()
     assert joined and all(r.v == r.total_value for r in joined)
     assert purchasing.po_history(log, AS_OF, supplier="S1").count() == 1
+    # a second order on the same day has ids of its own
+    n = purchasing.next_order_no(log, AS_OF)
+    again, more = purchasing.po_log(lines, AS_OF, order_no=n), purchasing.po_log_items(lines, AS_OF, order_no=n)
+    assert n == 2 and purchasing.next_order_no(log.unionByName(again), AS_OF) == 3 and purchasing.next_order_no(log, AS_OF.replace(year=2000)) == 1
+    assert not {r.po_id for r in log.collect()} & {r.po_id for r in again.collect()}
+    assert {r.po_id for r in more.collect()} == {r.po_id for r in again.collect()}
+
+
+def test_all_outlets_are_listed_whole(spark):
+    o = outlets(spark, [outlet_row(f"L{i}", "A") for i in range(3)])
+    assert outlet.outlet_intelligence(o, limit=1).count() == 3
+    with pytest.raises(ValueError):
+        outlet.outlet_intelligence(o, offset=1)
 
 
 def batch(kind, qty, text, stock="A", loc="WAREHOUSE"):
