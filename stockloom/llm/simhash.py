@@ -24,7 +24,8 @@ similarity of 0.8 may move ten of a fingerprint's 64 bits, too many for a
 covering of the whole. So texts are cut into passages at words chosen by their hash;
 a text keeps the fingerprints of PASSAGES of them, those of the smallest hashes, as a
 minimum-hash sketch does. Passages linked as above make candidates of the documents that
-hold them and the first and last of those documents, and 128 bits of SimHash over the whole texts decide.
+hold them and the first and last of those documents.
+Every candidate is decided by the exact similarity of the two texts' shingle sets.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ BITS = 64
 #: Distinct fingerprints of a bucket that are compared in one go.
 BUCKET = 1024
 SEED = 42
-#: near_copies: mean words of a passage, passages kept of each text, bits of a whole text's sketch that may differ.
-PASSAGE_WORDS, PASSAGES, FAR = 10, 12, 30
+#: near_copies: mean words of a passage, passages kept of each text, least similarity of shingle sets.
+PASSAGE_WORDS, PASSAGES, SIMILAR = 10, 12, 0.8
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -223,26 +224,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: bytes, shingle: int) -> tuple[int, int, list[int]]:
-    """(two words of SimHash over the whole text, fingerprints of its chosen passages), all signed."""
+def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int]]:
+    """(the sorted set of shingle hashes, fingerprints of its chosen passages, signed)."""
     words = words_of(text)
     if not words:
-        return 0, 0, [0]
+        return b"", [0]
     hashes = shingle_hashes(words, shingle)
     chosen = np.fromiter(map(zlib.crc32, words[: len(hashes)]), np.uint32, len(hashes)) % PASSAGE_WORDS == 0
     chosen[0] = True
     starts = np.nonzero(chosen)[0]
     sizes = np.diff(np.append(starts, len(hashes)))
-    ones = np.zeros((len(starts), 2 * BITS), np.int64)
+    ones = np.zeros((len(starts), BITS), np.int64)
     for at in range(0, len(starts), 1 << 12):  # bounded memory for very long texts
         first, last = starts[at], starts[at + (1 << 12)] if at + (1 << 12) < len(starts) else len(hashes)
-        part = np.stack([hashes[first:last], mixed(hashes[first:last])], axis=1)
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[first:last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones[at : at + (1 << 12)] = np.add.reduceat(bits, starts[at : at + (1 << 12)] - first, axis=0, dtype=np.int64)
-    whole = np.packbits(ones.sum(axis=0) * 2 > len(hashes), bitorder="little").view("<i8")
-    fps = np.unique(np.packbits(ones[:, :BITS] * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8"))
+    fps = np.unique(np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8"))
     kept = fps[np.argsort(mixed(fps), kind="stable")[:PASSAGES]]
-    return int(whole[0]), int(whole[1]), kept.view("<i8").tolist()
+    shingles = np.unique(hashes)
+    return shingles.tobytes(), kept.view("<i8").tolist()
+
+
+def similar(left: bytes, right: bytes) -> bool:
+    """Whether two sets of shingle hashes have a Jaccard similarity of SIMILAR at least; two empty ones have."""
+    a, b = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
 
 
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -256,25 +265,47 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [sketch(t, shingle) for t in text_bytes(b.column(1))]
-            a, c, fps = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "x", "y", "fps"])
+            sets, fps = zip(*rows) if rows else ((), ())
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "shingles", "fps"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    held = stored(rows.mapInArrow(run, "doc_id long, x long, y long, fps array<long>"), "copies-sketches")
-    passages = held.select("doc_id", F.explode("fps").alias("fp"))
+    every = rows.mapInArrow(run, "doc_id long, shingles binary, fps array<long>")
+    # equal sets are one text from here on: that of their smallest doc_id
+    held = stored(every.withColumn("same", F.sha2("shingles", 256)), "copies-sketches")
+    first = held.groupBy("same").agg(F.min("doc_id").alias("b"))
+    equal = stored(held.select("doc_id", "same").join(first, "same").select(F.col("doc_id").alias("a"), "b").distinct(), "copies-equal")
+    texts = stored(held.join(equal.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "same"]).drop("same"), "copies-texts")
+    passages = texts.select("doc_id", F.explode("fps").alias("fp"))
     distinct = stored(passages.select("fp").distinct(), "copies-passages")
     roots = components(near_edges(distinct), "copies-classes")
     classed = stored(passages.join(roots, passages.fp == roots.node, "left").select("doc_id", F.coalesce("root", "fp").alias("c")).distinct(), "copies-classed")
     ends = classed.groupBy("c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    pairs = classed.join(ends, "c").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other").distinct()
-    left = held.select("doc_id", F.col("x").alias("x1"), F.col("y").alias("y1"))
-    right = held.select(F.col("doc_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    far = F.bit_count(F.col("x1").bitwiseXOR(F.col("x2"))) + F.bit_count(F.col("y1").bitwiseXOR(F.col("y2")))
-    near = pairs.join(left, "doc_id").join(right, "other").where(far <= FAR)
-    found = components(near.select(F.col("doc_id").alias("a"), F.col("other").alias("b")), "copies-groups")
+    of_passages = classed.join(ends, "c").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
+    pairs = stored(of_passages.select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct(), "copies-pairs")
+    # one pair of each text first; then those that its links leave apart
+    begun = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    near = stored(confirmed(begun, texts), "copies-near")
+    apart = components(near, "copies-begun")
+    open_ = pairs.join(apart.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(apart.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    open_ = open_.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(begun, ["a", "b"], "left_anti")
+    edges = near.unionByName(confirmed(open_, texts)).unionByName(equal.where("a <> b"))
+    found = components(edges, "copies-groups")
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts whose shingle sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similar(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))]
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    left = texts.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def op8_simhash_covering_lsh(spark, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, fingerprint (16 hex digits), component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -114,3 +114,14 @@ def test_near_copies(spark):
     assert simhash.near_copies(cases.docs(spark, [])).count() == 0
     odd = {r.doc_id: r.component_id for r in simhash.near_copies(cases.messy(spark, cases.awkward())).collect()}
     assert odd[7] == 6 and odd[1] == odd[16] == 0 and None not in odd
+
+
+def invented(rng, n):
+    return ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
+
+
+def test_no_near_copies_below_the_similarity(spark):
+    rng = random.Random(13)
+    form = invented(rng, 320)
+    texts = [" ".join(form + invented(rng, 80)) for _ in range(300)]  # similarity 0.65
+    assert simhash.near_copies(cases.docs(spark, texts)).count() == 0
