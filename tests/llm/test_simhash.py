@@ -120,6 +120,19 @@ def invented(rng, n):
     return ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
 
 
+def test_near_copies_made_of_shared_passages(spark):
+    rng = random.Random(12)
+    pool = [invented(rng, 60) for _ in range(40)]
+    texts = [[w for p in rng.sample(range(40), 8) for w in pool[p]] for _ in range(1500)]
+    at = rng.sample(range(200, 1300), 100)
+    for i in at:
+        twin = list(texts[i])
+        twin[rng.randrange(len(twin))] = "edited"
+        texts.append(twin)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(cases.docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert sum(got.get(1500 + j, -1) == got.get(i, -2) for j, i in enumerate(at)) >= 99
+
+
 def test_no_near_copies_below_the_similarity(spark):
     rng = random.Random(13)
     form = invented(rng, 320)
