@@ -10,7 +10,6 @@ from stockloom.functions.expr import (
     contains_any, days_before, dbl, first_match, lng, lookup, ratio, rnd, stddev_from_sums, top, total,
 )
 from stockloom.operators import facts, pareto
-from stockloom.session import cut_lineage
 
 
 def _sku_sales(T, as_of, location, months) -> DataFrame:
@@ -48,9 +47,7 @@ def _sku_sales(T, as_of, location, months) -> DataFrame:
 
 def abc_xyz(T, as_of, location=None, months: int = 12) -> DataFrame:
     """ABC-1: revenue class by running share, demand class by month-to-month variation."""
-    skus = cut_lineage(_sku_sales(T, as_of, location, months))
-    ranked = pareto.add_rank(pareto.add_abc(skus, "total_revenue"), "stock_id", "total_revenue")
-    n_skus = skus.filter(F.col("total_revenue") > 0).agg(F.count(F.lit(1)).alias("n")).scalar()
+    ranked = pareto.add_abc(_sku_sales(T, as_of, location, months), "total_revenue")
     value = facts.valued_balance(T).groupBy("stock_id").agg(F.sum("balance_qty").alias("bal"), F.sum("value").alias("value"))
     products = facts.with_category(facts.product_names(T, "category_id", "ud1_code"), T)
     avg = ratio("total_qty", "months_with_sales")
@@ -60,7 +57,6 @@ def abc_xyz(T, as_of, location=None, months: int = 12) -> DataFrame:
     return (
         ranked.join(products, "stock_id")
         .join(value, "stock_id", "left")
-        .withColumn("total_skus", n_skus)
         .withColumn("avg", avg)
         .withColumn("cv_raw", cv)
         .select(
@@ -78,7 +74,7 @@ def abc_xyz(T, as_of, location=None, months: int = 12) -> DataFrame:
             rnd(F.col("share") * 100, 2).alias("cumulative_pct"),
             rnd(ratio("total_revenue", "grand_total") * 100, 3).alias("revenue_contribution_pct"),
             "rank",
-            lng("total_skus").alias("total_skus"),
+            lng("total_rows").alias("total_skus"),
             "abc_class",
             first_match([(F.col("cv_raw") < 0.5, "X"), (F.col("cv_raw") <= 1.0, "Y")], "Z").alias("xyz_class"),
         )

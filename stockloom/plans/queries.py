@@ -15,7 +15,6 @@ from stockloom.operators import (
     abcxyz, assortment, balance, dashboard, expiry, facts, outlet, purchasing, seasonal, sellout, sku, transfer, yoy,
 )
 from stockloom.plans import monthly, summary
-from stockloom.session import cut_lineage
 from stockloom.sources.star import AS_OF, EXPIRY_AS_OF, StarTables
 
 QUERIES = {}
@@ -90,7 +89,7 @@ query("smr4_company_balance")(lambda T: summary.company_balance(T).select("stock
 query("smr5_purchase_uom")(
     lambda T: summary.purchase_uom(T).select("stock_id", "order_uom", dbl("order_uom_rate").alias("order_uom_rate"), "order_uom_desc")
 )
-query("smr6_abc_class")(lambda T: summary.abc_class(cut_lineage(_rolled(T))))
+query("smr6_abc_class")(lambda T: summary.abc_class(_rolled(T)))
 query("smr7_movement_summary")(_summary)
 query("smr7_movement_summary_plain")(lambda T: summary.movement_summary(T, AS_OF, base_uom=False))
 query("smr8_health_score")(lambda T: _summary(T).select("stock_id", *SCORES))

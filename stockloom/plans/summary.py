@@ -10,7 +10,7 @@ from stockloom.functions.expr import (
     count_if, day, days_before, dbl, first_match, lng, lookup, ratio, rnd, stddev_from_sums, top,
 )
 from stockloom.operators import facts, pareto
-from stockloom.session import cut_lineage
+from stockloom.session import read_alike
 
 WINDOWS = (7, 14, 30, 90, 365)
 MIN_CV_MONTHS = 3
@@ -142,6 +142,12 @@ def abc_class(rolled: DataFrame) -> DataFrame:
     return pareto.add_abc(rolled.select("stock_id", "rev_365d"), "rev_365d").select("stock_id", "abc_class")
 
 
+def add_class(rolled: DataFrame) -> DataFrame:
+    """SMR-6 on the rows themselves, by the least revenue of each class; no row is moved."""
+    limits = pareto.abc_limits(rolled, "stock_id", "rev_365d")
+    return rolled.withColumn("limits", limits).withColumn("abc_class", pareto.class_of("rev_365d", F.col("limits"))).drop("limits")
+
+
 # --- SMR-7 columns ----------------------------------------------------------
 # Comparisons stay in whole decimals (q7/7 > q30/30 * 1.5 as q7*30 > q30*7*1.5),
 # so a value exactly on a boundary falls on the right side.
@@ -209,22 +215,22 @@ def health_score_v2(df: DataFrame) -> DataFrame:
     )
 
 
-def movement_summary(T, as_of, base_uom: bool = True, grain: DataFrame | None = None) -> DataFrame:
+def movement_summary(T, as_of, base_uom: bool = True, grain: DataFrame | None = None, rolled: DataFrame | None = None) -> DataFrame:
     """SMR-7: one wide row per active stock.
 
-    The rolled-up frame (one row per stock) feeds the maxima, the running
-    share and the summary itself, so it is materialised once. A ready day
-    grain can be passed in, as the incremental refresh does.
+    The rolled-up frame (one row per stock) feeds the maxima, the class limits and the summary
+    itself; all read the same columns of it, so its exchange runs once. A ready day
+    grain can be passed in, or a ready rolled-up frame, as the stored refresh does.
     """
-    grain = day_grain(facts.cash_sales(T), as_of) if grain is None else grain
-    rolled = cut_lineage(roll_up(grain, T, as_of, base_uom))
+    if rolled is None:
+        rolled = roll_up(day_grain(facts.cash_sales(T), as_of) if grain is None else grain, T, as_of, base_uom)
+    rolled = read_alike(rolled)
     peak = max_values(rolled).agg(F.struct(F.max("max_qty").alias("q"), F.max("max_rev").alias("r")).alias("m")).scalar()
     products = facts.base_products(T, active_only=True)
     brand = T.brand.select("brand_id", F.col("description").alias("brand"))
     df = (
-        products.join(rolled, "stock_id", "left")
+        products.join(add_class(rolled), "stock_id", "left")
         .join(company_balance(T, base_uom), "stock_id", "left")
-        .join(abc_class(rolled), "stock_id", "left")
     )
     if base_uom:
         df = df.join(purchase_uom(T), "stock_id", "left")

@@ -1,6 +1,7 @@
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockloom.operators import pareto
@@ -45,7 +46,57 @@ def test_rank_is_a_permutation_ordered_by_value(spark):
     assert all(a.rev >= b.rev for a, b in zip(ranked, ranked[1:]))
 
 
-def test_buckets_keep_order(spark):
-    df = spark.range(1, 200000, 37).select((F.col("id") / 10).cast("decimal(28,4)").alias("v")).withColumn("b", pareto._bucket("v"))
-    bad = df.alias("x").orderBy("v").select("b").collect()
-    assert all(a.b <= b.b for a, b in zip(bad, bad[1:]))
+def _brute(values):
+    import hashlib
+
+    rows = [(f"S{i:05d}", Decimal(str(v))) for i, v in enumerate(values) if v > 0]
+    rows.sort(key=lambda r: (-r[1], hashlib.md5(r[0].encode()).hexdigest()[:2], r[0]))
+    return {k: (i + 1, sum(x for _, x in rows if x >= v)) for i, (k, v) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("values", [
+    [Decimal(1000) + Decimal(i) / 10_000 for i in range(1200)],  # all in one narrow band
+    [7.5] * 1200,  # one value
+    [7.5] * 700 + [9, 9, 9] * 100 + [3, 8] * 100 + [0, -1],
+    [5], [3, 3], [],
+])
+def test_ranges_follow_the_data(spark, values):
+    rows = pareto.ranged(_frame(spark, values), "stock_id", "rev").collect()
+    want = _brute(values)
+    assert {r.stock_id: (r["rank"], r.running_total) for r in rows} == want and len(rows) == len(want)
+    assert all(r.total_rows == len(want) and r.grand_total == sum(Decimal(str(v)) for v in values if v > 0) for r in rows)
+
+
+def test_ranges_are_even_even_for_one_value(spark):
+    for values in ([7.5] * 4000, [Decimal(i) / 7 for i in range(1, 4001)]):
+        df = _frame(spark, [round(float(v), 4) for v in values])
+        place = pareto._place("stock_id", "rev")
+        bounds = pareto.range_bounds(df, place, "stock_id", 8)
+        dealt = df.withColumn("bounds", bounds).select(pareto.range_number(place, F.col("bounds"), 8).alias("part"))
+        sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+        assert len(sizes) >= 8 and max(sizes) < 2 * 4000 / 8
+
+
+def test_limits_give_the_classes(spark):
+    rnd = random.Random(3)
+    df = _frame(spark, [rnd.choice([0, -2, 1, 5, 5, 40]) * rnd.randint(1, 30) for _ in range(600)])
+    limits = pareto.abc_limits(df, "stock_id", "rev")
+    got = {r.stock_id: r.c for r in df.withColumn("l", limits).select("stock_id", pareto.class_of("rev", F.col("l")).alias("c")).collect() if r.c}
+    assert got == {r.stock_id: r.abc_class for r in pareto.add_abc(df, "rev").collect()} and set(got.values()) == set("ABC")
+    alone = _frame(spark, [90, 5, 5])
+    got = {r.stock_id: r.c for r in alone.withColumn("l", pareto.abc_limits(alone, "stock_id", "rev")).select("stock_id", pareto.class_of("rev", F.col("l")).alias("c")).collect()}
+    assert got == {"S00000": "B", "S00001": "C", "S00002": "C"}
+
+
+def test_upstream_runs_once_and_nothing_runs_while_building(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    df = spark.range(500).select(F.col("id").cast("string").alias("stock_id"), (F.col("id") % 9).cast("decimal(28,4)").alias("rev"), F.col("id").alias("other"))
+    grouped = df.repartition("stock_id").groupBy("stock_id").agg(F.sum("rev").cast("decimal(28,4)").alias("rev"), F.max("other").alias("other"))
+    got = pareto.add_abc(grouped, "rev")
+    assert not tracker.getJobIdsForGroup("building")
+    got.collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")
+    assert sum("Range (0, 500" in part and "ReusedExchange" not in part.split("Range (0, 500")[0][-400:] for part in final[:1]) <= 1
+    assert "ReusedExchange" in "".join(final)
