@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom import config
@@ -10,6 +10,7 @@ from stockloom.functions.expr import (
     contains_any, days_before, dbl, first_match, lng, lookup, ratio, rnd, stddev_from_sums, top, total,
 )
 from stockloom.operators import facts, pareto
+from stockloom.session import cut_lineage
 
 
 def _sku_sales(T, as_of, location, months) -> DataFrame:
@@ -47,7 +48,7 @@ def _sku_sales(T, as_of, location, months) -> DataFrame:
 
 def abc_xyz(T, as_of, location=None, months: int = 12) -> DataFrame:
     """ABC-1: revenue class by running share, demand class by month-to-month variation."""
-    ranked = pareto.add_abc(_sku_sales(T, as_of, location, months), "total_revenue")
+    ranked = pareto.add_abc(cut_lineage(_sku_sales(T, as_of, location, months)), "total_revenue")
     value = facts.valued_balance(T).groupBy("stock_id").agg(F.sum("balance_qty").alias("bal"), F.sum("value").alias("value"))
     products = facts.with_category(facts.product_names(T, "category_id", "ud1_code"), T)
     avg = ratio("total_qty", "months_with_sales")
@@ -138,8 +139,7 @@ def abc_distribution(abc: DataFrame) -> DataFrame:
     per_class = abc.groupBy("abc_class").agg(
         lng(F.count("stock_id")).alias("sku_count"), F.sum(F.col("total_revenue").cast("decimal(28,2)")).alias("r")
     )
-    everything = abc.agg(F.sum(F.col("total_revenue").cast("decimal(28,2)")).alias("g")).scalar()
-    return per_class.withColumn("g", everything).select(
+    return per_class.withColumn("g", F.sum("r").over(Window.partitionBy())).select(  # three rows
         "abc_class", "sku_count", dbl("r").alias("revenue"), F.coalesce(rnd(ratio("r", "g") * 100, 1), F.lit(0.0)).alias("revenue_pct")
     )
 

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.functions.expr import dbl, first_match
-from stockloom.session import read_alike
 
 #: Sampled rows for each range: with 32, few ranges are over 1.6 times the mean.
 SAMPLED = 32
@@ -48,10 +47,11 @@ def range_number(place, bounds, ranges: int):
 def ranged(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows with a positive value plus rank, running_total (ties share it), grand_total and total_rows.
 
-    Keys are unique.
+    Keys are unique. The rows are read for the bounds, for the totals and for the result; a frame
+    that is not reduced yet is better stored or checkpointed before.
     """
     ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = read_alike(df.filter(F.col(value) > 0))
+    rows = df.filter(F.col(value) > 0)
     place = _place(key, value)
     bounded = rows.withColumn("bounds", range_bounds(rows, place, key, ranges)).withColumn("place", place)
     dealt = bounded.withColumn("part", range_number(F.col("place"), F.col("bounds"), ranges))

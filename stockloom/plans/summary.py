@@ -10,7 +10,7 @@ from stockloom.functions.expr import (
     count_if, day, days_before, dbl, first_match, lng, lookup, ratio, rnd, stddev_from_sums, top,
 )
 from stockloom.operators import facts, pareto
-from stockloom.session import read_alike
+from stockloom.session import cut_lineage
 
 WINDOWS = (7, 14, 30, 90, 365)
 MIN_CV_MONTHS = 3
@@ -219,12 +219,11 @@ def movement_summary(T, as_of, base_uom: bool = True, grain: DataFrame | None =
     """SMR-7: one wide row per active stock.
 
     The rolled-up frame (one row per stock) feeds the maxima, the class limits and the summary
-    itself; all read the same columns of it, so its exchange runs once. A ready day
-    grain can be passed in, or a ready rolled-up frame, as the stored refresh does.
+    itself, so it is materialised once. A ready day grain can be passed in, or a ready
+    rolled-up frame, as the stored refresh does; nothing runs while the query is built then.
     """
     if rolled is None:
-        rolled = roll_up(day_grain(facts.cash_sales(T), as_of) if grain is None else grain, T, as_of, base_uom)
-    rolled = read_alike(rolled)
+        rolled = cut_lineage(roll_up(day_grain(facts.cash_sales(T), as_of) if grain is None else grain, T, as_of, base_uom))
     peak = max_values(rolled).agg(F.struct(F.max("max_qty").alias("q"), F.max("max_rev").alias("r")).alias("m")).scalar()
     products = facts.base_products(T, active_only=True)
     brand = T.brand.select("brand_id", F.col("description").alias("brand"))

@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "stockloom", shuffle_partitions: int = 8) -> SparkSession:
@@ -49,13 +48,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def read_alike(df: DataFrame) -> DataFrame:
-    """The same rows, of which every branch reads all columns.
-
-    Spark computes an exchange once for all branches of a query that need the same columns
-    of it. Branches that need fewer would get one of their own, down to the scan. The
-    condition always holds, but the optimiser does not know it. Nothing runs while the query is built, and nothing stays behind.
-    """
-    return df.filter(F.hash(*df.columns) >= F.lit(-(2**31)))
