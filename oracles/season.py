@@ -97,3 +97,6 @@ SQL = {
         CASE WHEN y >= 2001 THEN 'new' WHEN y >= 2000 THEN 'ramping' ELSE 'mature' END AS cohort_status
         FROM (SELECT location_id, year(MIN(doc_date)) AS y, SUM(amount) FILTER ({CY}) AS cy, SUM(amount) FILTER ({LY}) AS ly FROM sales_line WHERE channel = 'CASH' GROUP BY 1) GROUP BY y"""),
 }
+
+SQL["sea1_closed_months"] = SQL["sea1_seasonal_patterns_all"]
+SQL["src5_closed_months"] = SQL["src5_monthly_sales"]

@@ -164,3 +164,9 @@ SQL = {
         trend_7d_vs_30d AS trend_pct, ams_3m, seasonality_type, velocity_category, lead_time_category, reorder_recommendation AS recommended_action,
         COALESCE(ud1_code = 'FLTHB', FALSE) AS is_house_brand, last_updated FROM monthly_table"""),
 }
+
+# stored state must give what all lines give
+SQL["smr7_refreshed_by_change"] = SQL["smr7_movement_summary"]
+SQL["mon1_closed_months"] = SQL["mon1_monthly_pivot"]
+SQL["src9_outlets_from_sets"] = SQL["src9_v_monthly_sales"]
+SQL["smr1_selling_days_from_sets"] = query(f"SELECT stock_id, {lng('selling_days_30d')} AS selling_days_30d, {lng('selling_days_90d')} AS selling_days_90d FROM rolled")

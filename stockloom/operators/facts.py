@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom import config
+from stockloom.functions import sets
 from stockloom.functions.expr import day, first_match, lng, steps_below, total
 
 
@@ -154,6 +155,28 @@ def v_monthly_sales(T, as_of, months=24) -> DataFrame:
     )
 
 
+def outlet_numbers(T) -> DataFrame:
+    """A number for each outlet, by which sets of outlets are kept; outlets are few."""
+    return T.location.select("location_id", (F.row_number().over(Window.orderBy("location_id")) - 1).alias("outlet_no"))
+
+
+def month_outlets(ledger: DataFrame, numbers: DataFrame) -> DataFrame:
+    """SRC-9 of a batch of ledger lines in a form that adds up: sums, and the outlets as a set, per stock, unit, month and set word."""
+    sold = ledger.filter(F.col("doc_type").isin(config.SALES_DOC_TYPES)).join(numbers, "location_id", "left")
+    # a word of a set is one row; the sums of the lines whose outlets it holds go with it
+    return sold.groupBy("stock_id", "uom_id", F.trunc("doc_date", "month").alias("sale_month"), sets.word(F.col("outlet_no")).alias("word")).agg(
+        F.sum("qty_out").alias("q"), F.sum(F.col("qty_out") * F.col("unit_price")).alias("r"), F.bit_or(sets.bit(F.col("outlet_no").cast("long"))).alias("bits")
+    )
+
+
+def merged_monthly_sales(batches: DataFrame) -> DataFrame:
+    """SRC-9 from the month_outlets of many batches: an outlet that sold in several counts once."""
+    united = batches.groupBy("stock_id", "uom_id", "sale_month", "word").agg(F.sum("q").alias("q"), F.sum("r").alias("r"), F.bit_or("bits").alias("bits"))
+    return united.groupBy("stock_id", F.col("uom_id").alias("stock_uom_id"), "sale_month").agg(
+        total("q").alias("total_quantity"), total("r").alias("total_revenue"), sets.members().alias("outlets_sold")
+    )
+
+
 def v_sku_intelligence(summary: DataFrame) -> DataFrame:
     """SRC-10: the summary under report names, with margin band and house-brand flag."""
     return summary.select(

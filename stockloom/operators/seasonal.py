@@ -47,9 +47,13 @@ def _by_mean(entries, descending=True):
     return F.sort_array(keyed)
 
 
-def seasonal_patterns(T, as_of, min_months: int = 12, cv_threshold: float = 0.5, limit: int | None = 500) -> DataFrame:
-    """SEA-1: variation class over two years, with the three strongest calendar months."""
-    st = _per_stock(facts.monthly_sales(T, days_before(as_of, HISTORY_DAYS))).filter(F.col("n") >= min_months)
+def seasonal_patterns(T, as_of, min_months: int = 12, cv_threshold: float = 0.5, limit: int | None = 500, monthly: DataFrame | None = None) -> DataFrame:
+    """SEA-1: variation class over two years, with the three strongest calendar months.
+
+    Ready month sums of the two years can be passed in, as plans.closed gives them.
+    """
+    monthly = facts.monthly_sales(T, days_before(as_of, HISTORY_DAYS)) if monthly is None else monthly
+    st = _per_stock(monthly).filter(F.col("n") >= min_months)
     st = st.withColumn("avg", ratio("s", "n")).withColumn("dev", stddev_from_sums(F.col("n"), F.col("s"), F.col("q")))
     st = st.withColumn("cv", ratio("dev", "avg"))
     out = facts.enrich(st, T, category=True).select(

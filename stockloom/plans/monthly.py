@@ -21,6 +21,12 @@ def monthly_pivot(ledger: DataFrame, as_of) -> DataFrame:
     this = F.trunc(day(as_of), "month")
     sold = period(ledger, F.add_months(this, -12)).filter(F.col("doc_type").isin(config.SALES_DOC_TYPES))
     per_month = sold.groupBy("stock_id", F.trunc("doc_date", "month").alias("month")).agg(F.sum("root_uom_qty_out").alias("qty"))
+    return pivot(per_month, as_of)
+
+
+def pivot(per_month: DataFrame, as_of) -> DataFrame:
+    """MON-1 from month sums (stock_id, month, qty), as plans.closed keeps them."""
+    this = F.trunc(day(as_of), "month")
     pick = [
         F.max(F.when(F.col("month") == F.add_months(this, -i), F.col("qty")).otherwise(F.lit(0))).cast("decimal(28,4)").alias(m)
         for i, m in enumerate(MONTHS)

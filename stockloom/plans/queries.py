@@ -10,13 +10,17 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from stockloom import config
+from stockloom.functions import sets
 from stockloom.functions.expr import days_before, dbl, lng, rnd
 from stockloom.operators import (
     abcxyz, assortment, balance, dashboard, expiry, facts, outlet, purchasing, seasonal, sellout, sku, transfer, yoy,
 )
-from stockloom.plans import monthly, summary
-from stockloom.session import cut_lineage
+from stockloom.plans import closed, incremental, monthly, summary
+from stockloom.session import cut_lineage, fresh_folder
+from stockloom.sources.catalog import SomeLines
 from stockloom.sources.star import AS_OF, EXPIRY_AS_OF, StarTables
+from stockloom.streaming import refresh
 
 QUERIES = {}
 
@@ -342,3 +346,70 @@ query("exp5_by_location")(lambda T: expiry.expiry_by_location(T, EXPIRY_AS_OF))
 query("exp6_expiry_items")(lambda T: expiry.expiry_items(T, EXPIRY_AS_OF))
 query("exp6_expiry_items_expired")(lambda T: expiry.expiry_items(T, EXPIRY_AS_OF, window="expired", limit=None))
 query("exp6_expiry_items_outlet")(lambda T: expiry.expiry_items(T, EXPIRY_AS_OF, location="L07", window="60_days"))
+
+# --- stored state -----------------------------------------------------------
+# One line in a hundred arrives late, after the state was stored; the results are those of all lines.
+
+
+def late():
+    return F.pmod(F.xxhash64("stock_id", "doc_date"), F.lit(100)) == 7
+
+
+def _refreshed(T):
+    """A summary stored three days earlier without the late lines, then refreshed by them and to the day."""
+    state = incremental.SummaryStore(T.spark, fresh_folder(T.spark, "summary"), buckets=16)
+    state.rebuild(SomeLines(T, ~late()), AS_OF - timedelta(days=3))
+    state.refresh(T.sales(costed=True).filter(late()), T, AS_OF, version=2)
+    return state.summary(T)
+
+
+def _closed(T, kind, lines, qty):
+    """Months closed in two goes without the late lines, then corrected by them; the month of AS_OF is open."""
+    months = closed.ClosedMonths(T.spark, fresh_folder(T.spark, "months"), {kind: qty})
+    this = AS_OF.replace(day=1)
+    for version, until in ((1, this.replace(month=5)), (2, this)):
+        months.close({kind: lines.filter(~late())}, until, version)
+    months.correct({kind: lines.filter(late())}, 3)
+    return months
+
+
+def _mon1_closed(T):
+    sold = T.stock_ledger.filter(F.col("doc_type").isin(config.SALES_DOC_TYPES))
+    months = _closed(T, "ledger", sold, "root_uom_qty_out")
+    start = AS_OF.replace(day=1).replace(year=AS_OF.year - 1)
+    return monthly.pivot(months.monthly("ledger", sold, start), AS_OF).select("stock_id", *[dbl(m).alias(m) for m in monthly.MONTHS])
+
+
+def _sea1_closed(T):
+    months = _closed(T, "sales", T.sales(), "qty")
+    ready = months.monthly("sales", T.sales(), AS_OF - timedelta(days=seasonal.HISTORY_DAYS))
+    return _text(seasonal.seasonal_patterns(T, AS_OF, min_months=6, limit=None, monthly=ready), "top_3_peak_months")
+
+
+def _batches(lines, reduce):
+    """What five batches of lines are reduced to, side by side."""
+    number = F.pmod(F.xxhash64("stock_id", "location_id", "doc_date"), F.lit(5))
+    parts = [reduce(lines.filter(number == i)) for i in range(5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _days_of_batches(T):
+    days = sets.union(_batches(facts.cash_sales(T, costed=False), refresh.selling_days), ["stock_id"])
+    return refresh.count_days(days, AS_OF)
+
+
+def _outlets_of_batches(T):
+    numbers = facts.outlet_numbers(T)
+    ledger = facts.period(T.stock_ledger, F.add_months(F.lit(AS_OF), -24))
+    return facts.merged_monthly_sales(_batches(ledger, lambda lines: facts.month_outlets(lines, numbers)))
+
+
+query("smr7_refreshed_by_change")(_refreshed)
+query("mon1_closed_months")(_mon1_closed)
+query("sea1_closed_months")(_sea1_closed)
+query("src5_closed_months")(lambda T: _doubles(_closed(T, "sales", T.sales(), "qty").monthly("sales", T.sales()), "qty"))
+query("smr1_selling_days_from_sets")(_days_of_batches)
+query("src9_outlets_from_sets")(_outlets_of_batches)

@@ -1,16 +1,18 @@
 """Storing a rebuilt summary so that readers always see a whole one.
 
 A run's files appear one by one while it is written. So a run counts only once it
-is published: a row in a small table of its own, written after the data. Readers look at that
-table and open the newest published run alone.
+is published: one small file, replaced in one step, names the current run and the few before it that are
+kept. Readers look at that file and open the current run alone. A run that was published is never written again.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from stockloom.sources.store import Pointer, located
 
 TABLE = "stock_movement_summary"
 PUBLISHED = f"{TABLE}_published"
@@ -20,33 +22,44 @@ def _folder(root: str, run: int) -> str:
     return os.path.join(root, TABLE, f"run={run}")
 
 
+def _pointer(root: str) -> Pointer:
+    return Pointer(os.path.join(root, PUBLISHED), "current.json")
+
+
+def published_runs(root: str) -> list[int]:
+    """Published runs that are kept, newest first."""
+    return (_pointer(root).read() or {"runs": []})["runs"]
+
+
 def store_summary(summary: DataFrame, root: str, run: int) -> str:
-    """Write a rebuild into a folder of its own, then publish it; earlier runs stay readable meanwhile."""
+    """Write a rebuild into a folder of its own, then publish it; earlier runs stay readable meanwhile.
+
+    Runs are numbered upwards. What a failed attempt left in the folder is overwritten.
+    """
+    runs = published_runs(root)
+    if runs and run <= runs[0]:
+        raise ValueError(f"run {run} is not after the published {runs[0]}")
     path = _folder(root, run)
     summary.write.mode("overwrite").parquet(path)
-    marker = summary.sparkSession.range(1).select(F.lit(run).cast("long").alias("run"))
-    marker.coalesce(1).write.mode("append").parquet(os.path.join(root, PUBLISHED))
+    _pointer(root).write({"runs": [run, *runs]})
     return path
 
 
-def published_runs(spark: SparkSession, root: str) -> list[int]:
-    """Published runs, newest first; a row for each rebuild, so the list is short."""
-    rows = spark.read.schema("run long").parquet(os.path.join(root, PUBLISHED)).distinct().orderBy(F.desc("run")).collect()
-    return [r.run for r in rows]
-
-
 def latest_summary(spark: SparkSession, root: str) -> DataFrame:
     """The newest published rebuild; no other run's folder is opened."""
-    return spark.read.parquet(_folder(root, published_runs(spark, root)[0]))
+    return spark.read.parquet(_folder(root, published_runs(root)[0]))
 
 
 def drop_old_runs(spark: SparkSession, root: str, keep: int = 3) -> list[int]:
-    """Delete the data of all but the newest published runs and shorten the list of them; returns what went.
+    """Delete the data of all but the newest published runs and take them off the list; returns what went.
 
     Call it from the job that stores, between two runs.
     """
-    runs = published_runs(spark, root)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    store = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    gone = [r for r in runs[keep:] if store.delete(hadoop.Path(_folder(root, r)), True)]
+    runs = published_runs(root)
+    gone = runs[keep:]
+    _pointer(root).write({"runs": runs[:keep]})  # first off the list, so that the list names nothing that is gone
+    for run in gone:
+        store, path = located(_folder(root, run))
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
     return gone

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A folder name under the shared one that no other run uses."""
+    return f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -30,6 +30,21 @@ class Tables:
         return self.sales_line
 
 
+class SomeLines(Tables):
+    """The tables of another source, of whose sales lines only some have arrived."""
+
+    def __init__(self, T: Tables, arrived):
+        self._all, self._arrived = T, arrived
+
+    def sales(self, costed: bool = False) -> DataFrame:
+        return self._all.sales(costed).filter(self._arrived)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self.sales(True) if name == "sales_line" else getattr(self._all, name)
+
+
 class ParquetTables(Tables):
     """Tables kept as one Parquet folder per name under a root."""
 
