@@ -5,6 +5,8 @@ return the columns of `documents`. A stage's result is written as Parquet in the
 folder and read again as the next stage's docs, so a stage can be run anew alone.
 Every decision is taken on what the stage before kept.
 
+Near copies are texts whose fingerprints of three-word shingles differ in two bits at most, and what such links connect.
+
 Null texts and texts without a letter end in the first stage. A row with a null
 doc_id cannot be named by the second and fourth stage and passes them. Rows that
 repeat a doc_id share its fate. Other columns are dropped in the first stage.
@@ -39,8 +41,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    found = simhash.near_copies(docs)
+    """One document of each group of near copies, by the SimHash operator at its contract's settings: that with the smallest doc_id."""
+    found = simhash.near_duplicates(docs, shingle=3, radius=2)
     others = stored(found.where("doc_id <> component_id").select("doc_id"), "pipeline-copies")
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
