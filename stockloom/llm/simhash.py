@@ -18,21 +18,11 @@ Nulls and empty texts have no word and get fingerprint zero, which is linked
 like any other. Repeated rows each give a row. Rows with a null doc_id get a
 fingerprint and a component, but name no component: its id is the smallest
 non-null doc_id, or null if there is none. Other columns are ignored.
-
-`near_copies` is the form for deduplication by similarity of word shingles. A
-similarity of 0.8 may move ten of a fingerprint's 64 bits, too many for a
-covering of the whole. So texts are cut into passages at words chosen by their hash;
-a text keeps the fingerprints of PASSAGES of them, those of the smallest hashes, as a
-minimum-hash sketch does. Passages linked as above make candidates of the documents that
-hold them and the first and last of those documents. Where many documents share passages these are not enough, so
-bands of minimum hashes over all shingles give candidates too, crowded buckets split by further bands (see `banded`).
-Every candidate is decided by the exact similarity of the two texts' shingle sets.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,10 +38,6 @@ BITS = 64
 #: Distinct fingerprints of a bucket that are compared in one go.
 BUCKET = 1024
 SEED = 42
-#: near_copies: mean words of a passage, passages kept of each text, least similarity of shingle sets.
-PASSAGE_WORDS, PASSAGES, SIMILAR = 10, 12, 0.8
-#: Minimum hashes of a text, bands they are dealt to; texts of a bucket that are all paired, bands that a bucket is split by at most.
-MINIMA, BANDS, CROWD, DEPTH = 64, 16, 16, 3
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -220,137 +206,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return fps.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Another 64 well-mixed bits of each hash."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """MINIMA minimum hashes of a set of shingle hashes."""
-    out = np.empty(MINIMA, np.uint64)
-    for i in range(MINIMA):
-        out[i] = mixed(hashes ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()
-    return out
-
-
-def sketch(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
-    """(the sorted set of shingle hashes, hashes of BANDS bands of its minima, fingerprints of its chosen passages), the last two signed."""
-    words = words_of(text)
-    if not words:
-        return b"", [0] * BANDS, [0]
-    hashes = shingle_hashes(words, shingle)
-    chosen = np.fromiter(map(zlib.crc32, words[: len(hashes)]), np.uint32, len(hashes)) % PASSAGE_WORDS == 0
-    chosen[0] = True
-    starts = np.nonzero(chosen)[0]
-    sizes = np.diff(np.append(starts, len(hashes)))
-    ones = np.zeros((len(starts), BITS), np.int64)
-    for at in range(0, len(starts), 1 << 12):  # bounded memory for very long texts
-        first, last = starts[at], starts[at + (1 << 12)] if at + (1 << 12) < len(starts) else len(hashes)
-        bits = np.unpackbits(hashes[first:last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones[at : at + (1 << 12)] = np.add.reduceat(bits, starts[at : at + (1 << 12)] - first, axis=0, dtype=np.int64)
-    fps = np.unique(np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8"))
-    kept = fps[np.argsort(mixed(fps), kind="stable")[:PASSAGES]]
-    shingles = np.unique(hashes)
-    bands = np.zeros(BANDS, np.uint64)
-    for column in least_hashes(shingles).reshape(BANDS, -1).T:
-        bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + column)
-    return shingles.tobytes(), bands.view("<i8").tolist(), kept.view("<i8").tolist()
-
-
-def similar(left: bytes, right: bytes) -> bool:
-    """Whether two sets of shingle hashes have a Jaccard similarity of SIMILAR at least; two empty ones have."""
-    a, b = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILAR * (len(a) + len(b) - both)
-
-
-def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) of documents that are near copies of others: the smallest doc_id of their group.
-
-    Documents without a near copy, and rows with a null doc_id, do not appear.
-    Rows that repeat a doc_id count as one document.
-    """
-    small_text_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [sketch(t, shingle) for t in text_bytes(b.column(1))]
-            sets, bands, fps = zip(*rows) if rows else ((), (), ())
-            longs = pa.list_(pa.int64())
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.binary()), pa.array(bands, longs), pa.array(fps, longs)], names=["doc_id", "shingles", "bands", "fps"])
-
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    every = rows.mapInArrow(run, "doc_id long, shingles binary, bands array<long>, fps array<long>")
-    # equal sets are one text from here on: that of their smallest doc_id
-    held = stored(every.withColumn("same", F.sha2("shingles", 256)), "copies-sketches")
-    first = held.groupBy("same").agg(F.min("doc_id").alias("b"))
-    equal = stored(held.select("doc_id", "same").join(first, "same").select(F.col("doc_id").alias("a"), "b").distinct(), "copies-equal")
-    texts = stored(held.join(equal.where("a = b").select(F.col("a").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "same"]).drop("same"), "copies-texts")
-    passages = texts.select("doc_id", F.explode("fps").alias("fp"))
-    distinct = stored(passages.select("fp").distinct(), "copies-passages")
-    roots = components(near_edges(distinct), "copies-classes")
-    classed = stored(passages.join(roots, passages.fp == roots.node, "left").select("doc_id", F.coalesce("root", "fp").alias("c")).distinct(), "copies-classed")
-    ends = classed.groupBy("c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    of_passages = classed.join(ends, "c").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
-    pairs = stored(of_passages.unionByName(banded(texts)).select(F.greatest("doc_id", "other").alias("a"), F.least("doc_id", "other").alias("b")).distinct(), "copies-pairs")
-    # one pair of each text first; then those that its links leave apart
-    begun = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    near = stored(confirmed(begun, texts), "copies-near")
-    apart = components(near, "copies-begun")
-    open_ = pairs.join(apart.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(apart.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    open_ = open_.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(begun, ["a", "b"], "left_anti")
-    edges = near.unionByName(confirmed(open_, texts)).unionByName(equal.where("a <> b"))
-    found = components(edges, "copies-groups")
-    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts whose shingle sets are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = [similar(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))]
-            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def banded(texts: DataFrame) -> DataFrame:
-    """Candidate pairs (doc_id, other) of texts with equal bands of minima.
-
-    Texts with a band in common, CROWD at most, are all paired. Larger buckets are split
-    by one more later band each time, up to DEPTH bands; in what is still larger than CROWD then, each text
-    is paired with the smallest of the bucket and the smallest of each split by one further band.
-    """
-    bands = stored(texts.select("doc_id", "bands"), "copies-bands")
-    now = bands.select("doc_id", "bands", F.posexplode("bands").alias("at", "key")).select("doc_id", "bands", "at", F.xxhash64("at", "key").alias("key"))
-    found = None
-
-    def star(rows: DataFrame) -> DataFrame:
-        low = rows.groupBy("key").agg(F.min("doc_id").alias("other"))
-        return rows.join(low, "key").where("doc_id <> other").select("doc_id", "other").distinct()
-
-    for depth in range(1, DEPTH + 1):
-        now = stored(now, "copies-buckets")
-        sizes = now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        few = now.join(sizes.where(F.col("n") <= CROWD), "key").groupBy("key").agg(F.collect_list("doc_id").alias("ds"))
-        got = few.select(F.explode("ds").alias("doc_id"), "ds").select("doc_id", F.explode("ds").alias("other")).where("doc_id > other").distinct()
-        crowded = now.join(sizes.where(F.col("n") > CROWD).select("key"), "key")
-        later = F.filter(F.transform("bands", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda b: b.i > F.col("at"))
-        split = crowded.select("doc_id", "bands", "key", F.explode(later).alias("t")).select("doc_id", "bands", F.col("t.i").alias("at"), F.xxhash64("key", "t.i", "t.x").alias("key"))
-        if depth == DEPTH:
-            got = got.unionByName(star(crowded)).unionByName(star(split))
-        found = got if found is None else found.unionByName(got)
-        now = split
-    return found
-
-
 def op8_simhash_covering_lsh(spark, sf_dir: str) -> DataFrame:
     """Contract query: doc_id, fingerprint (16 hex digits), component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

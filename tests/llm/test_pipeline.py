@@ -1,12 +1,23 @@
 import random
 
 import corpus_pipeline as pipeline
+from stockloom.llm import simhash
 from stockloom.llm.common import run_folder
 from tests.llm import cases
 
 SOUND = {"en": ["the", "tion", "er", "and", "ing", "wh"], "de": ["sch", "ung", "der", "ein", "ß", "ge"]}
 
 
+def edited(text, near):
+    """The text with one word changed, such that the fingerprints are within two bits, or are not."""
+    words = text.split()
+    for at in range(len(words)):
+        other = " ".join([*words[:at], "changed", *words[at + 1 :]])
+        if near == ((simhash.fingerprint(text.encode(), 3) ^ simhash.fingerprint(other.encode(), 3)).bit_count() <= 2):
+            return other
+    raise AssertionError("no such edit")
+
+
 def corpus():
     rng = random.Random(11)
     prose = lambda lang, n: " ".join("".join(rng.choice(SOUND[lang]) for _ in range(rng.randint(2, 5))) for _ in range(n))
@@ -15,9 +26,9 @@ def corpus():
     texts = [prose(langs[i % 2], rng.randint(40, 120)) for i in range(240)]
     labels = {i: langs[i % 2] for i in range(240)}
     texts[10] = texts[0]  # exact copy
-    words = texts[2].split()
-    words[7] = "changed"
-    texts[12] = " ".join(words)  # near copy
+    for first, copy, near in ((2, 12, True), (4, 14, False)):
+        texts[first] = prose("en", 300)
+        texts[copy] = edited(texts[first], near)
     shared = prose("en", 25)
     texts[20] += " " + shared
     texts[40] = texts[40] + " " + shared + " é"
@@ -40,7 +51,8 @@ def test_stages(spark):
         assert docs.columns == pipeline.COLUMNS and set(before) - set(after) == lost
         changed = {d for d in after if after[d].text != before[d].text}
         if stage is pipeline.repeated_passages:
-            assert changed == {40} and len(before[40].text) - len(after[40].text) > 100 and after[40].n_chars == len(after[40].text)
+            # 14 is no near copy, but all it has besides the changed word is in 4
+            assert changed == {14, 40} and len(after[14].text) < 200 and len(before[40].text) - len(after[40].text) > 100 and after[40].n_chars == len(after[40].text)
         else:
             assert not changed
     pieces = pipeline.packed(spark, docs, folder).collect()

@@ -91,50 +91,3 @@ def test_links_of_crowded_fingerprints(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(cases.docs(spark, [])).count() == 0
-
-
-def test_near_copies(spark):
-    rng = random.Random(8)
-    prose = lambda n: ["".join(rng.choice(["ta", "ke", "mi", "o", "ru", "s"]) for _ in range(rng.randint(1, 5))) for _ in range(n)]
-    shared = prose(25)
-    texts, twin = [], {}
-    for i in range(200):
-        words = prose(rng.choice([50, 90, 200, 900])) + (shared if i % 3 == 0 else [])
-        texts.append(" ".join(words))
-        for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
-            words[at] = rng.choice([words[at] + "x", "new", ""])
-        twin[i] = " ".join(w for w in words if w)
-    both = texts + [twin[i] for i in range(200)] + [texts[5], texts[6]]
-    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in both)]
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(cases.docs(spark, both)).collect()}
-    similar = [i for i in range(200) if len(sets[i] & sets[i + 200]) >= 0.8 * len(sets[i] | sets[i + 200])]
-    assert len(similar) > 100 and sum(got.get(i + 200) == i for i in similar) >= 0.97 * len(similar)
-    assert got[400] == 5 and got[401] == 6
-    assert all(d % 200 == c or d >= 400 for d, c in got.items())  # nothing else is joined
-    assert simhash.near_copies(cases.docs(spark, [])).count() == 0
-    odd = {r.doc_id: r.component_id for r in simhash.near_copies(cases.messy(spark, cases.awkward())).collect()}
-    assert odd[7] == 6 and odd[1] == odd[16] == 0 and None not in odd
-
-
-def invented(rng, n):
-    return ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
-
-
-def test_near_copies_made_of_shared_passages(spark):
-    rng = random.Random(12)
-    pool = [invented(rng, 60) for _ in range(40)]
-    texts = [[w for p in rng.sample(range(40), 8) for w in pool[p]] for _ in range(1500)]
-    at = rng.sample(range(200, 1300), 100)
-    for i in at:
-        twin = list(texts[i])
-        twin[rng.randrange(len(twin))] = "edited"
-        texts.append(twin)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(cases.docs(spark, [" ".join(t) for t in texts])).collect()}
-    assert sum(got.get(1500 + j, -1) == got.get(i, -2) for j, i in enumerate(at)) >= 99
-
-
-def test_no_near_copies_below_the_similarity(spark):
-    rng = random.Random(13)
-    form = invented(rng, 320)
-    texts = [" ".join(form + invented(rng, 80)) for _ in range(300)]  # similarity 0.65
-    assert simhash.near_copies(cases.docs(spark, texts)).count() == 0
