@@ -1,3 +1,4 @@
+from stockloom import config
 from oracles.base import AS_OF, cte, dbl, lng, query, ratio, rnd, sd
 
 cte("abc_month", f"""SELECT s.stock_id, date_trunc('month', doc_date) AS mon, SUM(qty) AS q, SUM(amount) AS r,
@@ -50,3 +51,7 @@ SQL = {
         FROM abc_scored WHERE abc_class = 'C' AND xyz_class = 'Z' AND NOT is_protected AND raw_score < 30
         ORDER BY health_score, stock_id LIMIT 50"""),
 }
+
+_fixed = ", ".join(f"('{b}')" for b in sorted({*config.PROTECTED_BRANDS, *config.MUST_HAVE_BRANDS}))
+SQL["abc3_many_brands"] = query(f"""WITH patterns AS (SELECT DISTINCT substr(upper(p_name), 2, 7) AS pattern FROM part WHERE p_partkey % 40 = 0 UNION SELECT * FROM (VALUES {_fixed}))
+    SELECT stock_id, EXISTS (SELECT 1 FROM patterns WHERE length(pattern) >= 3 AND contains(stock_name, pattern)) AS is_branded FROM product""")

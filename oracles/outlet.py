@@ -276,3 +276,7 @@ SQL = {
     "exp6_expiry_items_expired": query(f"{ITEMS} days < 0"),
     "exp6_expiry_items_outlet": query(f"{ITEMS} days BETWEEN 0 AND 60 AND b.location_id = 'L07' ORDER BY days_until_expiry, b.location_id, b.stock_id, expiry_date LIMIT 100"),
 }
+
+SQL["osi3_stored_page"] = SQL["osi3_outlet_page"]
+for _name, _needle in (("sku1_indexed_search", "Ring"), ("sku1_indexed_search_short", "9")):
+    SQL[_name] = query(f"SELECT stock_id, stock_name, barcode FROM product WHERE stock_id ILIKE '%{_needle}%' OR stock_name ILIKE '%{_needle}%' OR barcode ILIKE '%{_needle}%'")

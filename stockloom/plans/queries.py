@@ -14,7 +14,7 @@ from stockloom import config
 from stockloom.functions import sets
 from stockloom.functions.expr import days_before, dbl, lng, rnd
 from stockloom.operators import (
-    abcxyz, assortment, balance, dashboard, expiry, facts, outlet, purchasing, seasonal, sellout, sku, transfer, yoy,
+    abcxyz, assortment, balance, dashboard, expiry, facts, outlet, paging, purchasing, seasonal, sellout, sku, textindex, transfer, yoy,
 )
 from stockloom.plans import closed, incremental, monthly, summary
 from stockloom.session import cut_lineage, fresh_folder
@@ -413,3 +413,32 @@ query("sea1_closed_months")(_sea1_closed)
 query("src5_closed_months")(lambda T: _doubles(_closed(T, "sales", T.sales(), "qty").monthly("sales", T.sales()), "qty"))
 query("smr1_selling_days_from_sets")(_days_of_batches)
 query("src9_outlets_from_sets")(_outlets_of_batches)
+
+
+def _stored_page(T):
+    order = paging.OutletOrder(T.spark, fresh_folder(T.spark, "order"))
+    order.rebuild(T.outlet_sku, 1)
+    return order.page(after_row=100, limit=200)
+
+
+def _indexed(T, needle):
+    """Products by a needle in id, name or barcode, through a stored index."""
+    products = facts.product_names(T)
+    index = textindex.SearchIndex(T.spark, fresh_folder(T.spark, "search"), ["stock_id", "stock_name", "barcode"], buckets=16)
+    index.build(products, 1)
+    return index.search(products, needle)
+
+
+def _many_brands(T):
+    """ABC-3's brand match by a table of patterns: pieces of every fortieth product's name, and the fixed lists."""
+    pieces = T.star("part").filter(F.col("p_partkey") % 40 == 0).select(F.substring(F.upper("p_name"), 2, 7).alias("pattern"))
+    fixed = T.spark.createDataFrame([(b,) for b in sorted({*config.PROTECTED_BRANDS, *config.MUST_HAVE_BRANDS})], "pattern string")
+    names = facts.product_names(T)
+    hit = textindex.matched(names, "stock_id", "stock_name", pieces.unionByName(fixed)).withColumn("is_branded", F.lit(True))
+    return names.join(hit, "stock_id", "left").select("stock_id", F.coalesce("is_branded", F.lit(False)).alias("is_branded"))
+
+
+query("osi3_stored_page")(_stored_page)
+query("sku1_indexed_search")(lambda T: _indexed(T, "Ring"))
+query("sku1_indexed_search_short")(lambda T: _indexed(T, "9"))
+query("abc3_many_brands")(_many_brands)

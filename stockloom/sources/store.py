@@ -67,14 +67,17 @@ class PartStore:
         """{"version", "tables": {table: {part: folder}}, "notes"} of the published version; version 0 holds nothing."""
         return self._pointer.read() or {"version": 0, "tables": {t: {} for t in self.schemas}, "notes": {}}
 
-    def write(self, table: str, rows: DataFrame, spread: str) -> dict[str, str]:
+    def write(self, table: str, rows: DataFrame, spread: str, sort: list[str] | None = None) -> dict[str, str]:
         """Write rows, which have a column `part`, into fresh folders; returns the folder of each part. Not published yet.
 
-        `spread` is a column that splits a part over several writers where it is large.
+        `spread` is a column that splits a part over several writers where it is large; `sort` orders the rows of a file.
         """
         fresh = f"{table}/{uuid.uuid4().hex}"
         typed = rows.select("part", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[table]])
-        typed.repartition("part", spread).write.partitionBy("part").parquet(f"{self.root}/{fresh}")
+        dealt = typed.repartition("part", spread)
+        if sort:
+            dealt = dealt.sortWithinPartitions("part", *sort)
+        dealt.write.partitionBy("part").parquet(f"{self.root}/{fresh}")
         store, path = located(f"{self.root}/{fresh}")
         found = store.get_file_info(fs.FileSelector(path))
         return {i.base_name.split("=", 1)[1]: f"{fresh}/{i.base_name}" for i in found if i.type == fs.FileType.Directory and i.base_name.startswith("part=")}
