@@ -197,6 +197,15 @@ def bands(n, c):
 ITEMS = f"""SELECT b.location_id, CASE WHEN b.location_id = 'WAREHOUSE' THEN 'WAREHOUSE' ELSE l.name END AS location_name, b.stock_id, b.stock_name, b.barcode, b.e AS expiry_date, {lng('b.q')} AS quantity,
     {dbl('b.cost')} AS unit_cost, {rnd('b.q * b.cost', 2)} AS total_value, {lng('b.days')} AS days_until_expiry FROM batches b LEFT JOIN location l ON l.location_id = b.location_id WHERE"""
 
+JOINED = f"""SELECT o.stock_id, COALESCE(s.order_uom_stock_name, o.stock_name) AS stock_name, s.order_uom_stock_name, o.location_id, o.location_name, 'PCS' AS base_uom, COALESCE(s.order_uom, o.order_uom) AS order_uom,
+        {dbl('COALESCE(s.order_uom_rate, o.order_uom_rate)')} AS order_uom_rate, COALESCE(s.ud1_code, o.ud1_code) AS ud1_code, {', '.join(f"{rnd(ratio(f'o.{m}', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS {m}" for m in MON)},
+        {rnd(ratio('o.total_12m', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS total_12m, {rnd('o.outlet_ams', 2)} AS ams_12m, CAST(NULL AS DOUBLE) AS pct_of_total, {rnd('o.outlet_ams', 2)} AS ams_calculated, {dbl('o.velocity_daily')} AS velocity_daily, {lng('14')} AS safety_days, {rnd(ratio('o.reorder_point', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS reorder_point, {rnd(ratio('o.max_stock', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS max_stock, {dbl('o.outlet_cv')} AS outlet_cv,
+        o.outlet_variability_class, o.outlet_variability_class AS outlet_var_class, {lng('7')} AS outlet_safety_days, {dbl('o.days_of_inventory')} AS days_of_inventory, s.trend_index, {AS_OF} AS last_updated,
+        {rnd(ratio('o.order_up_to_level', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS order_up_to_level,
+        GREATEST(0.0::DOUBLE, {rnd(ratio('o.order_up_to_level - o.current_balance', 'COALESCE(s.order_uom_rate, 1)'), 1)}) AS reorder_qty, {dbl('o.current_balance')} AS current_balance,
+        {rnd(ratio('o.current_balance', 'COALESCE(s.order_uom_rate, 1)'), 0)} AS balance_in_order_uom, {show('o.reorder_recommendation')} AS reorder_recommendation, s.demand_pattern, s.variability_class, s.abc_class
+        FROM outlet_sku o LEFT JOIN sku_summary s ON s.stock_id = o.stock_id WHERE o.location_id = 'L03'"""
+
 SQL = {
     "sku1_sku_intelligence": query(f"{SKU} {SKU_ORDER} LIMIT 100"),
     "sku1_sku_intelligence_filtered": query(f"""SELECT * FROM ({SKU} WHERE reorder_recommendation IN ('STOP_ORDERING') AND is_active AND (stock_id ILIKE '%ring%' OR stock_name ILIKE '%ring%' OR barcode ILIKE '%ring%')) {SKU_ORDER} LIMIT 50 OFFSET 10"""),
@@ -215,13 +224,8 @@ SQL = {
         ON ({ACCESS} = 'FULL') OR ({ACCESS} = 'REGION' AND w.n_regionkey = s.n_regionkey) OR ({ACCESS} = 'OUTLET' AND w.location_id = s.primary_outlet) WHERE s.is_active"""),
     "osi1_outlet_intelligence": query(f"SELECT {LIST} FROM outlet_sku o WHERE location_id = 'L03' AND is_active {BEST} LIMIT 500"),
     "osi1_outlet_intelligence_all": query(f"SELECT {LIST} FROM outlet_sku WHERE is_active"),
-    "osi1_outlet_intelligence_joined": query(f"""SELECT o.stock_id, COALESCE(s.order_uom_stock_name, o.stock_name) AS stock_name, o.location_id, o.location_name, 'PCS' AS base_uom, COALESCE(s.order_uom, o.order_uom) AS order_uom,
-        {dbl('COALESCE(s.order_uom_rate, o.order_uom_rate)')} AS order_uom_rate, COALESCE(s.ud1_code, o.ud1_code) AS ud1_code, {', '.join(f"{rnd(ratio(f'o.{m}', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS {m}" for m in MON)},
-        {rnd(ratio('o.total_12m', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS total_12m, {rnd('o.outlet_ams', 2)} AS ams_calculated, {rnd(ratio('o.reorder_point', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS reorder_point,
-        {rnd(ratio('o.order_up_to_level', 'COALESCE(s.order_uom_rate, 1)'), 1)} AS order_up_to_level,
-        GREATEST(0.0::DOUBLE, {rnd(ratio('o.order_up_to_level - o.current_balance', 'COALESCE(s.order_uom_rate, 1)'), 1)}) AS reorder_qty, {dbl('o.current_balance')} AS current_balance,
-        {rnd(ratio('o.current_balance', 'COALESCE(s.order_uom_rate, 1)'), 0)} AS balance_in_order_uom, {show('o.reorder_recommendation')} AS reorder_recommendation, s.demand_pattern, s.variability_class, s.abc_class
-        FROM outlet_sku o LEFT JOIN sku_summary s ON s.stock_id = o.stock_id WHERE o.location_id = 'L03' {BEST} LIMIT 500"""),
+    "osi1_outlet_intelligence_joined": query(f"{JOINED} {BEST} LIMIT 500"),
+    "osi1_joined_brand_search": query(f"{JOINED} AND (o.stock_id ILIKE '%rand#1%' OR o.stock_name ILIKE '%rand#1%' OR s.brand ILIKE '%rand#1%') {BEST} LIMIT 500"),
     "osi2_pattern_group": query(f"SELECT {LIST} FROM outlet_sku o WHERE location_id = 'L03' AND is_active AND outlet_demand_pattern IN ('MODERATE_GROWTH', 'GROWTH', 'STABLE_GROWTH') {BEST} LIMIT 500"),
     "osi3_outlet_page": query(f"""SELECT location_id, stock_id, {dbl('outlet_ams')} AS outlet_ams, {dbl('current_balance')} AS current_balance, {lng('k')} AS row_num FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id
         ORDER BY outlet_ams DESC NULLS LAST, current_balance DESC NULLS LAST, stock_id) AS k FROM outlet_sku) WHERE k > 100 AND k <= 300"""),

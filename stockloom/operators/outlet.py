@@ -90,14 +90,18 @@ def outlet_intelligence(o: DataFrame, outlet=None, limit: int | None = 500, offs
 
 
 def outlet_intelligence_joined(o: DataFrame, s: DataFrame, outlet, limit: int | None = 500, offset: int = 0, **filters) -> DataFrame:
-    """OSI-1, joined: names, units and classes come from the summary where it knows the stock."""
+    """OSI-1, joined: names, units and classes come from the summary where it knows the stock; a search looks at its brand too."""
+    search = filters.pop("search", None)
     own = _filtered(o, outlet, is_active=filters.pop("is_active", None), **filters)
     known = s.select(
         "stock_id", F.coalesce("order_uom_stock_name", "stock_name").alias("s_name"), F.col("order_uom").alias("s_uom"),
         F.col("order_uom_rate").alias("s_rate"), F.col("ud1_code").alias("s_ud1"), F.col("demand_pattern").alias("s_pattern"),
-        F.col("variability_class").alias("s_var"), F.col("abc_class").alias("s_abc"),
+        F.col("variability_class").alias("s_var"), F.col("abc_class").alias("s_abc"), F.col("trend_index").alias("s_trend"),
+        F.col("order_uom_stock_name").alias("s_order_name"), F.col("brand").alias("s_brand"),
     )
     j = own.join(known, "stock_id", "left")
+    if search:
+        j = j.filter(like_text(["stock_id", "stock_name", "s_brand"], search))
     # quantities divide by the summary's rate only; the outlet's own is for display
     j = j.withColumn("shown_rate", F.coalesce("s_rate", "order_uom_rate", F.lit(1))).withColumns({
         "stock_name": F.coalesce("s_name", "stock_name"), "order_uom": F.coalesce("s_uom", "order_uom"), "ud1_code": F.coalesce("s_ud1", "ud1_code"),
@@ -111,14 +115,18 @@ def outlet_intelligence_joined(o: DataFrame, s: DataFrame, outlet, limit: int |
     zero = F.lit(0)
     wanted = F.coalesce("order_up_to_level", zero) - F.coalesce("current_balance", zero)
     return j.select(
-        "stock_id", "stock_name", "location_id", "location_name", "base_uom", "order_uom", dbl("shown_rate").alias("order_uom_rate"), "ud1_code",
+        "stock_id", "stock_name", F.col("s_order_name").alias("order_uom_stock_name"), "location_id", "location_name", "base_uom", "order_uom", dbl("shown_rate").alias("order_uom_rate"), "ud1_code",
         *[in_order_units(m, 1).alias(m) for m in MONTHS], in_order_units("total_12m", 1).alias("total_12m"),
-        rnd(F.coalesce("outlet_ams", zero), 2).alias("ams_calculated"), in_order_units("reorder_point", 1).alias("reorder_point"),
-        in_order_units("order_up_to_level", 1).alias("order_up_to_level"),
+        rnd(F.coalesce("outlet_ams", zero), 2).alias("ams_12m"), dbl("pct_of_total").alias("pct_of_total"),
+        rnd(F.coalesce("outlet_ams", zero), 2).alias("ams_calculated"), dbl(F.coalesce("velocity_daily", zero)).alias("velocity_daily"),
+        lng(F.coalesce("safety_days", zero)).alias("safety_days"), in_order_units("reorder_point", 1).alias("reorder_point"),
+        in_order_units("max_stock", 1).alias("max_stock"), dbl("outlet_cv").alias("outlet_cv"), "outlet_variability_class",
+        lng(F.coalesce("outlet_safety_days", zero)).alias("outlet_safety_days"), in_order_units("order_up_to_level", 1).alias("order_up_to_level"),
         F.greatest(F.lit(0.0), rnd(ratio(wanted, "order_uom_rate"), 1)).alias("reorder_qty"),
         dbl(F.coalesce("current_balance", zero)).alias("current_balance"), in_order_units("current_balance", 0).alias("balance_in_order_uom"),
+        dbl(F.coalesce("days_of_inventory", zero)).alias("days_of_inventory"),
         display_recommendation(F.coalesce("reorder_recommendation", F.lit("REVIEW"))).alias("reorder_recommendation"),
-        "demand_pattern", "variability_class", "abc_class",
+        "demand_pattern", "variability_class", F.col("outlet_variability_class").alias("outlet_var_class"), dbl("s_trend").alias("trend_index"), "abc_class", "last_updated",
     )
 
 

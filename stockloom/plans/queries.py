@@ -251,6 +251,7 @@ def _suggest(T, limit=500):
 query("osi1_outlet_intelligence")(lambda T: outlet.outlet_intelligence(T.outlet_sku, "L03"))
 query("osi1_outlet_intelligence_all")(lambda T: outlet.outlet_intelligence(T.outlet_sku))
 query("osi1_outlet_intelligence_joined")(lambda T: outlet.outlet_intelligence_joined(T.outlet_sku, T.sku_summary, "L03"))
+query("osi1_joined_brand_search")(lambda T: outlet.outlet_intelligence_joined(T.outlet_sku, T.sku_summary, "L03", search="rand#1"))
 query("osi2_pattern_group")(lambda T: outlet.outlet_intelligence(T.outlet_sku, "L03", demand_pattern="GROWTH"))
 query("osi3_outlet_page")(lambda T: outlet.outlet_page(T.outlet_sku, after_row=100, limit=200))
 query("osi4_outlet_counts")(lambda T: outlet.outlet_counts(T.outlet_sku))

@@ -62,7 +62,7 @@ OUTLET_SKU = T.StructType(
             "demand_pattern", "variability_class", "abc_class", "gp_abc_class",
         )
     ]
-    + [T.StructField("is_active", _B)]
+    + [T.StructField("is_active", _B), T.StructField("last_updated", _D)]
 )
 STAFF = _struct(
     staff_id=_S, role=_S, pos_user_group=_S, is_active=_B, primary_outlet=_S,

@@ -324,6 +324,7 @@ class StarTables(Tables):
                 pick("ABC", F.col("p") % 3).alias("abc_class"),
                 pick("ABC", F.col("p") % 3).alias("gp_abc_class"),
                 (F.col("p") % 20 != 19).alias("is_active"),
+                day(self.as_of).alias("last_updated"),
             )
         )
 
