@@ -284,3 +284,13 @@ SQL = {
 SQL["osi3_stored_page"] = SQL["osi3_outlet_page"]
 for _name, _needle in (("sku1_indexed_search", "Ring"), ("sku1_indexed_search_short", "9")):
     SQL[_name] = query(f"SELECT stock_id, stock_name, barcode FROM product WHERE stock_id ILIKE '%{_needle}%' OR stock_name ILIKE '%{_needle}%' OR barcode ILIKE '%{_needle}%'")
+
+# what a giver and a taker have in common when their quantities are laid end to end
+_LAID = """SELECT stock_id, location_id, a, urgency_tier, priority_score, SUM(a) OVER (PARTITION BY stock_id ORDER BY {turn}, location_id ROWS UNBOUNDED PRECEDING) AS b
+  FROM (SELECT *, CAST({amount} AS DECIMAL(28,4)) AS a FROM rb_share WHERE cls = '{side}') WHERE a > 0"""
+SQL["rb3_allocation"] = query(f"""WITH g AS ({_LAID.format(turn='doi DESC', amount="ROUND(CAST(give AS DECIMAL(38,10)), 4)", side='DONOR')}),
+    t AS ({_LAID.format(turn='doi', amount="ROUND(CAST(want AS DECIMAL(38,10)), 4)", side='RECIPIENT')})
+    SELECT g.stock_id, g.location_id AS from_outlet, t.location_id AS to_outlet, {dbl('LEAST(g.b, t.b) - GREATEST(g.b - g.a, t.b - t.a)')} AS transfer_qty, g.urgency_tier, g.priority_score
+    FROM g JOIN t ON t.stock_id = g.stock_id AND g.b - g.a < t.b AND t.b - t.a < g.b""")
+# shared expressions once, so that neither side of a comparison waits for the other
+SQL["rb2_fair_share"] = SQL["rb2_fair_share"].replace(" AS (\n", " AS MATERIALIZED (\n")

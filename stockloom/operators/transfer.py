@@ -284,3 +284,32 @@ def rebalance(fs: DataFrame, s: DataFrame, outlet: str, limit: int | None = 500)
         _whole(F.least("from_can_donate_qty", "to_need_qty"), rate).alias("transfer_qty"), F.lit("REBALANCE").alias("transfer_reason"),
     )
     return top(out, F.desc("priority_score"), F.desc("transfer_qty"), "stock_id", "from_outlet", "to_outlet", limit=limit)
+
+
+def allocate(fs: DataFrame) -> DataFrame:
+    """RB-3 for all outlets: what each outlet gives to which, so that none gives or gets more than it can.
+
+    Of a stock, outlets with the longest cover give first and those with the shortest get first. Givers
+    and takers are laid side by side, each as long as its quantity; where they overlap, that much moves. Between
+    two ends on either side there is one giver and one taker, so a stock has fewer rows than
+    outlets, and no outlets are paired to find them.
+    """
+    exact = lambda c: F.col(c).cast("decimal(38,10)").cast("decimal(28,4)")
+    give, want = exact("can_donate_qty"), exact("need_qty")
+    sides = fs.select(
+        "stock_id", "location_id", "urgency_tier", "priority_score", (give > 0).alias("gives"), F.when(give > 0, give).otherwise(want).alias("amount"),
+        F.when(give > 0, -F.col("days_of_inventory")).otherwise(F.col("days_of_inventory")).alias("turn"),
+    ).filter(F.col("amount") > 0)
+    stock = Window.partitionBy("stock_id")
+    side = Window.partitionBy("stock_id", "gives").orderBy(F.asc_nulls_last("turn"), "location_id").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda gives: F.coalesce(F.sum(F.when(F.col("gives") == gives, F.col("amount"))).over(stock), F.lit(0))
+    laid = sides.withColumn("until", F.sum("amount").over(side)).withColumn("moved", F.least(total(True), total(False)))
+    laid = laid.filter(F.col("until") - F.col("amount") < F.col("moved")).withColumn("until", F.least("until", "moved"))
+    ends = Window.partitionBy("stock_id").orderBy("until", F.desc("gives"), "location_id")
+    onward = ends.rowsBetween(0, Window.unboundedFollowing)
+    next_one = lambda gives: F.first(F.when(F.col("gives") == gives, F.col("location_id")), ignorenulls=True).over(onward)
+    pieces = laid.select(
+        "stock_id", next_one(True).alias("from_outlet"), next_one(False).alias("to_outlet"),
+        (F.col("until") - F.coalesce(F.lag("until").over(ends), F.lit(0))).alias("q"), "urgency_tier", "priority_score",
+    )
+    return pieces.filter(F.col("q") > 0).select("stock_id", "from_outlet", "to_outlet", dbl("q").alias("transfer_qty"), "urgency_tier", "priority_score")

@@ -300,6 +300,7 @@ query("rb2_fair_share")(
         *[rnd(c, 4).alias(c) for c in ("fair_share_qty", "fair_share_deviation", "can_donate_qty", "need_qty")],
     )
 )
+query("rb3_allocation")(lambda T: transfer.allocate(_shares(T)))
 query("rb3_rebalance")(lambda T: transfer.rebalance(_shares(T), T.sku_summary, "L05"))
 
 # --- purchasing -------------------------------------------------------------
