@@ -294,3 +294,18 @@ SQL["rb3_allocation"] = query(f"""WITH g AS ({_LAID.format(turn='doi DESC', amou
     FROM g JOIN t ON t.stock_id = g.stock_id AND g.b - g.a < t.b AND t.b - t.a < g.b""")
 # shared expressions once, so that neither side of a comparison waits for the other
 SQL["rb2_fair_share"] = SQL["rb2_fair_share"].replace(" AS (\n", " AS MATERIALIZED (\n")
+
+
+def _everywhere(text: str) -> str:
+    """The suggestion statement with the outlet as a column: each outlet by each stock, the plain way."""
+    text = text.replace("location_id <> 'L23' AND ", "")
+    text = text.replace("SUM(n) FILTER (location_id = 'L23') AS mine, ", "")
+    text = text.replace("SELECT r.*, s.stock_name", "SELECT w.location_id, r.*, s.stock_name")
+    text = text.replace("FROM reg r JOIN sku_summary s ON s.stock_id = r.stock_id", "FROM (SELECT DISTINCT location_id FROM outlet_sku) w, reg r JOIN sku_summary s ON s.stock_id = r.stock_id")
+    text = text.replace("COALESCE(mine, 0)", """COALESCE((SELECT COUNT(*) FROM outlet_sku oo JOIN sku_summary ss ON ss.stock_id = oo.stock_id
+        WHERE oo.outlet_ams > 0 AND oo.location_id = w.location_id AND ss.ud1_code = s.ud1_code), 0)""")
+    text = text.replace("r.stock_id NOT IN (SELECT stock_id FROM outlet_sku WHERE location_id = 'L23' AND outlet_ams >= 1)", "(w.location_id, r.stock_id) NOT IN (SELECT (location_id, stock_id) FROM outlet_sku WHERE outlet_ams >= 1)")
+    return text.replace("sug AS (SELECT stock_id,", "sug AS (SELECT location_id, stock_id,")
+
+
+SQL["sug1_all_outlets"] = query(f"""{_everywhere(SUG)} SELECT * EXCLUDE (k) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY location_id ORDER BY confidence_score DESC, avg_regional_ams DESC, stock_id) AS k FROM sug) WHERE k <= 20""")

@@ -9,6 +9,7 @@ from stockloom import config
 from stockloom.functions.expr import (
     count_if, dbl, first_match, like_text, lng, lookup, ratio, rnd, steps_at_least, top, total,
 )
+from stockloom.operators.pareto import number_rows
 from stockloom.operators.sku import display_recommendation, in_order_units, outlet_list, stored_recommendations
 
 MONTHS = [f"qty_m{i}" for i in range(1, 13)]
@@ -205,15 +206,15 @@ def gap_points(have, usual):
     return first_match([(have < usual * share, points) for share, points in rules], last)
 
 
-def suggest(o: DataFrame, s: DataFrame, outlet: str, category=None, min_confidence: int = 50, limit: int | None = 500) -> DataFrame:
-    """SUG-1: stocks that sell well in two or more other outlets and hardly here, scored to 100.
+BASE_SCORES = ["regional_success_score", "demand_strength_score", "growth_trajectory_score", "profitability_score"]
+
+
+def _regional(sellers: DataFrame) -> DataFrame:
+    """Stocks that sell well in two or more of the outlets given, with what is known of their sales there.
 
     Lists of outlets are as long as the chain has shops.
     """
-    sellers = o.filter(
-        (F.col("location_id") != outlet) & ~F.col("location_id").isin(config.PSEUDO_LOCATIONS) & (F.col("outlet_ams") >= 3)
-    )
-    region = sellers.groupBy("stock_id").agg(
+    return sellers.groupBy("stock_id").agg(
         F.sort_array(F.collect_set("location_id")).alias("selling_outlets"),
         ratio(F.sum("outlet_ams"), F.count("outlet_ams")).alias("avg_ams"),
         F.max("outlet_ams").alias("max_ams"),
@@ -222,28 +223,34 @@ def suggest(o: DataFrame, s: DataFrame, outlet: str, category=None, min_confiden
         F.mode("outlet_momentum_status", True).alias("dominant_momentum"),
         ratio(F.sum("outlet_trend_index"), F.count("outlet_trend_index")).alias("avg_trend"),
     ).withColumn("selling_outlet_count", lng(F.size("selling_outlets"))).filter((F.col("selling_outlet_count") >= 2) & (F.col("avg_ams") >= 3))
-    here = o.filter((F.col("location_id") == outlet) & (F.col("outlet_ams") >= 1)).select("stock_id")
+
+
+def _candidates(sellers: DataFrame, s: DataFrame, category) -> DataFrame:
+    """Stocks to suggest with the scores that do not depend on the outlet."""
     products = s.filter("is_active").select(
         "stock_id", "stock_name", "ud1_code", "order_uom", F.coalesce("order_uom_rate", F.lit(1.0)).alias("order_uom_rate"),
         F.col("abc_class").alias("company_abc"), "gp_abc_class", F.col("demand_pattern").alias("company_pattern"),
     )
     if category:
         products = products.filter(F.col("ud1_code") == category)
-    rows = region.join(here, "stock_id", "left_anti").join(products, "stock_id")
-    rows = rows.join(category_coverage(o, s, outlet), "ud1_code", "left")
-    mean2 = F.round(F.col("avg_ams").cast("decimal(38,10)"), 2).cast("decimal(18,2)")
-    rows = rows.withColumns({
-        "mean2": mean2,
+    return _regional(sellers).join(products, "stock_id").withColumns({
+        "mean2": F.round(F.col("avg_ams").cast("decimal(38,10)"), 2).cast("decimal(18,2)"),
         "regional_success_score": steps_at_least("selling_outlet_count", config.SUGGEST_OUTLET_POINTS),
         "demand_strength_score": steps_at_least("avg_ams", config.SUGGEST_DEMAND_POINTS),
         "growth_trajectory_score": growth_points(F.col("dominant_pattern"), F.col("dominant_momentum")),
         "profitability_score": lookup("gp_abc_class", config.SUGGEST_MARGIN_POINTS, config.SUGGEST_MARGIN_DEFAULT),
-        "category_gap_score": gap_points(F.col("target_sku_count"), F.col("avg_sku_count")),
     })
-    parts = ["regional_success_score", "demand_strength_score", "growth_trajectory_score", "profitability_score", "category_gap_score"]
-    score = F.col(parts[0])
-    for p in parts[1:]:
-        score = score + F.col(p)
+
+
+def _base_score():
+    score = F.col(BASE_SCORES[0])
+    for c in BASE_SCORES[1:]:
+        score = score + F.col(c)
+    return score
+
+
+def _suggested(rows: DataFrame, min_confidence: int, *keys: str) -> DataFrame:
+    """The report columns of candidates with a category_gap_score, from a least confidence on."""
     predicted = F.col("mean2") * F.lit("0.7").cast("decimal(2,1)")
     mood = first_match(
         [
@@ -258,18 +265,67 @@ def suggest(o: DataFrame, s: DataFrame, outlet: str, category=None, min_confiden
         F.when(F.col("gp_abc_class") == "A", " • High margin").otherwise(""),
         F.when(F.col("category_gap_score") >= 10, " • Fills category gap").otherwise(""),
     )
-    out = rows.withColumn("confidence_score", score).filter(F.col("confidence_score") >= min_confidence).select(
-        "stock_id", "stock_name", "ud1_code", "order_uom", "company_abc", "gp_abc_class", "company_pattern",
-        lng("confidence_score").alias("confidence_score"), *[lng(p).alias(p) for p in parts],
+    rows = rows.withColumn("confidence_score", _base_score() + F.col("category_gap_score"))
+    return rows.filter(F.col("confidence_score") >= min_confidence).select(
+        *keys, "stock_id", "stock_name", "ud1_code", "order_uom", "company_abc", "gp_abc_class", "company_pattern",
+        lng("confidence_score").alias("confidence_score"), *[lng(p).alias(p) for p in [*BASE_SCORES, "category_gap_score"]],
         "selling_outlet_count", "selling_outlets", dbl("mean2").alias("avg_regional_ams"),
         rnd("max_ams", 2).alias("max_regional_ams"), rnd("total_12m", 0).alias("total_regional_sales"),
         "dominant_pattern", "dominant_momentum", rnd("avg_trend", 3).alias("avg_trend_index"),
         rnd(predicted, 1).alias("predicted_monthly_sales"),
         lng(F.ceil(ratio(predicted, "order_uom_rate"))).alias("suggested_initial_qty"), why.alias("why_suggested"),
     )
+
+
+def _sellers(o: DataFrame) -> DataFrame:
+    return o.filter(~F.col("location_id").isin(config.PSEUDO_LOCATIONS) & (F.col("outlet_ams") >= 3))
+
+
+def suggest(o: DataFrame, s: DataFrame, outlet: str, category=None, min_confidence: int = 50, limit: int | None = 500) -> DataFrame:
+    """SUG-1: stocks that sell well in two or more other outlets and hardly here, scored to 100."""
+    here = o.filter((F.col("location_id") == outlet) & (F.col("outlet_ams") >= 1)).select("stock_id")
+    rows = _candidates(_sellers(o).filter(F.col("location_id") != outlet), s, category).join(here, "stock_id", "left_anti")
+    rows = rows.join(category_coverage(o, s, outlet), "ud1_code", "left")
+    out = _suggested(rows.withColumn("category_gap_score", gap_points(F.col("target_sku_count"), F.col("avg_sku_count"))), min_confidence)
     return top(out, F.desc("confidence_score"), F.desc("avg_regional_ams"), "stock_id", limit=limit)
 
 
+def suggest_all(o: DataFrame, s: DataFrame, category=None, min_confidence: int = 50, per_outlet: int = 50) -> DataFrame:
+    """SUG-1 for every real outlet: the best `per_outlet` suggestions of each, as the query for that outlet gives them.
+
+    A stock suggested to an outlet hardly sells there, so it is none of the stock's sellers and leaving it out
+    changes nothing: scores are the stock's own, but for the points of the category gap, which all stocks of
+    a type share. So the stocks of a type have one order for all outlets, and an outlet needs the first
+    `per_outlet` of it, and as many more as it sells itself. These places are looked up by
+    (type, place); neither outlets nor outlets and stocks are paired.
+    """
+    kind = F.coalesce("ud1_code", F.lit("\x00"))  # stocks without a type are one, too
+    stocks = _candidates(_sellers(o), s, category).withColumn("kind", kind).withColumn("base_score", _base_score())
+    order = F.struct("kind", (-F.col("base_score")).alias("b"), (-F.col("mean2")).alias("m"), "stock_id")
+    ordered = number_rows(stocks, "kind", order, "stock_id").drop("part").withColumnRenamed("row_num", "place")
+
+    real = o.filter(~F.col("location_id").isin(config.PSEUDO_LOCATIONS))
+    outlets = real.select("location_id").distinct()
+    selling = real.filter(F.col("outlet_ams") > 0).select("location_id", "stock_id").join(s.select("stock_id", kind.alias("kind")), "stock_id")
+    counted = selling.groupBy("location_id", "kind").agg(F.count("stock_id").alias("have"))
+    usual = counted.groupBy("kind").agg(ratio(F.sum("have"), F.count("location_id")).alias("usual"))
+    known = real.filter(F.col("outlet_ams") >= 1).select("location_id", "stock_id")
+    own = known.join(ordered.select("stock_id", "kind"), "stock_id").groupBy("location_id", "kind").agg(F.count("stock_id").alias("own"))
+    kinds = ordered.groupBy("kind").agg(F.max("place").alias("places"))
+    # one row for each outlet and type, as their gap is one: both are few
+    every_kind = kinds.agg(F.collect_list(F.struct("kind", "places"))).scalar()
+    needs = (
+        outlets.withColumn("k", F.explode(every_kind)).select("location_id", "k.kind", "k.places").join(counted, ["location_id", "kind"], "left").join(usual, "kind", "left").join(own, ["location_id", "kind"], "left")
+        .withColumn("category_gap_score", F.when(F.col("kind") == "\x00", F.lit(0)).otherwise(gap_points(F.col("have"), F.col("usual"))))
+        .withColumn("needed", F.least(F.col("places"), F.coalesce("own", F.lit(0)) + per_outlet))
+    )
+    asked = needs.select("location_id", "kind", "category_gap_score", F.explode(F.sequence(F.lit(1).cast("long"), F.col("needed"))).alias("place"))
+    rows = asked.join(ordered, ["kind", "place"]).join(known, ["location_id", "stock_id"], "left_anti")
+    out = _suggested(rows, min_confidence, "location_id")
+    best = Window.partitionBy("location_id").orderBy(F.desc("confidence_score"), F.desc("avg_regional_ams"), "stock_id")
+    return out.withColumn("row", F.row_number().over(best)).filter(F.col("row") <= per_outlet).drop("row")
+
+
 def suggestion_summary(suggestions: DataFrame) -> DataFrame:
     """SUG-3: how many, how sure, how many sure ones, how many stock types."""
     per = suggestions.groupBy("ud1_code").agg(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.expr import dbl, lng
-from stockloom.operators.pareto import range_bounds, range_number
+from stockloom.operators.pareto import number_rows
 from stockloom.sources.store import PartStore
 
 SCHEMA = "location_id string, stock_id string, outlet_ams decimal(18,4), current_balance decimal(18,4), row_num long"
@@ -23,18 +23,8 @@ def numbered(o: DataFrame) -> DataFrame:
 
     An outlet that holds a third of all rows is cut into several ranges. Returns the rows with part and row_num.
     """
-    ranges = max(2, int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = o.select("location_id", "stock_id", "outlet_ams", "current_balance").withColumn("key", F.concat_ws("|", "location_id", "stock_id"))
-    dealt = rows.withColumn("bounds", range_bounds(rows, _place(), "key", ranges)).withColumn("place", _place())
-    dealt = dealt.withColumn("part", range_number(F.col("place"), F.col("bounds"), ranges)).drop("bounds", "key")
-    # ranges and outlets meet in at most as many rows as there are of both
-    sizes = dealt.groupBy("location_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("location_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("location_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part", "location_id").orderBy("place")
-    return dealt.withColumn("row", F.row_number().over(inside)).join(starts, ["location_id", "part"]).select(
-        "location_id", "stock_id", "outlet_ams", "current_balance", "part", (F.col("row") + F.col("before")).cast("bigint").alias("row_num")
-    )
+    return number_rows(rows, "location_id", _place(), "key").drop("key")
 
 
 class OutletOrder:

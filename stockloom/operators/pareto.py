@@ -94,6 +94,25 @@ def _offsets(dealt: DataFrame, value: str) -> DataFrame:
     )
 
 
+def number_rows(df: DataFrame, group: str, place, key: str) -> DataFrame:
+    """Rows plus row_num, their place in their group from 1 on, and part, the range they were numbered in.
+
+    `place` is a struct of the group and what its rows are ordered by; rows that are equal in it are numbered in
+    any order. Ranges run over all groups, so a group that holds a third of the rows is cut into several. `key` spreads the
+    sample that the ranges are fitted to; it is unique.
+    """
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.withColumn("bounds", range_bounds(df, place, key, ranges)).withColumn("place", place)
+    dealt = dealt.withColumn("part", range_number(F.col("place"), F.col("bounds"), ranges)).drop("bounds")
+    # ranges and groups meet in at most as many rows as there are of both
+    sizes = dealt.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part", group).orderBy("place")
+    numbered = dealt.withColumn("row", F.row_number().over(inside)).join(starts, [group, "part"])
+    return numbered.select(*df.columns, "part", (F.col("row") + F.col("before")).cast("bigint").alias("row_num"))
+
+
 def cumulative_by_value(df: DataFrame, value: str, key: str = "stock_id") -> DataFrame:
     """Per distinct positive value: the running total including its ties."""
     return ranged(df.select(key, value), key, value).select(value, "running_total").distinct()

@@ -257,6 +257,7 @@ query("osi3_outlet_page")(lambda T: outlet.outlet_page(T.outlet_sku, after_row=1
 query("osi4_outlet_counts")(lambda T: outlet.outlet_counts(T.outlet_sku))
 query("osi5_outlet_review_counts")(lambda T: outlet.outlet_review_counts(T.outlet_sku, T.sku_summary))
 query("sug1_suggestions")(lambda T: _joined(_suggest(T), "selling_outlets"))
+query("sug1_all_outlets")(lambda T: _joined(outlet.suggest_all(T.outlet_sku, T.sku_summary, per_outlet=20), "selling_outlets"))
 query("sug1a_category_gap")(lambda T: outlet.category_coverage(T.outlet_sku, T.sku_summary, "L23"))
 query("sug2_outlet_profile")(lambda T: outlet.outlet_profile(T.outlet_sku))
 query("sug3_suggestion_summary")(lambda T: outlet.suggestion_summary(_suggest(T, None)))

@@ -41,3 +41,27 @@ def test_longest_cover_gives_and_shortest_gets_first(spark):
     got = sorted((r.from_outlet, r.to_outlet, r.transfer_qty) for r in transfer.allocate(shares(spark, rows)).collect())
     assert got == [("L1", "L4", 3.0), ("L2", "L4", 3.0)]
     assert transfer.allocate(shares(spark, [])).count() == 0
+
+
+def test_suggestions_for_all_outlets_equal_those_of_each(spark):
+    from stockloom import config
+    from stockloom.operators import outlet
+    from tests.test_outlets import known, outlet_row, outlets, summary
+
+    rng = random.Random(12)
+    shops = [f"L{i}" for i in range(9)] + config.PSEUDO_LOCATIONS[:1]
+    types = [None, "FLTHB", "FLTF1", "NA"]
+    stocks = [f"S{i:02d}" for i in range(60)]
+    rows = [
+        outlet_row(loc, st, ams=float(rng.choice([0, 0.5, 1, 2, 3, 3.5, 8, 30])), outlet_demand_pattern=rng.choice(["STABLE", "GROWTH", "DECLINE"]), outlet_momentum_status=rng.choice(["GAINING", "STEADY"]))
+        for loc in shops for st in stocks if rng.random() < 0.6
+    ]
+    o, s = outlets(spark, rows), summary(spark, [known(st, rng.choice(types), abc=rng.choice("ABC")) for st in stocks])
+    for k in (3, 500):
+        got = [r.asDict() for r in outlet.suggest_all(o, s, min_confidence=40, per_outlet=k).collect()]
+        assert {r["location_id"] for r in got} <= set(shops[:-1])
+        for loc in shops[:-1]:
+            want = [r.asDict() for r in outlet.suggest(o, s, loc, min_confidence=40, limit=k).collect()]
+            mine = [{c: v for c, v in r.items() if c != "location_id"} for r in got if r["location_id"] == loc]
+            order = lambda r: r["stock_id"]
+            assert sorted(mine, key=order) == sorted(want, key=order) and want
