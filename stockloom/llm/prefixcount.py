@@ -19,25 +19,29 @@ the next word, contractions cut in the middle, and special strings cut in the mi
 stored counts, `longest` answers how much of a text fits a token budget, without
 encoding again.
 
+The table of a text is put together from those of its chunks, a run of white space with what follows it: a
+cut inside a chunk concerns no other. Stored are the differences of neighbouring counts, most of them 0 or 1, compressed.
+
 Null texts are empty: no bytes, no tokens. Null and repeated doc_ids are
-documents like others; other columns are ignored. One piece of very many bytes is
-filled position by position, in time in proportion to its length.
+documents like others; other columns are ignored. One piece of very many bytes is walked through by itself,
+in time in proportion to its length; what a worker remembers is bounded by bytes.
 """
 
 from __future__ import annotations
 
 import json
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stockloom.llm.common import small_text_batches, text_bytes
+from stockloom.llm.common import small_text_batches, stored, text_bytes
 from stockloom.llm.wordids import visible_bytes
 
 #: Fixed value: the pre-tokenizer's pattern.
@@ -46,8 +50,20 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 RUNS = regex.compile(r"\s\s")
 #: Separators that white-space classes of different libraries see differently.
 ODD = regex.compile(r"[\x1c-\x1f\x85᠎​]")
-#: Pieces and chunks that a worker remembers.
-REMEMBERED = 500_000
+#: What a cut concerns: a run of white space with the characters after it.
+CHUNK = re.compile(r"\S+|\s+\S*")
+#: Where a long text is taken apart, every so many characters.
+START, PART = re.compile(r"(?<=\S)\s"), 1 << 20
+#: Characters whose new chunks are learned together.
+TOGETHER = 1 << 23
+#: Pieces and chunks that a worker remembers, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64 << 20
+#: Contractions of which a cut leaves more than a letter.
+TREATED = {"'ll", "'re", "'ve"}
+#: Longer pieces are not filled together but walked through one by one.
+LONG = 256
+#: Differences of neighbouring counts; a count falls by less than the length of a token.
+STEP = np.dtype("<i2")
 BASE = 0x9E3779B97F4A7C15
 NONE = np.iinfo(np.int32).max
 
@@ -119,6 +135,44 @@ class Vocabulary:
         if len(set(keys.tolist())) != len(keys):
             raise ValueError("two tokens share a hash")
         self.tokens = Lookup(keys, np.array(list(tokens.values()), np.int32))
+        self.ids, self.merged = tokens, dict(zip(pairs, merged))
+        self.parts = list(zip(self.left.tolist(), self.right.tolist()))
+        self.known_fits: dict[tuple[int, int], bool] = {}
+
+    def fit(self, a: int, b: int) -> bool:
+        """`fits` for one pair."""
+        known = self.known_fits.get((a, b))
+        if known is None:
+            if len(self.known_fits) > REMEMBERED:
+                self.known_fits.clear()
+            known = self.known_fits[a, b] = self._fit(a, b)
+        return known
+
+    def _fit(self, a: int, b: int) -> bool:
+        end_a = end_b = int(NONE)
+        while True:
+            c = self.merged.get(a << 32 | b, -1)
+            if 0 <= c < end_a and c <= end_b:
+                return False
+            if a > b:
+                end_a, a = a, self.parts[a][1]
+            else:
+                end_b, b = b, self.parts[b][0]
+            if a < 0 or b < 0:
+                return True
+
+    def walk(self, piece: bytes) -> np.ndarray:
+        """Counts of all prefixes of one piece, as `fill` gives them, byte by byte."""
+        last, counts = [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
+        for i in range(1, len(piece) + 1):
+            for length in self.lengths:
+                if length > i:
+                    continue
+                token = self.ids.get(piece[i - length : i])
+                if token is not None and (length == i or self.fit(last[i - length], token)):
+                    last[i], counts[i] = token, counts[i - length] + 1
+                    break
+        return np.array(counts, np.int32)
 
     @staticmethod
     def _hash(data: bytes) -> int:
@@ -191,7 +245,11 @@ class PrefixCounter:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.piece: dict[str, np.ndarray] = {}
+        self.own_steps: dict[str, bytes] = {}
+        self.piece_bytes = 0
         self.whole: dict[str, int] = {}
+        self.chunk: dict[str, bytes] = {}
+        self.chunk_bytes = 0
 
     def pieces(self, text: str) -> list[str]:
         if ODD.search(text):  # ask the library itself
@@ -203,14 +261,24 @@ class PrefixCounter:
     def _learn(self, pieces) -> None:
         asked = list(dict.fromkeys(pieces))
         new = [p for p in asked if p not in self.piece]
-        if len(self.piece) + len(new) > REMEMBERED:
-            self.piece, new = {}, asked
+        if len(self.piece) + len(new) > REMEMBERED or self.piece_bytes > REMEMBERED_BYTES:
+            self.piece, self.own_steps, self.piece_bytes, new = {}, {}, 0, asked
+        long = [p for p in new if len(p) > LONG]
+        for p in long:
+            self.piece[p] = self.vocabulary.walk(p.encode())
+            self.own_steps[p] = np.diff(whole_characters(self.piece[p], p.encode())).astype(STEP).tobytes()
+            self.piece_bytes += 7 * len(p)
+        new = [p for p in new if len(p) <= LONG]
         if new:
             raw = [p.encode() for p in new]
             counts, starts = self.vocabulary.fill(raw)
-            counts = counts.astype(np.int32)
+            small = counts.astype(np.uint8 if max(map(len, raw)) < 255 else np.int32)
+            steps = np.diff(counts).astype(STEP).tobytes()
             for p, s, b in zip(new, starts.tolist(), raw):
-                self.piece[p] = counts[s : s + len(b) + 1].astype(np.uint8 if len(b) < 255 else np.int32)
+                self.piece[p] = small[s : s + len(b) + 1].copy()
+                same = len(b) == len(p)  # ASCII
+                self.own_steps[p] = steps[2 * s : 2 * (s + len(b))] if same else np.diff(whole_characters(counts[s : s + len(b) + 1], b)).astype(STEP).tobytes()
+            self.piece_bytes += 4 * sum(map(len, raw))
 
     def chunks(self, text: str) -> list[str]:
         """Strings whose counts add up to the text's: words with the space before them, or pieces."""
@@ -226,7 +294,7 @@ class PrefixCounter:
             parts = self.vocabulary.cuts.split(text) if self.vocabulary.cuts else [text]
             special.append(len(parts) - 1)
             split.append([c for p in parts for c in self.chunks(p)])
-        if len(self.whole) > REMEMBERED:
+        if len(self.whole) > REMEMBERED or sum(map(len, texts)) > REMEMBERED_BYTES:
             self.whole = {}
         new = [c for c in dict.fromkeys(c for s in split for c in s) if c not in self.whole]
         inside = [self.pieces(c) for c in new]
@@ -253,7 +321,7 @@ class PrefixCounter:
             if before.isspace() and p[0].isspace():  # cut here, the run of white space is one piece
                 n = len(p[0].encode())
                 counts[at + n] = run + int(self.piece[before + p[0]][-1])
-            if p in ("'ll", "'re", "'ve"):
+            if p in TREATED:
                 counts[at + 2] = total + int(self.piece["'"][-1]) + int(self.piece[p[1]][-1])
             run, total, at, before = total, total + int(own[-1]), at + len(own) - 1, p
         return counts, total
@@ -273,10 +341,69 @@ class PrefixCounter:
                 n = int(own[len(segment.encode())])
                 at, total, begin = at + len(own), total + n + 1, m.end()
                 counts[at] = total
-        inside = np.zeros(len(counts), bool)
-        inside[: len(raw)] = (np.frombuffer(raw, np.uint8) & 0xC0) == 0x80
-        held = np.maximum.accumulate(np.where(inside, 0, np.arange(len(counts))))
-        return counts[held]
+        return whole_characters(counts, raw)
+
+    def steps(self, text: str) -> bytes:
+        """Differences of the counts at neighbouring byte prefixes (STEP)."""
+        return self.all_steps([text])[0]
+
+    def all_steps(self, texts: list[str]) -> list[bytes]:
+        """`steps` of each text, put together from those of the chunks; new chunks of many texts are learned together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def close() -> None:
+            self._learn_chunks([c for _, chunks in held for c in chunks])
+            for k, chunks in held:
+                out[k].append(b"".join(map(self.chunk.__getitem__, chunks)))
+            held.clear()
+
+        for k, text in enumerate(texts):
+            if ODD.search(text) or (self.vocabulary.cuts and self.vocabulary.cuts.search(text)):
+                out[k].append(np.diff(self.prefixes(text)).astype(STEP).tobytes())
+                continue
+            at = 0
+            while at < len(text):
+                cut = START.search(text, at + PART)
+                end = cut.start() if cut else len(text)
+                held.append((k, CHUNK.findall(text[at:end] if at or cut else text)))
+                size, at = size + end - at, end
+                if size >= TOGETHER:
+                    close()
+                    size = 0
+        close()
+        return [b"".join(x) for x in out]
+
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        asked = set(chunks)
+        new = [c for c in asked if c not in self.chunk]
+        if len(self.chunk) + len(new) > REMEMBERED or self.chunk_bytes > REMEMBERED_BYTES:
+            self.chunk, self.chunk_bytes, new = {}, 0, list(asked)
+        if new:
+            inside = [PATTERN.findall(c) for c in new]
+            self._learn(p for ps in inside for p in ps)
+            treated = []
+            for c, ps in zip(new, inside):
+                if ps[0].isspace() or not TREATED.isdisjoint(ps):
+                    treated.append(c)
+                else:
+                    self._keep(c, b"".join(map(self.own_steps.__getitem__, ps)))
+            for c in treated:  # last, as this may make the worker forget pieces
+                self._keep(c, np.diff(whole_characters(self._segment(c)[0], c.encode())).astype(STEP).tobytes())
+
+    def _keep(self, chunk: str, steps: bytes) -> None:
+        self.chunk[chunk] = steps
+        self.chunk_bytes += len(steps) + len(chunk)
+
+
+def whole_characters(counts: np.ndarray, raw: bytes) -> np.ndarray:
+    """Inside a character, the count of the characters before it."""
+    if raw.isascii():
+        return counts
+    inside = np.zeros(len(counts), bool)
+    inside[: len(raw)] = (np.frombuffer(raw, np.uint8) & 0xC0) == 0x80
+    return counts[np.maximum.accumulate(np.where(inside, 0, np.arange(len(counts))))]
 
 
 def longest(counts: np.ndarray, budget: int) -> int:
@@ -284,13 +411,15 @@ def longest(counts: np.ndarray, budget: int) -> int:
     return int(np.nonzero(counts <= budget)[0][-1])
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counts as compressed differences; almost all are 0 or 1."""
-    return zlib.compress(np.diff(counts, prepend=0).astype("<i4").tobytes(), 1)
+def packed(steps: bytes) -> bytes:
+    """Steps, compressed; almost all are 0 or 1."""
+    return zstandard.ZstdCompressor(level=1).compress(steps)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"), dtype=np.int32)
+    """The count at every byte prefix, from packed steps; the first is that of the empty one."""
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), STEP)
+    return np.concatenate([np.zeros(1, np.int32), np.cumsum(steps, dtype=np.int32)])
 
 
 _OPEN: dict[str, PrefixCounter] = {}
@@ -302,36 +431,39 @@ def counter(path: str) -> PrefixCounter:
     return _OPEN[path]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, store: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_tokens, over_limit.
-
-    With store=True `counts` holds the count at every prefix (see `unpacked` and
-    `longest`), which answers truncation and budget questions later.
-    """
+def prefix_tables(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, n_bytes, counts) of each document, stored: the count at every prefix (see `unpacked` and `longest`)."""
     small_text_batches(docs.sparkSession)
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), *([("counts", pa.binary())] if store else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
         for b in batches:
             raw = list(text_bytes(b.column(1)))
-            texts = [t.decode("utf-8", "replace") for t in raw]
-            out: list = [b.column(0), [len(t) for t in raw]]
-            if store:
-                tables = [count.prefixes(t) for t in texts]
-                out += [[int(c[-1]) for c in tables], [packed(c) for c in tables]]
-            else:
-                out.append(count.totals(texts))
-            yield pa.record_batch([pa.array(x, t) for x, (_, t) in zip(out, fields)], names=[n for n, _ in fields])
+            tables = [packed(steps) for steps in count.all_steps([t.decode("utf-8", "replace") for t in raw])]
+            yield pa.record_batch([b.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(tables, pa.binary())], names=["doc_id", "n_bytes", "counts"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return stored(rows.mapInArrow(run, "doc_id long, n_bytes long, counts binary"), "prefix-counts")
+
+
+def answered(tables: DataFrame, limit: int = 512) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) from stored prefix tables alone: a text is over the limit if its longest prefix within it is not the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, over = [], []
+            for data, size in zip(b.column(2), b.column(1).to_pylist()):
+                counts = unpacked(data.as_py())
+                tokens.append(int(counts[-1]))
+                over.append(longest(counts, limit) < size)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(tokens, pa.int64()), pa.array(over, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    schema = "doc_id long, n_bytes long, n_tokens long" + ", counts binary" * store
-    counted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return tables.select("doc_id", "n_bytes", "counts").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_prefix_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Contract query: doc_id, n_bytes, n_tokens, over_limit (512)."""
+    """Contract query: doc_id, n_bytes, n_tokens, over_limit (512), read from the stored prefix counts."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return answered(prefix_tables(docs, public_tokenizers.path("byte_bpe_50k.json")))

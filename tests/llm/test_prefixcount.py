@@ -19,6 +19,7 @@ def number(text):
 def check(text):
     assert COUNTER.totals([text]) == [number(text)], repr(text)
     table = COUNTER.prefixes(text)
+    assert prefixcount.unpacked(prefixcount.packed(COUNTER.steps(text))).tolist() == table.tolist(), repr(text)
     at = 0
     for i in range(len(text) + 1):
         assert table[at] == number(text[:i]), (text[:i], text)
@@ -56,7 +57,7 @@ def test_every_token_of_the_vocabulary():
 
 def test_budgets():
     text = cases.awkward()[6]
-    table = prefixcount.unpacked(prefixcount.packed(COUNTER.prefixes(text)))
+    table = prefixcount.unpacked(prefixcount.packed(COUNTER.steps(text)))
     cut = prefixcount.longest(table, 20)
     assert number(text.encode()[:cut].decode("utf-8", "ignore")) <= 20 < number(text)
     assert prefixcount.longest(table, 10**6) == len(text.encode())
@@ -68,9 +69,46 @@ def test_documents(spark, monkeypatch):
     texts = [t or "" for t in cases.awkward()]
     for t in texts[:9]:
         assert small.totals([t]) == [number(t)]
-    got = prefixcount.count_tokens(cases.docs(spark, cases.awkward()), PATH, store=True).collect()
+        assert small.steps(t) == COUNTER.steps(t)
+    tables = prefixcount.prefix_tables(cases.docs(spark, cases.awkward()), PATH)
+    got = prefixcount.answered(tables).collect()
     assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {i: (len(t.encode()), number(t), number(t) > 512) for i, t in enumerate(texts)}
-    assert all(prefixcount.unpacked(r.counts)[-1] == r.n_tokens for r in got)
-    assert prefixcount.count_tokens(cases.messy(spark, cases.awkward()[:8]), PATH).count() == 10
-    assert prefixcount.count_tokens(cases.docs(spark, []), PATH).count() == 0
-    assert np.ndim(small.prefixes("")) == 1
+    for r in tables.collect():
+        counts = prefixcount.unpacked(r.counts)
+        assert len(counts) == r.n_bytes + 1 and prefixcount.longest(counts, 10**9) == r.n_bytes
+    assert prefixcount.answered(prefixcount.prefix_tables(cases.messy(spark, cases.awkward()[:8]), PATH)).count() == 10
+    assert prefixcount.answered(prefixcount.prefix_tables(cases.docs(spark, []), PATH)).count() == 0
+    assert np.ndim(small.prefixes("")) == 1 and small.steps("") == b""
+
+
+def test_long_runs_without_spaces():
+    import base64
+    import random
+    import time
+
+    rng = random.Random(1)
+    for text in ("a" * 5000, base64.b64encode(rng.randbytes(4000)).decode(), "日本語" * 900, "x" * 300 + "  " + "=" * 700 + "\n\n" + "né" * 400):
+        steps = COUNTER.steps(text)
+        counts = prefixcount.unpacked(prefixcount.packed(steps))
+        assert counts[-1] == number(text) == COUNTER.totals([text])[0]
+        for cut in sorted(rng.sample(range(len(text)), 40)):
+            assert counts[len(text[:cut].encode())] == number(text[:cut])
+    # time in proportion to the length
+    text = "".join(rng.choice("abcdefghij") for _ in range(200_000))
+    start = time.perf_counter()
+    steps = COUNTER.steps(text)
+    assert time.perf_counter() - start < 8 and prefixcount.unpacked(prefixcount.packed(steps))[-1] == number(text)
+
+
+def test_pieces_fill_and_walk_alike():
+    words = ["tion", " the", "aaaaaaaaaaaaa", "====---", "Straße", "0000", " " * 40, "x" * 120]
+    counts, starts = COUNTER.vocabulary.fill([w.encode() for w in words])
+    for w, s in zip(words, starts.tolist()):
+        assert COUNTER.vocabulary.walk(w.encode()).tolist() == counts[s : s + len(w.encode()) + 1].tolist()
+
+
+def test_long_texts_in_parts(monkeypatch):
+    text = " ".join(cases.awkward()[6] for _ in range(3)) + "\n\n  end " + "b" * 90
+    whole = COUNTER.steps(text)
+    monkeypatch.setattr(prefixcount, "PART", 50)
+    assert prefixcount.PrefixCounter(PATH).steps(text) == whole
