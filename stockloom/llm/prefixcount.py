@@ -244,8 +244,7 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.piece: dict[str, np.ndarray] = {}
-        self.own_steps: dict[str, bytes] = {}
+        self.piece: dict[str, bytes] = {}
         self.piece_bytes = 0
         self.whole: dict[str, int] = {}
         self.chunk: dict[str, bytes] = {}
@@ -262,23 +261,27 @@ class PrefixCounter:
         asked = list(dict.fromkeys(pieces))
         new = [p for p in asked if p not in self.piece]
         if len(self.piece) + len(new) > REMEMBERED or self.piece_bytes > REMEMBERED_BYTES:
-            self.piece, self.own_steps, self.piece_bytes, new = {}, {}, 0, asked
-        long = [p for p in new if len(p) > LONG]
-        for p in long:
-            self.piece[p] = self.vocabulary.walk(p.encode())
-            self.own_steps[p] = np.diff(whole_characters(self.piece[p], p.encode())).astype(STEP).tobytes()
-            self.piece_bytes += 7 * len(p)
+            self.piece, self.piece_bytes, new = {}, 0, asked
+        for p in new:
+            if len(p) > LONG:
+                raw = p.encode()
+                self.piece[p] = np.diff(whole_characters(self.vocabulary.walk(raw), raw)).astype(STEP).tobytes()
+                self.piece_bytes += 3 * len(p)
         new = [p for p in new if len(p) <= LONG]
         if new:
             raw = [p.encode() for p in new]
             counts, starts = self.vocabulary.fill(raw)
-            small = counts.astype(np.uint8 if max(map(len, raw)) < 255 else np.int32)
-            steps = np.diff(counts).astype(STEP).tobytes()
-            for p, s, b in zip(new, starts.tolist(), raw):
-                self.piece[p] = small[s : s + len(b) + 1].copy()
-                same = len(b) == len(p)  # ASCII
-                self.own_steps[p] = steps[2 * s : 2 * (s + len(b))] if same else np.diff(whole_characters(counts[s : s + len(b) + 1], b)).astype(STEP).tobytes()
-            self.piece_bytes += 4 * sum(map(len, raw))
+            # a byte between the pieces gives the bytes the places of the counts
+            steps = np.diff(whole_characters(np.append(counts, 0), b"\0".join(raw) + b"\0")).astype(STEP).tobytes()
+            self.piece.update((p, steps[2 * s : 2 * (s + len(b))]) for p, s, b in zip(new, starts.tolist(), raw))
+            self.piece_bytes += 3 * len(counts)
+
+    def _counts(self, piece: str) -> np.ndarray:
+        """Counts at all prefixes of a learned piece."""
+        return np.concatenate([np.zeros(1, np.int32), np.cumsum(np.frombuffer(self.piece[piece], STEP), dtype=np.int32)])
+
+    def _total(self, piece: str) -> int:
+        return int(np.frombuffer(self.piece[piece], STEP).sum())
 
     def chunks(self, text: str) -> list[str]:
         """Strings whose counts add up to the text's: words with the space before them, or pieces."""
@@ -299,9 +302,8 @@ class PrefixCounter:
         new = [c for c in dict.fromkeys(c for s in split for c in s) if c not in self.whole]
         inside = [self.pieces(c) for c in new]
         self._learn(p for ps in inside for p in ps)
-        known = self.piece
         for c, ps in zip(new, inside):
-            self.whole[c] = sum(int(known[p][-1]) for p in ps)
+            self.whole[c] = sum(map(self._total, ps))
         return [n + sum(map(self.whole.__getitem__, s)) for n, s in zip(special, split)]
 
     def _segment(self, text: str) -> tuple[np.ndarray, int]:
@@ -316,13 +318,13 @@ class PrefixCounter:
         at = total = run = 0
         before = ""
         for p in pieces:
-            own = self.piece[p].astype(np.int32)
+            own = self._counts(p)
             counts[at + 1 : at + len(own)] = total + own[1:]
             if before.isspace() and p[0].isspace():  # cut here, the run of white space is one piece
                 n = len(p[0].encode())
-                counts[at + n] = run + int(self.piece[before + p[0]][-1])
+                counts[at + n] = run + self._total(before + p[0])
             if p in TREATED:
-                counts[at + 2] = total + int(self.piece["'"][-1]) + int(self.piece[p[1]][-1])
+                counts[at + 2] = total + self._total("'") + self._total(p[1])
             run, total, at, before = total, total + int(own[-1]), at + len(own) - 1, p
         return counts, total
 
@@ -381,14 +383,17 @@ class PrefixCounter:
         if len(self.chunk) + len(new) > REMEMBERED or self.chunk_bytes > REMEMBERED_BYTES:
             self.chunk, self.chunk_bytes, new = {}, 0, list(asked)
         if new:
-            inside = [PATTERN.findall(c) for c in new]
+            # a space and letters are one piece
+            inside = [[c] if c[0] == " " and c[1:].isalpha() else PATTERN.findall(c) for c in new]
             self._learn(p for ps in inside for p in ps)
             treated = []
             for c, ps in zip(new, inside):
-                if ps[0].isspace() or not TREATED.isdisjoint(ps):
+                if len(ps) == 1:
+                    self._keep(c, self.piece[c])
+                elif ps[0].isspace() or not TREATED.isdisjoint(ps):
                     treated.append(c)
                 else:
-                    self._keep(c, b"".join(map(self.own_steps.__getitem__, ps)))
+                    self._keep(c, b"".join(map(self.piece.__getitem__, ps)))
             for c in treated:  # last, as this may make the worker forget pieces
                 self._keep(c, np.diff(whole_characters(self._segment(c)[0], c.encode())).astype(STEP).tobytes())
 
