@@ -207,6 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = END, tiers: tuple[int, ...]
                     emit(False)
             if rows:
                 yield flushed()
+        ids.forget()
         packer.finish()
         emit(True)
         if rows:

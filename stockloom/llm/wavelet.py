@@ -212,6 +212,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = END, s
                 if size >= shard:
                     yield close()
                     keys, held, size, seq = [], [], 0, seq + 1
+        ids.forget()
         if held:
             yield close()
 

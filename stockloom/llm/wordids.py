@@ -16,8 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks, and words in them, that a worker remembers: two generations of so many.
-REMEMBERED, WORDS = 500_000, 300_000
+#: Chunks, and words in them, that a worker remembers: two generations of so many, and of so many bytes.
+REMEMBERED, WORDS, REMEMBERED_BYTES = 500_000, 300_000, 16 << 20
 #: Long texts are taken in parts of about so many bytes, cut at white space.
 PART = 1 << 20
 #: Chunks of printable ASCII and the letters of Latin-1, which no normal form changes.
@@ -33,16 +33,18 @@ class Remembered(dict):
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.bytes = make, size, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
+        if len(self) >= self.size or self.bytes > REMEMBERED_BYTES:
             self.old = dict(self)
             self.clear()
+            self.bytes = 0
         self[key] = value
+        self.bytes += len(key) + len(value)
         return value
 
 
@@ -79,6 +81,10 @@ class WordIds:
         self.words = Remembered(self._word, WORDS)
         self.chunks = Remembered(self._chunk, REMEMBERED)
 
+    def forget(self) -> None:
+        """Drop the older generation, so that a worker between two tasks holds little."""
+        self.words.old, self.chunks.old = {}, {}
+
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.dtype.char, ids).tobytes()
 
