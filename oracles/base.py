@@ -55,6 +55,17 @@ def sd(n: str, s: str, q: str) -> str:
     return f"(CASE WHEN {n} >= 2 THEN SQRT(GREATEST({n}*{q} - {s}*{s}, 0.0::DOUBLE) / ({n}*({n} - 1.0::DOUBLE))) END)"
 
 
+def rules(name: str, columns: str, rows: list[tuple]) -> None:
+    """Fixed values as a table of a query; a NULL bound holds for every row."""
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    cte(name, f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS r({columns})")
+
+
+def looked_up(result: str, table: str, match: str, rank: str, otherwise: str) -> str:
+    """The result of the matching rule of lowest rank."""
+    return f"COALESCE((SELECT arg_min({result}, {rank}) FROM {table} WHERE {match}), {otherwise})"
+
+
 UD1 = """CASE {p} % 12 WHEN 0 THEN 'FLTHB' WHEN 1 THEN 'FLTF1' WHEN 2 THEN 'FLTF2' WHEN 3 THEN 'FLTF3'
   WHEN 4 THEN 'FLTMH' WHEN 5 THEN 'FLTSC' WHEN 6 THEN 'SPECIAL REQUEST' WHEN 7 THEN 'DISCONTINUED'
   WHEN 8 THEN NULL ELSE 'NA' END"""

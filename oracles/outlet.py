@@ -1,5 +1,5 @@
 import oracles.summary  # noqa: F401  (its expressions come first)
-from oracles.base import AS_OF, UD1, cte, dbl, lng, query, ratio, rnd
+from oracles.base import AS_OF, UD1, cte, dbl, lng, looked_up, query, ratio, rnd, rules
 
 PATTERNS = "['DEAD', 'NEW', 'DISC', 'SPORADIC', 'STRONG_DECLINE', 'DECLINE', 'STABLE', 'GROWTH', 'STRONG_GROWTH']"
 P = "CAST(substr(stock_id, 2) AS BIGINT)"
@@ -63,9 +63,17 @@ BEST = "ORDER BY o.outlet_ams DESC NULLS LAST, o.current_balance DESC NULLS LAST
 RECS = ["STOCKOUT", "ORDER_NOW", "ORDER_SOON", "OPTIMAL", "REDUCE", "OVERSTOCKED", "DELIST", "UNCERTAIN"]
 PSEUDO = "('WAREHOUSE', 'QUARANTINE', 'RETURN', 'S-ISCS')"
 
-GROW = """CASE WHEN pat IN ('EXTREME_GROWTH', 'STRONG_GROWTH') AND mom IN ('ACCELERATING', 'GAINING') THEN 20 WHEN pat IN ('EXTREME_GROWTH', 'STRONG_GROWTH') THEN 18
-  WHEN pat IN ('GROWTH', 'MODERATE_GROWTH') AND mom IN ('ACCELERATING', 'GAINING') THEN 16 WHEN pat IN ('GROWTH', 'MODERATE_GROWTH') THEN 14 WHEN pat = 'STABLE' THEN 10
-  WHEN pat IN ('STABLE_DECLINE', 'DECLINE') THEN 5 WHEN pat IN ('STRONG_DECLINE', 'EXTREME_DECLINE') THEN 2 ELSE 8 END"""
+# fixed values: points of a suggestion by the lowest measure that earns them, and by the demand pattern (with a gaining momentum)
+rules("step_points", "measure, least, points", [
+    ("outlets", 10, 25), ("outlets", 7, 22), ("outlets", 5, 20), ("outlets", 4, 17), ("outlets", 3, 14), ("outlets", 0, 10),
+    ("demand", 50, 25), ("demand", 20, 20), ("demand", 10, 15), ("demand", 5, 10), ("demand", 1, 5), ("demand", 0, 2),
+])
+rules("pattern_points", "pattern, points, gaining", [
+    ("EXTREME_GROWTH", 18, 20), ("STRONG_GROWTH", 18, 20), ("MODERATE_GROWTH", 14, 16), ("GROWTH", 14, 16), ("STABLE", 10, 10),
+    ("STABLE_DECLINE", 5, 5), ("DECLINE", 5, 5), ("STRONG_DECLINE", 2, 2), ("EXTREME_DECLINE", 2, 2),
+])
+rules("gap_points", "share, points", [(0.5, 15), (0.75, 10), (1.0, 5)])
+STEP = "(SELECT MAX(k.points) FROM step_points k WHERE k.measure = '{}' AND {} >= k.least)"
 mode_of = lambda c: f"(SELECT stock_id, arg_min({c}, (-n, {c})) AS v FROM (SELECT stock_id, {c}, COUNT(*) AS n FROM sel WHERE {c} IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"
 SUG = f"""WITH sel AS (SELECT * FROM outlet_sku WHERE location_id <> 'L23' AND location_id NOT IN {PSEUDO} AND outlet_ams >= 3),
   reg AS (SELECT stock_id, COUNT(DISTINCT location_id) AS n, string_agg(location_id, ',' ORDER BY location_id) AS outlets, {dbl('SUM(outlet_ams)')} / COUNT(*) AS av, MAX(outlet_ams) AS mx, SUM(total_12m) AS tt,
@@ -75,38 +83,40 @@ SUG = f"""WITH sel AS (SELECT * FROM outlet_sku WHERE location_id <> 'L23' AND l
             JOIN sku_summary s ON s.stock_id = o.stock_id WHERE o.outlet_ams > 0 GROUP BY 1, 2) GROUP BY 1),
   sc AS (SELECT r.*, s.stock_name, s.ud1_code, s.order_uom, s.order_uom_rate, s.abc_class AS company_abc, s.gp_abc_class, s.demand_pattern AS company_pattern, a.v AS pat, b.v AS mom,
       CAST(ROUND(CAST(r.av AS DECIMAL(38,10)), 2) AS DECIMAL(18,2)) AS m2,
-      CASE WHEN n >= 10 THEN 25 WHEN n >= 7 THEN 22 WHEN n >= 5 THEN 20 WHEN n >= 4 THEN 17 WHEN n >= 3 THEN 14 ELSE 10 END AS p1,
-      CASE WHEN av >= 50 THEN 25 WHEN av >= 20 THEN 20 WHEN av >= 10 THEN 15 WHEN av >= 5 THEN 10 WHEN av >= 1 THEN 5 ELSE 2 END AS p2,
-      CASE s.gp_abc_class WHEN 'A' THEN 15 WHEN 'B' THEN 10 ELSE 5 END AS p4,
-      CASE WHEN COALESCE(mine, 0) < COALESCE(usual, 0) * 0.5 THEN 15 WHEN COALESCE(mine, 0) < COALESCE(usual, 0) * 0.75 THEN 10 WHEN COALESCE(mine, 0) < COALESCE(usual, 0) THEN 5 ELSE 0 END AS p5
-    FROM reg r JOIN sku_summary s ON s.stock_id = r.stock_id LEFT JOIN pats a ON a.stock_id = r.stock_id LEFT JOIN moms b ON b.stock_id = r.stock_id LEFT JOIN cov c ON c.ud1_code = s.ud1_code
+      {STEP.format('outlets', 'r.n')} AS p1, {STEP.format('demand', 'r.av')} AS p2, CASE s.gp_abc_class WHEN 'A' THEN 15 WHEN 'B' THEN 10 ELSE 5 END AS p4,
+      COALESCE(IF(b.v IN ('ACCELERATING', 'GAINING'), g.gaining, g.points), 8) AS p3,
+      {looked_up('k.points', 'gap_points k', 'COALESCE(mine, 0) < COALESCE(usual, 0) * k.share', 'k.share', '0')} AS p5
+    FROM reg r JOIN sku_summary s ON s.stock_id = r.stock_id LEFT JOIN pats a ON a.stock_id = r.stock_id LEFT JOIN moms b ON b.stock_id = r.stock_id LEFT JOIN cov c ON c.ud1_code = s.ud1_code LEFT JOIN pattern_points g ON g.pattern = a.v
     WHERE s.is_active AND r.av >= 3 AND r.stock_id NOT IN (SELECT stock_id FROM outlet_sku WHERE location_id = 'L23' AND outlet_ams >= 1)),
-  sug AS (SELECT stock_id, stock_name, ud1_code, order_uom, company_abc, gp_abc_class, company_pattern, {lng(f'p1 + p2 + {GROW} + p4 + p5')} AS confidence_score, {lng('p1')} AS regional_success_score,
-      {lng('p2')} AS demand_strength_score, {lng(GROW)} AS growth_trajectory_score, {lng('p4')} AS profitability_score, {lng('p5')} AS category_gap_score, {lng('n')} AS selling_outlet_count, outlets AS selling_outlets,
+  sug AS (SELECT stock_id, stock_name, ud1_code, order_uom, company_abc, gp_abc_class, company_pattern, {lng('p1 + p2 + p3 + p4 + p5')} AS confidence_score, {lng('p1')} AS regional_success_score,
+      {lng('p2')} AS demand_strength_score, {lng('p3')} AS growth_trajectory_score, {lng('p4')} AS profitability_score, {lng('p5')} AS category_gap_score, {lng('n')} AS selling_outlet_count, outlets AS selling_outlets,
       {dbl('m2')} AS avg_regional_ams, {rnd('mx', 2)} AS max_regional_ams, {rnd('tt', 0)} AS total_regional_sales, pat AS dominant_pattern, mom AS dominant_momentum, {rnd('tr', 3)} AS avg_trend_index,
       {rnd('m2 * 0.7', 1)} AS predicted_monthly_sales, {lng(f"CEIL({ratio('m2 * 0.7', 'order_uom_rate')})")} AS suggested_initial_qty,
       'Selling in ' || CAST(n AS VARCHAR) || ' outlets (avg ' || CAST(CAST(ROUND(m2, 1) AS DECIMAL(18,1)) AS VARCHAR) || '/month)' ||
         CASE WHEN pat IN ('EXTREME_GROWTH', 'STRONG_GROWTH', 'GROWTH') THEN ' • Growing demand' WHEN pat = 'STABLE' THEN ' • Stable demand' ELSE '' END ||
         CASE WHEN gp_abc_class = 'A' THEN ' • High margin' ELSE '' END || CASE WHEN p5 >= 10 THEN ' • Fills category gap' ELSE '' END AS why_suggested
-    FROM sc WHERE p1 + p2 + {GROW} + p4 + p5 >= 50)"""
+    FROM sc WHERE p1 + p2 + p3 + p4 + p5 >= 50)"""
 
 # --- rotation ---------------------------------------------------------------
-MONTHS_KEPT = """CASE WHEN cat = 'SPORADIC' THEN 4.0 WHEN tier = 'FAST' AND cat = 'GROWING' THEN 1.0 WHEN tier = 'FAST' THEN 0.5
-  WHEN tier = 'MEDIUM' THEN (CASE cat WHEN 'DECLINING' THEN 0.5 WHEN 'GROWING' THEN 1.5 ELSE 1.0 END)
-  WHEN tier = 'SLOW' THEN (CASE cat WHEN 'DECLINING' THEN 1.5 WHEN 'GROWING' THEN 2.5 ELSE 2.0 END) ELSE (CASE cat WHEN 'DECLINING' THEN 2.5 WHEN 'GROWING' THEN 3.5 ELSE 3.0 END) END"""
-DOI_MAX = """CASE WHEN cat = 'SPORADIC' THEN 210 ELSE (CASE tier
-    WHEN 'FAST' THEN (CASE WHEN hb THEN 120 WHEN cat = 'DECLINING' THEN 15 WHEN cat = 'GROWING' THEN 75 ELSE 45 END)
-    WHEN 'MEDIUM' THEN (CASE WHEN hb THEN 135 WHEN cat = 'DECLINING' THEN 45 WHEN cat = 'GROWING' THEN 105 ELSE 75 END)
-    WHEN 'SLOW' THEN (CASE WHEN hb THEN 180 WHEN cat = 'DECLINING' THEN 90 WHEN cat = 'GROWING' THEN 150 ELSE 120 END)
-    ELSE (CASE WHEN hb THEN 240 WHEN cat = 'DECLINING' THEN 150 WHEN cat = 'GROWING' THEN 210 ELSE 180 END) END) END"""
+# fixed values: months of sales kept, and days of cover above which a position gives (of the house brand: last column)
+rules("keep_rule", "tier, cat, months_kept, doi_most, doi_house", [
+    ("FAST", "DECLINING", 0.5, 15, 120), ("FAST", "STABLE", 0.5, 45, 120), ("FAST", "GROWING", 1.0, 75, 120), ("FAST", "SPORADIC", 4.0, 210, 210),
+    ("MEDIUM", "DECLINING", 0.5, 45, 135), ("MEDIUM", "STABLE", 1.0, 75, 135), ("MEDIUM", "GROWING", 1.5, 105, 135), ("MEDIUM", "SPORADIC", 4.0, 210, 210),
+    ("SLOW", "DECLINING", 1.5, 90, 180), ("SLOW", "STABLE", 2.0, 120, 180), ("SLOW", "GROWING", 2.5, 150, 180), ("SLOW", "SPORADIC", 4.0, 210, 210),
+    ("VERY_SLOW", "DECLINING", 2.5, 150, 240), ("VERY_SLOW", "STABLE", 3.0, 180, 240), ("VERY_SLOW", "GROWING", 3.5, 210, 240), ("VERY_SLOW", "SPORADIC", 4.0, 210, 210),
+])
+rules("trend_rule", "pattern, cat", [
+    ("EXTREME_DECLINE", "DECLINING"), ("STRONG_DECLINE", "DECLINING"), ("DECLINE", "DECLINING"), ("SPORADIC", "SPORADIC"), ("EXTREME_GROWTH", "GROWING"),
+    ("STRONG_GROWTH", "GROWING"), ("MODERATE_GROWTH", "GROWING"), ("GROWTH", "GROWING"), ("EMERGING_GROWTH", "GROWING"),
+])
+rules("tier_rule", "least, tier", [(50, "FAST"), (10, "MEDIUM"), (1, "SLOW")])
 cte("rot_pos", f"""SELECT o.stock_id, o.location_id, o.location_name, NULLIF(regexp_extract(o.location_name, '^R[0-9]+'), '') AS region, o.current_balance AS bal, o.outlet_ams AS ams, o.days_of_inventory AS doi,
     o.reorder_recommendation AS rec, o.order_uom_rate AS rate, s.order_uom_stock_name AS s_name, s.order_uom AS s_uom, s.ud1_code AS s_ud1, COALESCE(s.demand_pattern, 'STABLE') AS pat,
-    CASE WHEN {ratio('o.outlet_ams', 'o.order_uom_rate')} >= 50 THEN 'FAST' WHEN {ratio('o.outlet_ams', 'o.order_uom_rate')} >= 10 THEN 'MEDIUM' WHEN {ratio('o.outlet_ams', 'o.order_uom_rate')} >= 1 THEN 'SLOW' ELSE 'VERY_SLOW' END AS tier,
-    CASE WHEN COALESCE(s.demand_pattern, 'STABLE') IN ('EXTREME_DECLINE', 'STRONG_DECLINE', 'DECLINE') THEN 'DECLINING'
-         WHEN COALESCE(s.demand_pattern, 'STABLE') IN ('EXTREME_GROWTH', 'STRONG_GROWTH', 'MODERATE_GROWTH', 'GROWTH', 'EMERGING_GROWTH') THEN 'GROWING'
-         WHEN s.demand_pattern = 'SPORADIC' THEN 'SPORADIC' ELSE 'STABLE' END AS cat, COALESCE(s.ud1_code = 'FLTHB', FALSE) AS hb
-  FROM outlet_sku o LEFT JOIN sku_summary s ON s.stock_id = o.stock_id WHERE o.outlet_ams > 0""")
-cte("rot_have", f"""SELECT *, bal - keep AS exc FROM (SELECT *, {DOI_MAX} AS doi_max, ams * {MONTHS_KEPT} AS keep FROM rot_pos WHERE bal > 0)
+    {looked_up('t.tier', 'tier_rule t', f"{ratio('o.outlet_ams', 'o.order_uom_rate')} >= t.least", '-t.least', "'VERY_SLOW'")} AS tier,
+    COALESCE(r.cat, 'STABLE') AS cat, COALESCE(s.ud1_code = 'FLTHB', FALSE) AS hb
+  FROM outlet_sku o LEFT JOIN sku_summary s ON s.stock_id = o.stock_id LEFT JOIN trend_rule r ON r.pattern = s.demand_pattern WHERE o.outlet_ams > 0""")
+cte("rot_have", """SELECT *, bal - keep AS exc FROM (SELECT p.*, IF(hb, r.doi_house, r.doi_most) AS doi_max, ams * r.months_kept AS keep
+    FROM rot_pos p JOIN keep_rule r ON r.tier = p.tier AND r.cat = p.cat WHERE bal > 0)
   WHERE doi > doi_max AND (bal - keep > keep OR (tier = 'VERY_SLOW' AND bal - keep > 5)) AND bal - keep > 0""")
 cte("rot_want", "SELECT *, ams * 2 - bal AS want FROM rot_pos WHERE rec IN ('STOCKOUT', 'ORDER_NOW', 'ORDER_SOON') AND ams * 2 - bal > 0")
 
@@ -127,15 +137,18 @@ def rot(out: bool) -> str:
 
 
 # --- rebalancing ------------------------------------------------------------
-cte("rb_short", f"""SELECT stock_id, ud1_code, abc_class, {dbl('total_balance')} AS total_balance, {dbl('total_ams')} AS total_ams, company_doi, {lng('outlet_count')} AS outlet_count,
-    {lng("CASE ud1_code WHEN 'FLTHB' THEN 60 ELSE 30 END")} AS doi_threshold, urgency_tier,
-    {dbl("CASE abc_class WHEN 'A' THEN 3 WHEN 'B' THEN 2 ELSE 1 END * CASE urgency_tier WHEN 'CRITICAL' THEN 3.0 WHEN 'URGENT' THEN 2.0 WHEN 'MODERATE' THEN 1.5 ELSE 1.0 END")} AS priority_score
-  FROM (SELECT *, CASE WHEN ud1_code = 'FLTHB' THEN (CASE WHEN company_doi < 30 THEN 'CRITICAL' WHEN company_doi < 60 THEN 'URGENT' WHEN company_doi < 90 THEN 'MODERATE' ELSE 'LOW' END)
-                 ELSE (CASE WHEN company_doi < 14 THEN 'CRITICAL' WHEN company_doi < 30 THEN 'URGENT' WHEN company_doi < 45 THEN 'MODERATE' ELSE 'LOW' END) END AS urgency_tier
+# fixed values: days of cover below which a stock is short, by house brand or not
+rules("short_rule", "house, below, tier, weight", [
+    (True, 30, "CRITICAL", 3.0), (True, 60, "URGENT", 2.0), (True, 90, "MODERATE", 1.5), (False, 14, "CRITICAL", 3.0), (False, 30, "URGENT", 2.0), (False, 45, "MODERATE", 1.5),
+])
+rules("class_weight", "class, weight", [("A", 3), ("B", 2), ("C", 1)])
+cte("rb_short", f"""SELECT x.stock_id, x.ud1_code, x.abc_class, {dbl('total_balance')} AS total_balance, {dbl('total_ams')} AS total_ams, company_doi, {lng('outlet_count')} AS outlet_count,
+    {lng("IF(x.house, 60, 30)")} AS doi_threshold, u.tier AS urgency_tier, {dbl('COALESCE(w.weight, 1) * u.weight')} AS priority_score
+  FROM (SELECT *, ud1_code = 'FLTHB' AS house
         FROM (SELECT o.stock_id, COALESCE(ANY_VALUE(s.ud1_code), 'OTHER') AS ud1_code, COALESCE(ANY_VALUE(s.abc_class), 'C') AS abc_class, SUM(o.current_balance) AS total_balance, SUM(o.outlet_ams) AS total_ams,
                 {ratio(dbl('SUM(o.current_balance)') + ' * 30', 'SUM(o.outlet_ams)')} AS company_doi, COUNT(DISTINCT o.location_id) AS outlet_count
               FROM outlet_sku o LEFT JOIN sku_summary s ON s.stock_id = o.stock_id WHERE o.current_balance > 0 OR o.outlet_ams > 0 GROUP BY o.stock_id HAVING SUM(o.outlet_ams) > 0))
-  WHERE outlet_count >= 2 AND ((ud1_code = 'FLTHB' AND company_doi < 90) OR (ud1_code <> 'FLTHB' AND company_doi < 45))""")
+  x ASOF JOIN short_rule u ON u.house = x.house AND x.company_doi < u.below LEFT JOIN class_weight w ON w.class = x.abc_class WHERE outlet_count >= 2""")
 cte("rb_share", f"""SELECT *, CASE WHEN dev > 0 AND doi > company_doi + 7 THEN 'DONOR' WHEN dev < 0 AND doi < company_doi - 7 THEN 'RECIPIENT' ELSE 'BALANCED' END AS cls,
     CASE WHEN dev > 0 AND doi > company_doi + 7 THEN dev * 0.8 ELSE 0 END AS give, CASE WHEN dev < 0 AND doi < company_doi - 7 THEN ABS(dev) ELSE 0 END AS want
   FROM (SELECT *, {dbl('bal')} - fair AS dev FROM (SELECT o.stock_id, o.location_id, o.location_name, o.current_balance AS bal, {dbl('o.days_of_inventory')} AS doi, o.order_uom_rate AS rate,
