@@ -1,6 +1,6 @@
 """Registered corpus queries, and SQL for those that it can express over whole tables."""
 
-from stockloom.llm import filteraudit, resample, secretscan
+from stockloom.llm import filteraudit, resample, secretscan, warc
 from stockloom.llm.filteraudit import op13_filter_interactions
 from stockloom.llm.iblt import op2_paragraph_iblt
 from stockloom.llm.langid import op7_string_kernel_language
@@ -16,4 +16,4 @@ from stockloom.llm.warc import op6_warc_round_trip
 from stockloom.llm.wavelet import op1_wavelet_shards
 
 QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op2_paragraph_iblt, op3_latent_semantic_leaks, op4_prefix_token_counts, op5_suffix_array_spans, op6_warc_round_trip, op7_string_kernel_language, op8_simhash_covering_lsh, op9_log_bilinear_scores, op10_hierarchical_packing, op11_secret_automaton, op12_importance_resampling, op13_filter_interactions)}
-SQL: dict[str, str] = {"op11_secret_automaton": secretscan.SQL, "op12_importance_resampling": resample.SQL, "op13_filter_interactions": filteraudit.SQL}
+SQL: dict[str, str] = {"op6_warc_round_trip": warc.SQL, "op11_secret_automaton": secretscan.SQL, "op12_importance_resampling": resample.SQL, "op13_filter_interactions": filteraudit.SQL}

@@ -231,3 +231,11 @@ def op6_warc_round_trip(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     manifest = write_archives(pages, run_folder(spark, "warc"))
     return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: The contract's rows in DuckDB SQL. Base32: five hexadecimal digits of the SHA-1 are four letters.
+SQL = """SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1) for i in range(0, 32)], '') AS payload_digest,
+  IF(page_id = largest, 'response', 'revisit') AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to, url
+FROM (SELECT page_id, url, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h, MAX(page_id) OVER (PARTITION BY body) AS largest
+      FROM (SELECT page_id, url, COALESCE(html, '') AS body FROM pages))"""
