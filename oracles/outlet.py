@@ -190,6 +190,15 @@ cte("wh_batch", f"""SELECT 'WAREHOUSE' AS location_id, b.stock_id, b.e, b.q, p.s
 cte("out_batch", f"""SELECT b.location_id, b.stock_id, b.e, b.q, p.stock_name, p.barcode, COALESCE(p.cost, 0) AS cost, {PARSED} AS exp_date
   FROM (SELECT stock_id, location_id, substr(batch_remark, 1, 10) AS e, SUM(qty) AS q FROM batch_line WHERE {VALID} AND doc_type = 'TRANSFER' GROUP BY 1, 2, 3) b
   LEFT JOIN product p ON p.stock_id = b.stock_id WHERE b.q > 0""")
+cte("batch_units", f"""SELECT location_id, stock_id, substr(batch_remark, 1, 10) AS expiry_str, doc_date, IF(doc_type IN ('TRANSIT', 'SUP_CREDIT'), -qty, qty) AS q
+  FROM batch_line WHERE {VALID} AND (doc_type = 'TRANSFER') = (location_id <> 'WAREHOUSE')""")
+cte("batch_lot", f"""SELECT *, SUM(i) OVER w AS i_end, SUM(o) OVER w AS o_end, SUM(i) OVER b AS i_all, SUM(o) OVER b AS o_all
+  FROM (SELECT location_id, stock_id, expiry_str, doc_date, SUM(GREATEST(q, 0)) AS i, SUM(GREATEST(-q, 0)) AS o FROM batch_units WHERE doc_date <= {AS_OF} GROUP BY ALL)
+  WINDOW b AS (PARTITION BY location_id, stock_id, expiry_str), w AS (PARTITION BY location_id, stock_id, expiry_str ORDER BY doc_date)""")
+cte("lot_left", """SELECT location_id, stock_id, expiry_str, doc_date AS received_on, LEAST(i, i_end - o_all) AS units FROM batch_lot WHERE LEAST(i, i_end - o_all) > 0""")
+cte("lot_drawn", f"""SELECT a.location_id, a.stock_id, a.expiry_str, a.doc_date AS received_on, b.doc_date AS sent_on, LEAST(a.i_end, b.o_end) - GREATEST(a.i_end - a.i, b.o_end - b.o) AS units
+  FROM batch_lot a JOIN batch_lot b ON b.location_id = a.location_id AND b.stock_id = a.stock_id AND b.expiry_str = a.expiry_str
+  WHERE LEAST(a.i_end, b.o_end) > GREATEST(a.i_end - a.i, b.o_end - b.o)""")
 cte("batches", f"""SELECT *, exp_date - {TODAY} AS days FROM (SELECT * FROM wh_batch UNION ALL SELECT * FROM out_batch)""")
 WIN = "CASE WHEN days < 0 THEN 'expired' WHEN days <= 30 THEN '0_30_days' WHEN days <= 60 THEN '31_60_days' WHEN days <= 90 THEN '61_90_days' WHEN days <= 180 THEN '91_180_days' ELSE 'over_180_days' END"
 
@@ -281,6 +290,13 @@ SQL = {
     "po4_po_history": query(f"SELECT * FROM ({LOG(AS_OF)} UNION ALL {LOG(f'CAST({AS_OF} - 20 AS DATE)')} UNION ALL {LOG(f'CAST({AS_OF} - 45 AS DATE)')}) WHERE generated_at >= {AS_OF} - 30 ORDER BY generated_at DESC, po_id LIMIT 100"),
     "exp0_parse_batch": query(f"SELECT {lng('doc_id')} AS doc_id, stock_id, batch_remark, e AS expiry_str, {PARSED} AS expiry_date FROM (SELECT *, substr(batch_remark, 1, 10) AS e FROM batch_line WHERE {VALID})"),
     "exp1_warehouse_batches": query(f"SELECT stock_id, e AS expiry_str, {dbl('q')} AS remaining, stock_name, {dbl('cost')} AS unit_cost FROM wh_batch"),
+    "exp1_balances_on_days": query(f"""SELECT location_id, stock_id, expiry_str, as_of, {dbl('SUM(q)')} AS units FROM batch_units
+        JOIN (VALUES (DATE '1998-06-30'), (DATE '2000-12-31'), ({AS_OF})) d(as_of) ON doc_date <= as_of GROUP BY 1, 2, 3, 4 HAVING SUM(q) > 0"""),
+    "exp1_warehouse_batches_by_log": query(f"SELECT stock_id, e AS expiry_str, {dbl('q')} AS remaining FROM wh_batch"),
+    "exp1_draw_down": query(f"""SELECT location_id, stock_id, expiry_str, received_on, sent_on, {dbl('units')} AS units, FALSE AS unreceived, FALSE AS held FROM lot_drawn
+        UNION ALL SELECT location_id, stock_id, expiry_str, received_on, NULL, {dbl('units')}, FALSE, TRUE FROM lot_left
+        UNION ALL SELECT location_id, stock_id, expiry_str, NULL, doc_date, {dbl('LEAST(o, o_end - i_all)')}, TRUE, FALSE FROM batch_lot WHERE LEAST(o, o_end - i_all) > 0"""),
+    "exp2_lots_left": query(f"SELECT location_id, stock_id, expiry_str, received_on, {dbl('units')} AS units, {lng(f'{AS_OF} - received_on')} AS age_days FROM lot_left"),
     "exp2_outlet_batches": query(f"SELECT stock_id, location_id, e AS expiry_str, {dbl('q')} AS qty, {dbl('cost')} AS unit_cost FROM out_batch"),
     "exp3_expiry_windows": query(WINDOWS),
     "exp4_at_risk": query(f"""SELECT {lng('SUM(total_batches)')} AS batches, {lng('SUM(total_units)')} AS units, {rnd('SUM(CAST(total_value AS DECIMAL(28,2)))', 2)} AS value FROM ({WINDOWS})

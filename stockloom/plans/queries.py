@@ -6,7 +6,7 @@ test data, a wider value is passed; the values stand beside each query.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from stockloom import config
 from stockloom.functions import sets
 from stockloom.functions.expr import days_before, dbl, lng, rnd
 from stockloom.operators import (
-    abcxyz, assortment, balance, dashboard, expiry, facts, outlet, paging, purchasing, seasonal, sellout, sku, textindex, transfer, yoy,
+    abcxyz, assortment, balance, batchlog, dashboard, expiry, facts, outlet, paging, purchasing, seasonal, sellout, sku, textindex, transfer, yoy,
 )
 from stockloom.plans import closed, incremental, monthly, summary
 from stockloom.session import cut_lineage, fresh_folder
@@ -343,6 +343,13 @@ query("exp1_warehouse_batches")(
 query("exp2_outlet_batches")(
     lambda T: _doubles(expiry.outlet_batches(T), "qty", "unit_cost").select("stock_id", "location_id", "expiry_str", "qty", "unit_cost")
 )
+LOG_DAYS = [date(1998, 6, 30), date(2000, 12, 31), AS_OF]
+query("exp1_balances_on_days")(lambda T: batchlog.balances_on(T.batch_log_line, LOG_DAYS).withColumn("units", dbl("units")))
+query("exp1_warehouse_batches_by_log")(
+    lambda T: batchlog.balances_on(T.batch_log_line.filter(F.col("location_id") == "WAREHOUSE"), [date(2099, 12, 31)]).select("stock_id", "expiry_str", dbl("units").alias("remaining"))
+)
+query("exp1_draw_down")(lambda T: batchlog.draw_down(T.batch_log_line, AS_OF).withColumn("units", dbl("units")))
+query("exp2_lots_left")(lambda T: batchlog.lots_left(T.batch_log_line, AS_OF).select(*batchlog.BATCH, "received_on", dbl("units").alias("units"), lng("age_days").alias("age_days")))
 query("exp3_expiry_windows")(lambda T: expiry.expiry_windows(expiry.all_batches(T), EXPIRY_AS_OF))
 query("exp4_at_risk")(lambda T: expiry.at_risk(expiry.expiry_windows(expiry.all_batches(T), EXPIRY_AS_OF)))
 query("exp5_by_location")(lambda T: expiry.expiry_by_location(T, EXPIRY_AS_OF))

@@ -42,6 +42,8 @@ SUPPLIER_INVOICE_LINE = _struct(
 BATCH_LINE = _struct(
     doc_type=_S, doc_id=_L, location_id=_S, stock_id=_S, qty=_QTY, batch_remark=_S,
 )
+# the same lines with the day of their document
+BATCH_LOG_LINE = T.StructType([*BATCH_LINE.fields, T.StructField("doc_date", _D)])
 OUTLET_SKU = T.StructType(
     [T.StructField(n, _S) for n in ("location_id", "location_name", "stock_id", "stock_name")]
     + [T.StructField(f"qty_m{i}", _QTY) for i in range(1, 13)]
@@ -91,6 +93,7 @@ SCHEMAS = {
     "purchase_order_line": PURCHASE_ORDER_LINE,
     "supplier_invoice_line": SUPPLIER_INVOICE_LINE,
     "batch_line": BATCH_LINE,
+    "batch_log_line": BATCH_LOG_LINE,
     "outlet_sku": OUTLET_SKU,
     "staff": STAFF,
     "review_actions": REVIEW_ACTIONS,

@@ -227,6 +227,10 @@ class StarTables(Tables):
     def batch_line(self):
         return self._batch_lines().select("doc_type", "doc_id", "location_id", "stock_id", "qty", "batch_remark")
 
+    @cached_property
+    def batch_log_line(self):
+        return self._batch_lines().select("doc_type", "doc_id", "location_id", "stock_id", "qty", "batch_remark", "doc_date")
+
     @cached_property
     def purchase_order_line(self):
         b = self._batch_lines().filter((F.col("doc_type") == "SUP_INVOICE") & (F.col("doc_id") % 2 == 0))
