@@ -53,11 +53,11 @@ class WaveletMatrix:
             depth = max(1, int(values.max(initial=0)).bit_length())
         planes, zeros = [], []
         for p in reversed(range(depth)):
-            ones = (values >> p & 1).astype(bool)
+            ones = (values & values.dtype.type(1 << p)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            low = values[~ones]
+            low = np.compress(~ones, values)
             zeros.append(len(low))
-            values = np.concatenate([low, values[ones]])
+            values = np.concatenate([low, np.compress(ones, values)])
         return cls(len(values), planes, zeros)
 
     def _directory(self, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +128,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, np.uint32 if self.depth > 16 else np.uint16)
         for level in reversed(range(self.depth)):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            now[self.zeros[level] :] |= now.dtype.type(1 << (self.depth - 1 - level))
             before = np.empty_like(now)
             before[~ones] = now[: self.zeros[level]]
-            before[ones] = now[self.zeros[level] :] | now.dtype.type(1 << (self.depth - 1 - level))
+            before[ones] = now[self.zeros[level] :]
             now = before
         return now
 

@@ -43,8 +43,8 @@ class Remembered(dict):
             self.old = dict(self)
             self.clear()
             self.bytes = 0
-        self[key] = value
         self.bytes += len(key) + len(value)
+        self[key] = value
         return value
 
 
@@ -78,6 +78,9 @@ class WordIds:
         self.chunked = kinds == ["Split", "ByteLevel"] and spec["model"]["end_of_word_suffix"] == "</w>" and all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].startswith("<|") and " " not in t["content"] for t in spec["added_tokens"])
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.visible = visible_bytes()
+        # the model is fetched once, as each fetch makes a new object, and each id is packed once
+        self.pieces = self.library.model.tokenize
+        self.packed_id = [self._packed([i]) for i in range(self.library.get_vocab_size())]
         self.words = Remembered(self._word, WORDS)
         self.chunks = Remembered(self._chunk, REMEMBERED)
 
@@ -91,9 +94,17 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.visible)
-        return self._packed([t.id for t in self.library.model.tokenize(word)])
+        found = self.pieces(word)
+        if len(found) == 1:
+            return self.packed_id[found[0].id]
+        return b"".join([self.packed_id[t.id] for t in found])
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters alone
+            return self.words[chunk.lower().decode("ascii")]
+        if chunk[:-1].isalpha() and 32 < chunk[-1] < 127:  # ... and one mark or digit
+            text = chunk.lower().decode("ascii")
+            return self.words[text[:-1]] + self.words[text[-1]]
         text = chunk.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and b"<|" not in chunk:
             text = text.lower()
