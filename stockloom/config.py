@@ -140,8 +140,25 @@ SUGGEST_OUTLET_POINTS = [(10, 25), (7, 22), (5, 20), (4, 17), (3, 14), (None, 10
 SUGGEST_DEMAND_POINTS = [(50, 25), (20, 20), (10, 15), (5, 10), (1, 5), (None, 2)]
 SUGGEST_MARGIN_POINTS = {"A": 15, "B": 10}
 SUGGEST_MARGIN_DEFAULT = 5
+# demand pattern -> points, points with a rising momentum; any other pattern has the default
+SUGGEST_GROWTH_POINTS = {
+    "EXTREME_GROWTH": (18, 20), "STRONG_GROWTH": (18, 20), "GROWTH": (14, 16), "MODERATE_GROWTH": (14, 16), "STABLE": (10, 10),
+    "STABLE_DECLINE": (5, 5), "DECLINE": (5, 5), "STRONG_DECLINE": (2, 2), "EXTREME_DECLINE": (2, 2),
+}
+SUGGEST_GROWTH_DEFAULT = 8
+RISING_MOMENTUM = ["ACCELERATING", "GAINING"]
 SUGGEST_GAP_POINTS = [(0.5, 15), (0.75, 10), (1.0, 5), (None, 0)]
 
+# --- Fixed values: kinds of variation and what they ask for -----------------
+VARIED, ERRATIC, MODERATE, PROMO_FREE, PEAK_TO_TROUGH = 0.7, 1.0, 0.5, 0.5, 3
+VARIATION_ADVICE = {
+    "INSUFFICIENT_DATA": "Gather more data",
+    "PROMO_DRIVEN": "Manage via promotion calendar",
+    "TRUE_SEASONAL": "Pre-stock for peak months",
+    "ERRATIC": "Maintain safety stock buffer",
+}
+VARIATION_DEFAULT_ADVICE = "Standard replenishment"
+
 # --- Fixed values: staff groups and roles -----------------------------------
 FULL_ACCESS_GROUPS = [
     "ADMINISTRATORS", "COO", "CMO", "CEO",

@@ -187,16 +187,9 @@ def category_coverage(o: DataFrame, s: DataFrame, outlet: str) -> DataFrame:
 
 
 def growth_points(pattern, momentum):
-    strong = pattern.isin("EXTREME_GROWTH", "STRONG_GROWTH")
-    some = pattern.isin("GROWTH", "MODERATE_GROWTH")
-    rising = momentum.isin("ACCELERATING", "GAINING")
-    return first_match(
-        [
-            (strong & rising, 20), (strong, 18), (some & rising, 16), (some, 14), (pattern == "STABLE", 10),
-            (pattern.isin("STABLE_DECLINE", "DECLINE"), 5), (pattern.isin("STRONG_DECLINE", "EXTREME_DECLINE"), 2),
-        ],
-        8,
-    )
+    steady, rising = ({k: v[i] for k, v in config.SUGGEST_GROWTH_POINTS.items()} for i in (0, 1))
+    default = config.SUGGEST_GROWTH_DEFAULT
+    return F.when(momentum.isin(config.RISING_MOMENTUM), lookup(pattern, rising, default)).otherwise(lookup(pattern, steady, default))
 
 
 def gap_points(have, usual):

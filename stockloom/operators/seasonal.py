@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.expr import days_before, dbl, first_match, lng, ratio, rnd, stddev_from_sums, top
+from stockloom import config
+from stockloom.functions.expr import days_before, dbl, first_match, lng, lookup, ratio, rnd, stddev_from_sums, top
 from stockloom.operators import facts
 
 HISTORY_DAYS = 730
@@ -124,8 +125,14 @@ def smart_cv(T, as_of, stock=None, months: int = 12, min_months: int = 6, limit:
 
     st = st.withColumns({"base": cv("sq", "qq"), "clean": cv("sc", "cc"), "swing": F.coalesce(ratio("hi", "lo"), F.lit(1.0))})
     base, clean_cv, swing = F.col("base"), F.col("clean"), F.col("swing")
-    promo_driven = (base > 0.7) & (clean_cv < 0.5)
-    seasonal = (base > 0.7) & (swing > 3)
+    varied = base > config.VARIED
+    kind = first_match(
+        [
+            (base.isNull(), "INSUFFICIENT_DATA"), (varied & (clean_cv < config.PROMO_FREE), "PROMO_DRIVEN"), (varied & (swing > config.PEAK_TO_TROUGH), "TRUE_SEASONAL"),
+            (base > config.ERRATIC, "ERRATIC"), (base > config.MODERATE, "MODERATE_VARIABILITY"),
+        ],
+        "STABLE",
+    )
     out = facts.with_category(st.join(facts.product_names(T, "category_id"), "stock_id"), T).select(
         "stock_id", "stock_name", "barcode", "category",
         rnd(ratio("sq", "n"), 1).alias("avg_monthly_qty"),
@@ -135,20 +142,8 @@ def smart_cv(T, as_of, stock=None, months: int = 12, min_months: int = 6, limit:
         lng("promo_months").alias("promo_months"),
         rnd(ratio("promo_months", "n") * 100, 0).alias("promo_frequency_pct"),
         rnd(swing, 1).alias("peak_trough_ratio"),
-        first_match(
-            [
-                (base.isNull(), "INSUFFICIENT_DATA"), (promo_driven, "PROMO_DRIVEN"), (seasonal, "TRUE_SEASONAL"),
-                (base > 1.0, "ERRATIC"), (base > 0.5, "MODERATE_VARIABILITY"),
-            ],
-            "STABLE",
-        ).alias("demand_pattern"),
-        first_match(
-            [
-                (base.isNull(), "Gather more data"), (promo_driven, "Manage via promotion calendar"),
-                (seasonal, "Pre-stock for peak months"), (base > 1.0, "Maintain safety stock buffer"),
-            ],
-            "Standard replenishment",
-        ).alias("recommendation"),
+        kind.alias("demand_pattern"),
+        lookup(kind, config.VARIATION_ADVICE, config.VARIATION_DEFAULT_ADVICE).alias("recommendation"),
         F.coalesce(rnd(base, 9), F.lit(0.0)).alias("sort_cv"),
     )
     return top(out, F.desc("sort_cv"), "stock_id", limit=limit).drop("sort_cv")
