@@ -76,7 +76,8 @@ def matched(df: DataFrame, key: str, text: str, patterns: DataFrame, pattern: st
     A pattern can only lie where its first characters are. So patterns are keyed by these, texts by all
     their substrings of that length, and what an equi-join brings together is verified; the work
     grows with the texts, not with texts times patterns. `shortest` is the least length of a pattern (shorter ones are
-    ignored). Both sides are salted by the key, as one substring may be in a third of the texts.
+    ignored). Both sides are salted by the key, as one substring may be in a third of the texts. Both are sorted and
+    merged: Spark takes exploded substrings for as small as the texts, and would gather them on the driver to broadcast them.
     """
     given = patterns.select(F.col(pattern).alias("p")).filter(F.length("p") >= shortest).distinct()
     # patterns of one key that begin alike in twice its length share a list; so lists stay short
@@ -85,5 +86,5 @@ def matched(df: DataFrame, key: str, text: str, patterns: DataFrame, pattern: st
     upper = F.upper(F.col(text))
     every = F.flatten(F.array(*[grams(upper, n) for n in range(min(shortest, GRAM), GRAM + 1)]))
     rows = df.select(F.col(key), upper.alias("t"), F.explode(F.array_distinct(every)).alias("gram")).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    both = rows.join(keyed, ["gram", "salt"])
+    both = rows.hint("merge").join(keyed, ["gram", "salt"])
     return both.filter(F.exists("ps", lambda p: F.contains(F.col("t"), p))).select(key).distinct()

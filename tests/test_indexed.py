@@ -55,6 +55,12 @@ def test_ten_thousand_and_short_patterns(spark):
     assert textindex.matched(df, "stock_id", "stock_name", patterns.limit(0)).count() == 0
 
 
+def test_exploded_texts_are_not_broadcast(spark):
+    patterns = spark.createDataFrame([("RING",)], "pattern string")
+    plan = textindex.matched(names(spark, 50), "stock_id", "stock_name", patterns)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_stored_order_pages_like_the_window(spark, tmp_path):
     rng = random.Random(2)
     # one outlet holds most rows; many ties and nulls
