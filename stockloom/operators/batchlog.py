@@ -22,28 +22,39 @@ from pyspark.sql import functions as F
 from stockloom import config
 from stockloom.functions.expr import day
 from stockloom.operators.expiry import INBOUND, OUTBOUND, TRANSFER
+from stockloom.session import dealt
 
 BATCH = ["location_id", "stock_id", "expiry_str"]
 UNITS = "decimal(28,4)"
+#: Parts of the lines of one batch and day that are summed on their own first.
+SALTS = 32
 
 
-def signed_lines(lines: DataFrame) -> DataFrame:
-    """Lines that count for a batch, with units: receipts and transfers up, dispatches and credits down."""
+def signed_lines(lines: DataFrame, *extra) -> DataFrame:
+    """Lines that count for a batch, with units (and other columns): receipts and transfers up, dispatches and credits down."""
     kind, here = F.col("doc_type"), F.col("location_id") == config.WAREHOUSE
     counts = (here & kind.isin(INBOUND + OUTBOUND)) | (~here & (kind == TRANSFER))
     qty = F.coalesce("qty", F.lit(0)).cast(UNITS)
     dated = lines.filter(counts & F.col("batch_remark").rlike(config.BATCH_PATTERN))
     return dated.select(
-        "location_id", "stock_id", F.substring("batch_remark", 1, 10).alias("expiry_str"), "doc_date", F.when(kind.isin(OUTBOUND), -qty).otherwise(qty).alias("units")
+        "location_id", "stock_id", F.substring("batch_remark", 1, 10).alias("expiry_str"), "doc_date", F.when(kind.isin(OUTBOUND), -qty).otherwise(qty).alias("units"), *extra
     )
 
 
 def day_sums(lines: DataFrame) -> DataFrame:
-    """Per batch and day: units that came and units that went."""
+    """Per batch and day: units that came and units that went; the rows of a batch lie in one task.
+
+    Batches and days are nearly as many as lines, so a sum before the exchange would hold a whole split of the lines
+    in memory. Lines are dealt out by batch, day and a few salts instead (one batch may have a third of them), and summed where they
+    arrive; a day has at most SALTS rows when its batch is brought together.
+    """
     zero = F.lit(0).cast(UNITS)
-    return signed_lines(lines).groupBy(*BATCH, "doc_date").agg(
+    salt = F.pmod(F.xxhash64("doc_id", "qty", "doc_type", "batch_remark"), F.lit(SALTS)).alias("salt")
+    salted = dealt(signed_lines(lines, salt), *BATCH, "doc_date", "salt").groupBy(*BATCH, "doc_date", "salt").agg(
         F.sum(F.greatest("units", zero)).cast(UNITS).alias("came"), F.sum(F.greatest(-F.col("units"), zero)).cast(UNITS).alias("went")
     )
+    whole = dealt(salted.drop("salt"), *BATCH).groupBy(*BATCH, "doc_date")
+    return whole.agg(F.sum("came").cast(UNITS).alias("came"), F.sum("went").cast(UNITS).alias("went"))
 
 
 def balances_on(lines: DataFrame, days: list[date]) -> DataFrame:

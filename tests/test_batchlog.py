@@ -62,3 +62,14 @@ def test_against_units_one_by_one_and_today(spark):
     for stock in "AB":
         total = sum((1 if r["doc_type"] in expiry.INBOUND else -1) * r["qty"] for r in rows if r["stock_id"] == stock and r["doc_date"] <= d(5))
         assert earlier.get(stock, Decimal(0)) == max(total, 0)
+
+
+def test_lines_are_dealt_out_before_they_are_summed(spark):
+    rows = [line("RECEIVE", 1, d(n % 3)) for n in range(300)] + [line("TRANSIT", 2, d(5))]
+    left = batchlog.lots_left(log(spark, rows), d(9))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    dealt = [n for n in plan.splitlines() if "Exchange hashpartitioning" in n]
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in n for n in dealt)  # no sums hold a split of the lines
+    first = plan.splitlines().index(dealt[-1])
+    assert not any("Aggregate" in n for n in plan.splitlines()[first:])
+    assert {(r.received_on, int(r.units)) for r in left.collect()} == {(d(0), 98), (d(1), 100), (d(2), 100)}
