@@ -13,4 +13,4 @@ def test_parts_are_dealt_out_before_they_are_multiplied(spark, tmp_path):
     assert sorted((r.stock_id, r.location_id) for r in T.stock_balance.collect()) == want
     assert T.stock_balance.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = dashboard.stockout_rate(T)._jdf.queryExecution().executedPlan().toString()
-    assert "REPARTITION_BY_NUM" in plan.split("Generate explode([0,1,2", 1)[1]  # below the rows' multiplication
+    assert "REPARTITION_BY_NUM" in plan.split("Generate explode(", 1)[1]  # below the rows' multiplication
