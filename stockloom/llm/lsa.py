@@ -3,13 +3,12 @@
 1. Words of the benchmark are the vocabulary. Each document becomes the sorted
    positions of its vocabulary words; its passages are windows of WINDOW words, every
    half a window. Document frequencies count all passages of all documents.
-2. TF-IDF passages (unit length) are factored by a randomised SVD: a random matrix is
-   multiplied by the passages and their transpose in Spark tasks, which return
-   one small matrix each that Spark adds up; orthonormalised, twice, it spans the leading
-   right singular vectors. The factorisation is an index, and is fitted to a bounded
-   sample of passages (FIT occurrences, by hash of the document) and the benchmark's own, which weigh
-   as much as the sample, so that their directions are kept; every passage is then
-   projected and searched.
+2. TF-IDF passages (unit length) are factored by a randomised SVD: a random matrix is multiplied by
+   the passages and their transpose, which orthonormalised, twice, spans the leading right
+   singular vectors. Passages have few words of the benchmark, so their transpose times themselves, the sums of products for
+   pairs of words, is counted first: in one pass of Spark tasks over all passages of all documents,
+   in whole multiples of 1 / FIXED, so that their order does not matter. The products with it are Spark jobs, too. The
+   benchmark's own passages weigh as much as all others, so that their directions are kept.
 3. Passages and benchmark items meet in the latent space: cosine by matrix products, with the
    norms of the whole vectors (in the latent norm one common rare word would look like a copy),
    the items of a block against all passages. Pairs of at least COSINE are candidates, and so is each
@@ -49,8 +48,8 @@ STEP = WINDOW // 2
 ITEMS, ITEM_BYTES = 200, 8 << 20
 #: Rank of the factorisation, extra random columns, power iterations.
 RANK, EXTRA, POWERS = 208, 16, 2
-#: Vocabulary occurrences in the sample that the factorisation is fitted to, about.
-FIT = 2_000_000
+#: Products of pairs of words are counted in whole multiples of 1 / FIXED; a task holds so many pairs, a step makes so many products.
+FIXED, PAIRS, PRODUCTS = 1 << 24, 4_000_000, 1 << 20
 #: Words in more than this share of the passages carry no weight in the search; in more than this, none in the confirmation.
 COMMON, COMMON_HERE = 0.02, 0.05
 #: Least cosine of a candidate; shares of an item's words that confirm it, alone and with the answer.
@@ -217,11 +216,34 @@ class Rows:
         """These rows times a matrix with a row for each word; rows are in order."""
         return self._grouped(self.row, dense[self.word] * self.value[:, None], self.n)
 
+    def products(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word * size + other word, sum of products) of the words that a row holds, in both orders; some rows at a time."""
+        held = np.bincount(self.row, minlength=self.n)
+        begin, each = np.cumsum(held) - held, held[self.row]
+        made = np.cumsum(each)
+        at = 0
+        while at < len(each):
+            to = max(at + 1, int(np.searchsorted(made, (made[at - 1] if at else 0) + PRODUCTS, side="right")))
+            n = each[at:to]
+            left = np.repeat(np.arange(at, to), n)
+            right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[self.row[at:to]], n)
+            value = np.rint(self.value[left].astype(float) * self.value[right] * FIXED).astype(np.int64)
+            yield added(self.word[left].astype(np.int64) * size + self.word[right], value)
+            at = to
+
     def transposed(self, dense: np.ndarray, size: int) -> np.ndarray:
         order = np.argsort(self.word, kind="stable")
         return self._grouped(self.word[order], dense[self.row[order]] * self.value[order, None], size)
 
 
+def added(code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, with the sum of its values."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0]
+    return code[first], np.add.reduceat(value[order], first)
+
+
 def gathered(batches: Iterator[pa.RecordBatch], size: int, idf: np.ndarray) -> Iterator[tuple[Rows, list, np.ndarray]]:
     """Blocks of documents: their passages' rows, the documents, and the first row of each."""
     docs, first, rows, at_row = [], [], [], 0
@@ -248,39 +270,73 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int, idf: np.ndarray) -> I
         yield out()
 
 
+def word_pairs(occurring: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(i, j, v): for each word i the words j (int32 each) of its passages, with the sums of their products (int64, of 1 / FIXED) over all passages, stored."""
+    size = len(idf)
+    names, schema = ["i", "j", "v"], "i int, j binary, v binary"
+
+    def packed(code: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = code // size, (code % size).astype(np.int32)
+        first = np.nonzero(np.append(True, i[1:] != i[:-1]))[0]
+        ends = [*first[1:].tolist(), len(i)]
+        for at in range(0, len(first), 256):
+            part = list(zip(first[at : at + 256].tolist(), ends[at : at + 256]))
+            packs = [pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (j, value)]
+            yield pa.record_batch([pa.array(i[first[at : at + 256]], pa.int32()), *packs], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for rows, _, _ in gathered(batches, size, idf):
+            for pair in rows.products(size):
+                held.append(pair)
+                count += len(pair[0])
+                if count > PAIRS:
+                    held = [added(*(np.concatenate(x) for x in zip(*held)))]
+                    count = len(held[0][0])
+                    if count > PAIRS // 2:
+                        yield from packed(*held[0])
+                        held, count = [], 0
+        if held:
+            yield from packed(*added(*(np.concatenate(x) for x in zip(*held))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, j, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                row = sums.setdefault(i, np.zeros(size, np.int64))
+                row[np.frombuffer(j.as_py(), np.int32)] += np.frombuffer(v.as_py(), np.int64)
+        for i, row in sums.items():
+            j = np.nonzero(row)[0]
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([j.astype(np.int32).tobytes()], pa.binary()), pa.array([row[j].tobytes()], pa.binary())], names=names)
+
+    # some 256 words meet in a task
+    return stored(occurring.mapInArrow(run, schema).repartition(-(-size // 256), "i").mapInArrow(add, schema), "lsa-pairs")
+
+
 def fit(occurring: DataFrame, own: Rows, idf: np.ndarray, n_passages: int) -> np.ndarray:
-    """Directions (words x RANK) of the benchmark's own rows, in the space that a randomised SVD of sampled passages and benchmark spans.
+    """Directions (words x RANK) of the benchmark's own rows, in the space that a randomised SVD of all passages and benchmark spans.
 
     RANK is above the passages of a block, so the space keeps the probes nearly whole.
     """
     size = len(idf)
-    total = occurring.agg(F.sum(F.length("word") / 4)).first()[0] or 0
-    share = min(1.0, FIT / max(total, 1))
-    sampled = occurring.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    pairs = word_pairs(occurring, idf)
     rng = np.random.default_rng(0)
     basis = np.linalg.qr(rng.normal(size=(size, min(size, RANK + EXTRA))))[0].astype(np.float32)
     for _ in range(POWERS):
         shared = occurring.sparkSession.sparkContext.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shared.value.shape, np.float32)
-            for rows, _, _ in gathered(batches, size, idf):
-                total += rows.transposed(rows.times(shared.value), size)
-            yield pa.record_batch([pa.array(range(0, size, 64), pa.int32()), pa.array([total[i : i + 64].tobytes() for i in range(0, size, 64)], pa.binary())], names=["i", "part"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
             for b in batches:
-                for i, part in zip(b.column(0).to_pylist(), b.column(1)):
-                    got = np.frombuffer(part.as_py(), np.float32)
-                    sums[i] = sums[i] + got if i in sums else got
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["i", "part"])
-
-        # each task adds up its passages, then blocks of words meet; what returns is one matrix
-        back = sampled.mapInArrow(run, "i int, part binary").repartition("i").mapInArrow(add, "i int, part binary").collect()
-        product = max(1.0, share * n_passages / max(own.n, 1)) * own.transposed(own.times(basis), size)
-        for r in back:
-            product[r.i : r.i + 64] += np.frombuffer(r.part, np.float32).reshape(-1, basis.shape[1])
+                rows = [
+                    ((np.frombuffer(v.as_py(), np.int64) / FIXED).astype(np.float32) @ shared.value[np.frombuffer(j.as_py(), np.int32)]).tobytes()
+                    for j, v in zip(b.column(1), b.column(2))
+                ]
+                yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], names=["i", "part"])
+
+        # a row for each word returns, as long as the basis is wide
+        product = max(1.0, n_passages / max(own.n, 1)) * own.transposed(own.times(basis), size)
+        for r in pairs.mapInArrow(run, "i int, part binary").collect():
+            product[r.i] += np.frombuffer(r.part, np.float32)
         basis = np.linalg.qr(product.astype(np.float64))[0].astype(np.float32)
     # rotate to singular vectors by the small matrix that the basis leaves of the benchmark's rows
     small = own.times(basis).astype(np.float64)

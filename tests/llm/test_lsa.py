@@ -108,3 +108,27 @@ def test_items_that_many_documents_hold(spark):
     assert found >= {(d, i) for d, i in want if d % 2 or i}  # every verbatim copy
     assert len(found & want) >= 0.99 * len(want)
     assert len(found - want) <= 0.02 * len(docs)
+
+
+def test_factorisation_counts_every_passage(spark, monkeypatch):
+    monkeypatch.setattr(lsa, "PRODUCTS", 50)
+    monkeypatch.setattr(lsa, "PAIRS", 400)
+    docs, items, _, _ = make()
+    vocabulary = {}
+    listed = [lsa.Item(i, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in lsa.words_of(t.encode())], np.int32)) for i, t in enumerate(items)]
+    size = len(vocabulary)
+    occurring = lsa.occurrences(cases.docs(spark, docs), vocabulary, lsa.Runs(listed)).repartition(3)
+    idf = lsa.weights(*lsa.frequencies(occurring, listed, size), lsa.COMMON)
+    want = np.zeros((size, size))
+    for text in docs:
+        n = np.array([vocabulary.get(w, -1) for w in lsa.words_of(text.encode())])
+        at = np.nonzero(n >= 0)[0].astype(np.int32)
+        row, word, times = lsa.terms(at, n[at], len(n), size)
+        rows = lsa.Rows(row, word, times, lsa.passages(len(n)), idf)
+        dense = np.zeros((rows.n, size))
+        dense[rows.row, rows.word] = rows.value
+        want += dense.T @ dense
+    got = np.zeros((size, size))
+    for r in lsa.word_pairs(occurring, idf).collect():
+        got[r.i, np.frombuffer(r.j, np.int32)] += np.frombuffer(r.v, np.int64) / lsa.FIXED
+    assert want.sum() > 100 and np.abs(got - want).max() < 1e-4
