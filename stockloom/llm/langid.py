@@ -6,9 +6,11 @@ taken from lower-cased letters, other characters count as one space, and are
 hashed into DIM buckets, so a text is a row of zeros and ones and a batch of
 kernel values is one matrix product.
 
-Training (bounded, see `sample`): Nyström landmarks give the feature map
+Training: Nyström landmarks, some hundred texts (see `sample`), give the feature map
 k(x, landmarks) K^-1/2; kernel ridge regression on it, one language against the
-rest, has a closed form. Mapping and weights fold into one matrix, so scoring is
+rest, has a closed form in sums over the learned texts. Spark tasks sum over all of them,
+in whole multiples of a small unit, so that their order does not matter; rows of a language with over PER_LANGUAGE share its
+weight, so that languages weigh alike. Mapping and weights fold into one matrix, so scoring is
 two products per batch of whole texts.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text
@@ -35,12 +37,14 @@ DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3)
 LANDMARKS = 256
 RIDGE = 1e-2
-#: Training bound: rows of all languages together, rows of one language, and languages (the most frequent ones).
+#: Bounds of the rows that landmarks are taken from and of the weights in the regression: all languages together, one language, and languages (the most frequent ones).
 SAMPLE, PER_LANGUAGE, LANGUAGES = 4096, 800, 256
 UNKNOWN = "und"
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 #: Texts turned into a matrix at a time.
 BLOCK = 256
+#: Weighted features are whole multiples of 1 / UNIT, so that sums of products of a block are exact.
+UNIT = 1 << 20
 
 
 def letters_table() -> np.ndarray:
@@ -85,33 +89,61 @@ def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
+class Space:
+    """The feature map of some landmarks, and what a row of each language weighs."""
+
     languages: list[str]
-    landmarks: np.ndarray  # packed bits
-    weights: np.ndarray  # landmarks x languages
-    shift: np.ndarray
+    weight: list[float]
+    marks: np.ndarray  # rows of 0/1
+    half: np.ndarray  # landmarks x features
 
     @classmethod
-    def learn(cls, rows: np.ndarray, languages: list[str]) -> Model | None:
+    def of(cls, rows: np.ndarray, of: list[str], weight: dict[str, float]) -> Space | None:
         """From rows of 0/1 and the language of each."""
         if not len(rows):
             return None
-        names = sorted(set(languages))
-        of = np.array([names.index(x) for x in languages])
+        names = sorted(weight)
+        number = np.array([names.index(x) for x in of])
         # landmarks: every language in turn, in the sample's order
-        turn = np.zeros(len(of), np.int64)
+        turn = np.zeros(len(number), np.int64)
         for c in range(len(names)):
-            turn[of == c] = np.arange((of == c).sum())
+            turn[number == c] = np.arange((number == c).sum())
         marks = rows[np.argsort(turn, kind="stable")[:LANDMARKS]]
         value, vector = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
         good = value > 1e-6 * max(value.max(), 1e-12)
-        half = vector[:, good] / np.sqrt(value[good])
-        features = kernel(rows, marks).astype(np.float64) @ half
-        target = (of[:, None] == np.arange(len(names))).astype(np.float64)
-        mean_x, mean_y = features.mean(0), target.mean(0)
-        x, y = features - mean_x, target - mean_y
-        beta = np.linalg.solve(x.T @ x + RIDGE * np.eye(x.shape[1]), x.T @ y)
-        return cls(names, np.packbits(marks, axis=1), (half @ beta).astype(np.float32), (mean_y - mean_x @ beta).astype(np.float32))
+        return cls(names, [weight[x] for x in names], marks, vector[:, good] / np.sqrt(value[good]))
+
+    def products(self, texts: list[str], languages: list[str]) -> np.ndarray:
+        """Weighted sums over texts of the products of features, a one and the language's mark with each other, in 1 / UNIT squared."""
+        number = {x: i for i, x in enumerate(self.languages)}
+        m = self.half.shape[1]
+        out = np.zeros((m + 1 + len(number),) * 2, np.int64)
+        for at in range(0, len(texts), BLOCK):
+            of = np.array([number[x] for x in languages[at : at + BLOCK]])
+            features = kernel(presence(texts[at : at + BLOCK])[0], self.marks).astype(np.float64) @ self.half
+            row = np.concatenate([features, np.ones((len(of), 1)), of[:, None] == np.arange(len(number))], axis=1)
+            whole = np.rint(row * np.sqrt(np.array(self.weight)[of])[:, None] * UNIT)
+            out += (whole.T @ whole).astype(np.int64)
+        return out
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    landmarks: np.ndarray  # packed bits
+    weights: np.ndarray  # landmarks x languages
+    shift: np.ndarray
+
+    @classmethod
+    def of(cls, space: Space, sums: np.ndarray) -> Model:
+        """The regression from the sums of products of `Space.products`."""
+        m = space.half.shape[1]
+        total = sums[m, m]
+        mean_x, mean_y = sums[:m, m] / total, sums[m + 1 :, m] / total
+        xx = sums[:m, :m] - total * np.outer(mean_x, mean_x)
+        xy = sums[:m, m + 1 :] - total * np.outer(mean_x, mean_y)
+        beta = np.linalg.solve(xx + RIDGE * np.eye(m), xy)
+        return cls(space.languages, np.packbits(space.marks, axis=1), (space.half @ beta).astype(np.float32), (mean_y - mean_x @ beta).astype(np.float32))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         marks = np.unpackbits(self.landmarks, axis=1)
@@ -131,19 +163,25 @@ def strings(column: pa.Array) -> list[str]:
     return [t.decode("utf-8", "replace") for t in text_bytes(column)]
 
 
-def sample(labelled: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Feature rows and languages of at most SAMPLE rows (doc_id, lang, text), chosen by hash, every language alike.
+def weights(labelled: DataFrame) -> dict[str, float]:
+    """The languages learned, and what a row of each weighs: all alike up to `each` rows, which rows of more share."""
+    frequent = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(len(frequent), 1)))
+    return {lang: min(1.0, each / n) for lang, n in frequent.items()}
+
+
+def sample(labelled: DataFrame, weight: dict[str, float]) -> tuple[np.ndarray, list[str]]:
+    """Feature rows and languages of at most SAMPLE rows (doc_id, lang, text), chosen by hash, every language alike; landmarks are taken from them.
 
     Texts become fixed-size bit rows in the executors; only those reach the driver.
     A first cut by hash, with twice the rows wanted of each language, keeps all other
     texts out of the shuffle.
     """
     small_text_batches(labelled.sparkSession)
-    frequent = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not frequent:
+    if not weight:
         return np.zeros((0, DIM), np.uint8), []
-    each = max(1, min(PER_LANGUAGE, SAMPLE // len(frequent)))
-    share = F.create_map(*[F.lit(x) for lang, n in frequent.items() for x in (lang, min(1.0, (2 * each + 20) / n))])[F.col("lang")]
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(weight)))
+    share = F.create_map(*[F.lit(x) for lang, w in weight.items() for x in (lang, min(1.0, (2 + 20 / each) * w))])[F.col("lang")]
     drawn = labelled.withColumn("r", F.xxhash64(F.col("doc_id").cast("string"), "text")).where(F.pmod("r", F.lit(1 << 30)) < share * (1 << 30))
     order = Window.partitionBy("lang").orderBy("r", "text")
     chosen = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("lang", "text")
@@ -165,10 +203,39 @@ def part_of(column: Column, parts: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % parts
 
 
+def sums(labelled: DataFrame, space: Space) -> np.ndarray:
+    """`Space.products` over all rows (doc_id, lang, text) of the languages learned; each task returns one matrix, which Spark adds up."""
+    small_text_batches(labelled.sparkSession)
+    shared = labelled.sparkSession.sparkContext.broadcast(space)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = shared.value
+        total = space.products([], [])
+        for b in batches:
+            total += space.products(strings(b.column(1)), b.column(0).to_pylist())
+        yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["i", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, part in zip(b.column(0).to_pylist(), b.column(1)):
+                held[i] = held.get(i, 0) + np.frombuffer(part.as_py(), np.int64)
+        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["i", "part"])
+
+    ours = labelled.where(F.col("lang").isin(space.languages)).select("lang", "text")
+    out = space.products([], [])
+    for r in ours.mapInArrow(run, "i int, part binary").repartition("i").mapInArrow(add, "i int, part binary").collect():
+        out[r.i] = np.frombuffer(r.part, np.int64)
+    return out / UNIT**2
+
+
 def train(docs: DataFrame) -> Model | None:
-    """Learn from documents with a language and a text that has a letter, outside the held-out quarter."""
+    """Learn from all documents with a language and a text that has a letter, outside the held-out quarter."""
     ours = docs.where("lang is not null and text rlike '\\\\p{L}'").where(F.coalesce(part_of(F.col("doc_id"), 4) != 2, F.lit(True)))
-    return Model.learn(*sample(ours.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))))
+    labelled = ours.select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
+    weight = weights(labelled)
+    space = Space.of(*sample(labelled, weight), weight)
+    return space and Model.of(space, sums(labelled, space))
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -67,3 +67,22 @@ def test_long_texts_in_parts_lose_no_gram():
     whole, _ = langid.presence([text])
     ends, _ = langid.presence([text[-200:]])
     assert (whole >= ends).all()
+
+
+def test_regression_learns_from_every_text(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    monkeypatch.setattr(langid, "LANDMARKS", 8)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    texts = [f"{a} {b}{i}" for i in range(20) for a, b in (("haus und", "der"), ("house and", "the"))]
+    labelled = spark.createDataFrame([(i, "de" if t.startswith("haus") else "en", t) for i, t in enumerate(texts + texts[:20:2])], "doc_id long, lang string, text string").repartition(3)
+    weight = langid.weights(labelled)
+    assert weight == {"de": 5 / 30, "en": 5 / 20}
+    space = langid.Space.of(*langid.sample(labelled, weight), weight)
+    got = langid.sums(labelled, space)
+    rows = labelled.collect()
+    features = langid.kernel(langid.presence([r.text for r in rows])[0], space.marks) @ space.half
+    whole = np.concatenate([features, np.ones((len(rows), 1)), np.array([[r.lang == "de", r.lang == "en"] for r in rows])], axis=1)
+    want = whole.T @ (whole * np.array([weight[r.lang] for r in rows])[:, None])
+    m = space.half.shape[1]
+    assert np.abs(got - want).max() < 1e-4 and abs(got[m, m] - 10) < 1e-4  # each language weighs as five rows, of all its rows
+    assert np.array_equal(got, langid.sums(labelled.coalesce(1), space))
