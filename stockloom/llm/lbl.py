@@ -6,7 +6,8 @@ grows with the training tokens (`sizes`). The model gives log P(symbol | two sym
 before) from products of context and output vectors and is trained with
 noise-contrastive estimation in numpy, inside Spark tasks: all training texts are stored as symbols;
 in each round every task climbs on its own part from the common parameters, and
-Spark averages what the tasks found, weighted by their draws. Draws grow with the tokens.
+Spark averages what the tasks found, weighted by their steps. Rounds share out the tokens, so that together
+they learn from every training token, from each once (more often if there are few).
 As the score of a symbol is a sum of one term of each context position, two matrix products give
 the terms and a third the normalising sums of all contexts: three tables of symbols x
 symbols. Inside a class a word has its smoothed share of the class's count; an
@@ -50,8 +51,8 @@ FLUSH = 300_000
 END = b"\n"
 #: Training: vector length, rounds of averaging, batch, noise symbols that a batch shares.
 DIM, ROUNDS, BATCH, NOISE = 24, 4, 1024, 64
-#: Draws of a round: this share of the training tokens, so many at least.
-SHARE, LEAST_DRAWS = 1 / 8, 1_000_000
+#: Tokens learned in a round, at least; the others of few training tokens are then taken again.
+LEAST_DRAWS = 1_000_000
 RATE = 0.1
 #: Parameters are averaged as whole multiples of 2^-20, so that the order of addition does not matter.
 UNIT = 1 << 20
@@ -204,8 +205,8 @@ class Model:
         r, m1, m2, q, bias = np.split(flat, ends)
         return r.reshape(n, DIM), m1.reshape(DIM, DIM), m2.reshape(DIM, DIM), q.reshape(n, DIM), bias
 
-    def climb(self, trigrams: tuple[np.ndarray, ...], draws: int, rng: np.random.Generator) -> None:
-        """Steps on drawn trigrams: the logistic likelihood of telling each from the batch's noise symbols."""
+    def climb(self, trigrams: tuple[np.ndarray, ...], order: np.ndarray, rng: np.random.Generator) -> None:
+        """Steps on the trigrams in an order: the logistic likelihood of telling each from the batch's noise symbols."""
         r, m1, m2, q, bias = self.views(self.values)
         level = np.log(NOISE * self.noise)
         below = np.cumsum(self.noise)
@@ -223,8 +224,8 @@ class Model:
             square[at] += total * total
             value[at] += RATE * total / np.sqrt(square[at])
 
-        for start in range(0, draws, BATCH):
-            take = rng.integers(0, len(trigrams[0]), min(BATCH, draws - start))
+        for start in range(0, len(order), BATCH):
+            take = order[start : start + BATCH]
             a, b, c = (x[take] for x in trigrams)
             drawn = np.minimum(np.searchsorted(below, rng.random(NOISE)), len(below) - 1)
             ra, rb, qc, qn = r[a], r[b], q[c], q[drawn]
@@ -250,6 +251,17 @@ class Model:
         return tuple((t / np.log(10)).astype(np.float32) for t in (far, near, norm))
 
 
+def turn(n: int, number: int, times: float, seed: list[int]) -> np.ndarray:
+    """Which of n tokens a round takes, in random order: its part of them, and `times` n in all if that is more.
+
+    The parts of all rounds hold every token once.
+    """
+    order = np.random.default_rng(seed).permutation(n)
+    mine = order[number::ROUNDS]
+    more = int(n * times) - len(mine)
+    return mine if more <= 0 else np.concatenate([mine, np.resize(np.roll(order, -number * n // ROUNDS), more)])
+
+
 def train(lines: DataFrame, vocabulary: Vocabulary) -> Model:
     """Model from all stored symbols: tasks climb on their parts, Spark averages. A round returns as many sums to the driver as the model has numbers."""
     model = Model(vocabulary.unigram)
@@ -258,7 +270,7 @@ def train(lines: DataFrame, vocabulary: Vocabulary) -> Model:
         return model
     spark = lines.sparkSession
     small_text_batches(spark)
-    share = max(SHARE, LEAST_DRAWS / tokens)
+    times = LEAST_DRAWS / tokens
     size = len(model.values)
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
@@ -266,7 +278,7 @@ def train(lines: DataFrame, vocabulary: Vocabulary) -> Model:
         def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
             mine = None
             done = 0
-            for b in batches:
+            for at, b in enumerate(batches):
                 symbols = np.frombuffer(b"".join(text_bytes(b.column(0))), np.uint16).astype(np.int64)
                 if not len(symbols):
                     continue
@@ -274,10 +286,10 @@ def train(lines: DataFrame, vocabulary: Vocabulary) -> Model:
                     mine = Model(shared.value.noise)
                     mine.noise, mine.values, mine.squares = shared.value.noise, shared.value.values.copy(), shared.value.squares.copy()
                     rng = np.random.default_rng([number, TaskContext.get().partitionId()])
-                draws = max(1, int(len(symbols) * share))
-                mine.climb(contexts(symbols, end), draws, rng)
-                done += draws
-            if mine is not None:
+                order = turn(len(symbols), number, times, [TaskContext.get().partitionId(), at])
+                mine.climb(contexts(symbols, end), order, rng)
+                done += len(order)
+            if done:
                 found = np.concatenate([mine.values, mine.squares, [1.0]])
                 whole = np.rint(found * UNIT).astype(np.int64) * done
                 for at in range(0, len(whole), 10_000):
@@ -288,6 +300,8 @@ def train(lines: DataFrame, vocabulary: Vocabulary) -> Model:
         shared.unpersist()
         flat = np.zeros(2 * size + 1)
         flat[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
+        if not flat[-1]:  # batches of so few tokens that none has its turn
+            continue
         model.values, model.squares = flat[:size] / flat[-1], np.maximum(flat[size:-1] / flat[-1], 1e-6)
     return model
 

@@ -93,3 +93,11 @@ def test_symbols_and_contexts_grow_with_the_tokens():
     assert sum(lbl.sizes(10**18)) == lbl.MOST_SYMBOLS
     got = lbl.contexts(np.array([5, 7, 8, 0, 0, 6, 0]), 0)
     assert [x.tolist() for x in got] == [[0, 0, 5, 7, 0, 0, 0], [0, 5, 7, 8, 0, 0, 6], [5, 7, 8, 0, 0, 6, 0]]
+
+
+def test_rounds_learn_from_every_token():
+    for n in (1, 3, 10, 1001):
+        rounds = [lbl.turn(n, number, 0.1, [3, 1]) for number in range(lbl.ROUNDS)]
+        assert sorted(np.concatenate(rounds).tolist()) == list(range(n))
+        more = [lbl.turn(n, number, 2.5, [3, 1]) for number in range(lbl.ROUNDS)]
+        assert all(len(x) == int(2.5 * n) and set(x.tolist()) == set(range(n)) for x in more)
