@@ -11,6 +11,7 @@ from stockloom.functions.expr import (
 )
 from stockloom.operators.pareto import number_rows
 from stockloom.operators.sku import display_recommendation, in_order_units, outlet_list, stored_recommendations
+from stockloom.session import cut_lineage
 
 MONTHS = [f"qty_m{i}" for i in range(1, 13)]
 
@@ -293,9 +294,10 @@ def suggest_all(o: DataFrame, s: DataFrame, category=None, min_confidence: int =
     (type, place); neither outlets nor outlets and stocks are paired.
     """
     kind = F.coalesce("ud1_code", F.lit("\x00"))  # stocks without a type are one, too
-    stocks = _candidates(_sellers(o), s, category).withColumn("kind", kind).withColumn("base_score", _base_score())
+    # numbering reads them three times, and what is numbered is read four times
+    stocks = cut_lineage(_candidates(_sellers(o), s, category).withColumn("kind", kind).withColumn("base_score", _base_score()))
     order = F.struct("kind", (-F.col("base_score")).alias("b"), (-F.col("mean2")).alias("m"), "stock_id")
-    ordered = number_rows(stocks, "kind", order, "stock_id").drop("part").withColumnRenamed("row_num", "place")
+    ordered = cut_lineage(number_rows(stocks, "kind", order, "stock_id").drop("part").withColumnRenamed("row_num", "place"))
 
     real = o.filter(~F.col("location_id").isin(config.PSEUDO_LOCATIONS))
     outlets = real.select("location_id").distinct()

@@ -65,3 +65,15 @@ def test_suggestions_for_all_outlets_equal_those_of_each(spark):
             mine = [{c: v for c, v in r.items() if c != "location_id"} for r in got if r["location_id"] == loc]
             order = lambda r: r["stock_id"]
             assert sorted(mine, key=order) == sorted(want, key=order) and want
+
+
+def test_suggestions_for_all_outlets_sum_up_the_sellers_once(spark):
+    from stockloom.operators import outlet
+    from tests.test_outlets import known, outlet_row, outlets, summary
+
+    rows = [outlet_row(f"L{i}", f"S{j}", ams=9.0) for i in range(4) for j in range(5) if (i + j) % 3]
+    o, s = outlets(spark, rows), summary(spark, [known(f"S{j}", "NA") for j in range(5)])
+    got = outlet.suggest_all(o, s, min_confidence=0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan  # the sellers' sums are read from where they are kept
+    assert got.count() > 0
