@@ -112,3 +112,14 @@ def test_long_texts_in_parts(monkeypatch):
     whole = COUNTER.steps(text)
     monkeypatch.setattr(prefixcount, "PART", 50)
     assert prefixcount.PrefixCounter(PATH).steps(text) == whole
+
+
+def test_lookup_turns_missing_keys_away_at_once():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 50_000).astype(np.uint64))
+    lookup = prefixcount.Lookup(keys, np.arange(len(keys), dtype=np.int32))
+    asked = np.concatenate([keys, rng.integers(0, 1 << 63, 50_000).astype(np.uint64)])
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    assert lookup(asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+    assert lookup(asked[:0]).tolist() == []
+    assert lookup.taken[lookup._place(asked[len(keys) :])].mean() < 0.1
