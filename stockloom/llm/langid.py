@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import small_text_batches, text_bytes
+from stockloom.llm.common import small_text_batches, text_bytes, trimmed
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
@@ -191,7 +191,7 @@ def sample(labelled: DataFrame, weight: dict[str, float]) -> tuple[np.ndarray, l
             bits = [np.packbits(presence([t])[0][0]).tobytes() for t in strings(b.column(1))]
             yield pa.record_batch([b.column(0), pa.array(bits, pa.binary())], names=["lang", "bits"])
 
-    got = sorted((r.lang, bytes(r.bits)) for r in chosen.mapInArrow(run, "lang string, bits binary").collect())
+    got = sorted((r.lang, bytes(r.bits)) for r in chosen.mapInArrow(trimmed(run), "lang string, bits binary").collect())
     if not got:
         return np.zeros((0, DIM), np.uint8), []
     rows = np.unpackbits(np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1), axis=1)
@@ -224,7 +224,7 @@ def sums(labelled: DataFrame, space: Space) -> np.ndarray:
 
     ours = labelled.where(F.col("lang").isin(space.languages)).select("lang", "text")
     out = space.products([], [])
-    for r in ours.mapInArrow(run, "i int, part binary").repartition("i").mapInArrow(add, "i int, part binary").collect():
+    for r in ours.mapInArrow(trimmed(run), "i int, part binary").repartition("i").mapInArrow(trimmed(add), "i int, part binary").collect():
         out[r.i] = np.frombuffer(r.part, np.int64)
     return out / UNIT**2
 
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
     schema = rows.select(*names[:-2]).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema).select(*keep, "lang_pred", "score")
+    return rows.mapInArrow(trimmed(run), schema).select(*keep, "lang_pred", "score")
 
 
 def op7_string_kernel_language(spark, sf_dir: str) -> DataFrame:

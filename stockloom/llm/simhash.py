@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import components, small_text_batches, stored, text_bytes
+from stockloom.llm.common import components, small_text_batches, stored, text_bytes, trimmed
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BITS = 64
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
             fps = np.array([fingerprint(t, shingle) for t in text_bytes(b.column(1))], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -175,7 +175,7 @@ def edges_within(buckets: DataFrame, keys: list[str], radius: int) -> DataFrame:
         if a:
             yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return buckets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return buckets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "a long, b long")
 
 
 def near_edges(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:

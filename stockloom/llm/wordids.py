@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+from stockloom.llm.common import KEPT
+
 #: Chunks, and words in them, that a worker remembers: two generations of so many, and of so many bytes.
 REMEMBERED, WORDS, REMEMBERED_BYTES = 500_000, 300_000, 16 << 20
 #: Long texts are taken in parts of about so many bytes, cut at white space.
@@ -121,6 +123,7 @@ class WordIds:
 
 #: One encoder for each file and worker process.
 _OPEN: dict[str, WordIds] = {}
+KEPT.append(_OPEN.clear)
 
 
 def encoder(path: str) -> WordIds:

@@ -69,3 +69,26 @@ def test_awkward_tables(spark):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/{name}/benchmark.parquet")
         rows = pipeline.run(spark, f"{folder}/{name}").collect()
         assert (name == "none") == (rows == [])
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    from types import SimpleNamespace
+
+    from stockloom.llm import common
+
+    asked = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: SimpleNamespace(malloc_trim=asked.append))
+    task = common.trimmed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(task) == 2 and not asked
+    assert list(task) == [3] and asked == [0]
+
+
+def test_other_tasks_drop_the_encoders_words():
+    import public_tokenizers
+
+    from stockloom.llm import common, wordids
+
+    wordids.encoder(public_tokenizers.path("word_bpe_49k.json")).encode(b"some words")
+    assert wordids._OPEN
+    list(common.trimmed(lambda batches: batches)(iter([])))
+    assert not wordids._OPEN
