@@ -100,7 +100,7 @@ class Buckets:
 def doubled(text: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; suffixes that are alone in their group are not sorted again."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    order = np.argsort(text)
     first = np.append(True, text[order[1:]] != text[order[:-1]])
     rank = np.empty(n, np.int64)  # where the group of equal suffixes starts in the order
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -110,7 +110,7 @@ def doubled(text: np.ndarray) -> np.ndarray:
         now = order[live]
         other = np.where(now + width < n, rank[np.minimum(now + width, n - 1)] + 1, 0)
         key = rank[now] * (n + 1) + other
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)  # equal keys stay one group, in any order
         now, key = now[by], key[by]
         order[live] = now
         first = np.append(True, key[1:] != key[:-1])
@@ -120,13 +120,19 @@ def doubled(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def words_of_four(text: np.ndarray) -> np.ndarray:
-    """At each place, the four characters (below 65,535) that start there in one integer; beyond the end they count as 65,535."""
-    padded = np.append(text.astype(np.uint64), np.full(4, 0xFFFF, np.uint64))
-    word = padded[: len(text)].copy()
-    for i in range(1, 4):
-        word |= padded[i : i + len(text)] << np.uint64(16 * i)
-    return word
+def packed_words(text: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """(word, bits, each): at each place and the end, the `each` characters of `bits` bits that start there in one integer.
+
+    Beyond the end they count as a number that no character has.
+    """
+    end = int(text.max(initial=0)) + 1
+    bits = end.bit_length()
+    each = max(1, 64 // bits)
+    padded = np.append(text.astype(np.uint64), np.full(each, end, np.uint64))
+    word = padded[: len(text) + 1].copy()
+    for i in range(1, each):
+        word |= padded[i : i + len(text) + 1] << np.uint64(bits * i)
+    return word, bits, each
 
 
 def suffix_array(text: np.ndarray, sigma: int | None = None) -> np.ndarray:
@@ -153,18 +159,20 @@ def suffix_array(text: np.ndarray, sigma: int | None = None) -> np.ndarray:
     differs = np.ones(len(ordered), bool)
     a, b = ordered[:-1], ordered[1:]
     same = np.nonzero((size[a] == size[b]) & (b + size[b] < n) & (a + size[a] < n))[0]
-    word = words_of_four(text)
+    word, bits, each = packed_words(text)
     length = size[b[same]] + 1  # the first character of the next LMS is compared too
     equal = np.ones(len(same), bool)
     live, at = np.arange(len(same)), 0
-    while len(live):  # four characters at a time; the last word may overlap the one before it
+    while len(live):  # a word at a time; the last one may overlap the one before it
         x, y, more = a[same[live]], b[same[live]], length[live]
-        step = np.maximum(np.minimum(at, more - 4), 0)
-        short = more < 4
-        mask = np.where(short, (np.uint64(1) << (np.uint64(16) * np.minimum(more, 3).astype(np.uint64))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
-        ok = (word[x + step] & mask) == (word[y + step] & mask)
+        step = np.maximum(np.minimum(at, more - each), 0)
+        unlike = word[x + step] ^ word[y + step]
+        short = more < each
+        if short.any():
+            unlike[short] &= (np.uint64(1) << (np.uint64(bits) * more[short].astype(np.uint64))) - np.uint64(1)
+        ok = unlike == 0
         equal[live[~ok]] = False
-        at += 4
+        at += each
         live = live[ok & (more > at)]
     differs[same[equal] + 1] = False
     name = np.empty(n, np.int64)
@@ -184,22 +192,18 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndar
     out = np.zeros(n, np.int64)
     if len(order) < 2:
         return out
-    padded = np.concatenate([text.astype(np.int64), np.full(most + 1, -1)])
-    a, b = order[:-1].copy(), order[1:].copy()
-    # words of four characters compare at once; what is left of the last word is counted singly
-    word = np.zeros(len(padded), np.uint64)
-    for i in range(4):
-        word[: len(padded) - i] |= (padded[i:].astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(16 * i)
+    a, b = order[:-1], order[1:]
+    # words of several characters compare at once; the lowest bit that differs tells how many of the last word are equal.
+    # Suffixes end at different places, so two words differ before both have ended.
+    word, bits, each = packed_words(text)
     live, at = np.arange(len(a)), 0
     while len(live) and at < most:
-        same = word[a[live] + at] == word[b[live] + at]
-        stop = live[~same]
-        for i in range(4):
-            equal = padded[a[stop] + at + i] == padded[b[stop] + at + i]
-            equal &= (a[stop] + at + i < n) & (b[stop] + at + i < n)
-            stop = stop[equal]
-            out[b[stop]] += 1
-        live = live[same]
-        out[b[live]] += 4
-        at += 4
+        unlike = word[a[live] + at] ^ word[b[live] + at]
+        stop = np.nonzero(unlike)[0]
+        low = unlike[stop]
+        low &= ~low + np.uint64(1)
+        out[b[live[stop]]] = at + np.bitwise_count(low - np.uint64(1)).astype(np.int64) // bits
+        live = live[unlike == 0]
+        at += each
+    out[b[live]] = most
     return np.minimum(out, most)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from stockloom.llm import spandedup, suffixes
 from tests.llm import cases
@@ -100,3 +101,24 @@ def test_long_documents_come_in_overlapping_parts():
                 assert at not in again
                 again[at] = x
     assert strings == again
+
+
+def test_prefixes_compare_whole_words_of_bytes():
+    rng = np.random.default_rng(8)
+    for sigma, most in ((2, 50), (257, 50), (3, 300), (1, 400)):
+        text = rng.integers(0, sigma, 500)
+        order = suffixes.suffix_array(text)
+        got = suffixes.permuted_prefixes(text, order, most)
+        for x, y in zip(order.tolist(), order[1:].tolist()):
+            n = 0
+            while n < most and max(x, y) + n < len(text) and text[x + n] == text[y + n]:
+                n += 1
+            assert got[y] == n
+    assert suffixes.packed_words(np.arange(257))[2] == 7
+
+
+def test_texts_are_hashed_a_little_at_a_time():
+    texts = [b"ab" * 9_000, b"", b"x" * 700_000, b"c" * 30_000]
+    batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array([t.decode() for t in texts])], names=["key", "text"])
+    sizes = [len(data) for data, *_ in spandedup.blocks(batch)]
+    assert max(sizes) <= 1 << 18 and len(sizes) > 3
