@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.llm.common import small_text_batches, stored, text_bytes
+from stockloom.llm.common import small_text_batches, stored, text_bytes, trimmed
 
 #: Words of a passage; passages start every half of it.
 WINDOW = 64
@@ -49,7 +49,7 @@ ITEMS, ITEM_BYTES = 200, 8 << 20
 #: Rank of the factorisation, extra random columns, power iterations.
 RANK, EXTRA, POWERS = 208, 16, 2
 #: Products of pairs of words are counted in whole multiples of 1 / FIXED; a task holds so many pairs, a step makes so many products.
-FIXED, PAIRS, PRODUCTS = 1 << 24, 4_000_000, 1 << 20
+FIXED, PAIRS, PRODUCTS = 1 << 24, 1_500_000, 1 << 19
 #: Words in more than this share of the passages carry no weight in the search; in more than this, none in the confirmation.
 COMMON, COMMON_HERE = 0.02, 0.05
 #: Least cosine of a candidate; shares of an item's words that confirm it, alone and with the answer.
@@ -129,7 +129,7 @@ def occurrences(docs: DataFrame, vocabulary: dict[bytes, int], runs: Runs) -> Da
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), *packed], names=["doc_id", "n_words", "at", "word", "place", "item"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, at binary, word binary, place binary, item binary")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_words long, at binary, word binary, place binary, item binary")
 
 
 def passages(n_words: int) -> int:
@@ -146,13 +146,23 @@ def hits(at: np.ndarray, item: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 
 def terms(at: np.ndarray, word: np.ndarray, n_words: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, word, times) of a document, each pair once."""
-    last = passages(n_words) - 1
+    return all_terms([at], [word], np.array([passages(n_words)]), size)
+
+
+def all_terms(ats: list[np.ndarray], words: list[np.ndarray], n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, word, times) of some documents of n passages each, each pair once; passages are numbered through."""
+    held = np.fromiter(map(len, ats), np.int64, len(ats))
+    at, word = np.concatenate(ats), np.concatenate(words).astype(np.int64)
+    last, base = np.repeat(n - 1, held), np.repeat(np.cumsum(n) - n, held)
     late = np.minimum(at // STEP, last)  # the last passage that holds a position, and the one before it
     early = np.maximum(at // STEP - 1, 0)
     both = early < late
-    code = np.concatenate([late, early[both]]).astype(np.int64) * size + np.concatenate([word, word[both]])
-    pair, times = np.unique(code, return_counts=True)
-    return pair // size, pair % size, times
+    code = np.concatenate([(base + late) * size + word, (base[both] + early[both]) * size + word[both]])
+    code.sort()
+    first = np.nonzero(np.append(True, code[1:] != code[:-1])[: len(code)])[0]
+    pair = code[first]
+    row = pair // size
+    return row, pair - row * size, np.diff(np.append(first, len(code)))
 
 
 def read(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -167,14 +177,15 @@ def frequencies(occurring: DataFrame, items: list[Item], size: int) -> tuple[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, own = 0, np.zeros(size, np.int64), shared.value
         for b in batches:
-            for _, n, at, word, place, item in read(b):
-                total += passages(n)
-                if len(at):
-                    row, w, _ = terms(at, word, n, size)
-                    if len(place):
-                        held = np.concatenate([p * size + own[i] for p, i in zip(place.tolist(), item.tolist())])
-                        w = w[~np.isin(row * size + w, held)]
-                    seen += np.bincount(w, minlength=size)
+            docs = list(read(b))
+            n = np.array([passages(doc[1]) for doc in docs], np.int64)
+            total += int(n.sum())
+            if docs:
+                row, w, _ = all_terms([doc[2] for doc in docs], [doc[3] for doc in docs], n, size)
+                held = [(p + base) * size + own[i] for doc, base in zip(docs, (np.cumsum(n) - n).tolist()) for p, i in zip(doc[4].tolist(), doc[5].tolist())]
+                if held:
+                    w = w[~np.isin(row * size + w, np.concatenate(held))]
+                seen += np.bincount(w, minlength=size)
         hit = np.nonzero(seen)[0]
         yield pa.record_batch([pa.array(np.append(hit, -1)), pa.array(np.append(seen[hit], total))], names=["word", "n"])
 
@@ -217,16 +228,17 @@ class Rows:
         return self._grouped(self.row, dense[self.word] * self.value[:, None], self.n)
 
     def products(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word * size + other word, sum of products) of the words that a row holds, in both orders; some rows at a time."""
+        """(word * size + other word, sum of products) of the words that a row holds, the smaller word first; some rows at a time."""
+        # words of a row ascend: each meets itself and those after it
         held = np.bincount(self.row, minlength=self.n)
-        begin, each = np.cumsum(held) - held, held[self.row]
+        each = np.cumsum(held)[self.row] - np.arange(len(self.row))
         made = np.cumsum(each)
         at = 0
         while at < len(each):
             to = max(at + 1, int(np.searchsorted(made, (made[at - 1] if at else 0) + PRODUCTS, side="right")))
             n = each[at:to]
             left = np.repeat(np.arange(at, to), n)
-            right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[self.row[at:to]], n)
+            right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + left
             value = np.rint(self.value[left].astype(float) * self.value[right] * FIXED).astype(np.int64)
             yield added(self.word[left].astype(np.int64) * size + self.word[right], value)
             at = to
@@ -237,8 +249,8 @@ class Rows:
 
 
 def added(code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each code once, with the sum of its values."""
-    order = np.argsort(code, kind="stable")
+    """Each code once, in order, with the sum of its values (integers, so their order does not matter)."""
+    order = np.argsort(code)
     code = code[order]
     first = np.nonzero(np.append(True, code[1:] != code[:-1]))[0]
     return code[first], np.add.reduceat(value[order], first)
@@ -246,26 +258,26 @@ def added(code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def gathered(batches: Iterator[pa.RecordBatch], size: int, idf: np.ndarray) -> Iterator[tuple[Rows, list, np.ndarray]]:
     """Blocks of documents: their passages' rows, the documents, and the first row of each."""
-    docs, first, rows, at_row = [], [], [], 0
+    docs, rows, n, count = [], [], [], 0
 
     def out():
-        parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*rows)] or [np.zeros(0, np.int64)] * 3
-        return Rows(*parts, at_row, idf), docs, np.array(first)
+        each = np.array(n, np.int64)
+        parts = all_terms([at for at, _ in rows], [w for _, w in rows], each, size)
+        return Rows(*parts, int(each.sum()), idf), docs, np.cumsum(each) - each
 
     for b in batches:
         for doc in read(b):
-            _, n, at, word, place, _ = doc
+            _, n_words, at, word, place, _ = doc
             useful = idf[word] > 0
             if not useful.any() and not len(place):
                 continue
-            row, w, times = terms(at[useful], word[useful], n, size)
             docs.append(doc)
-            first.append(at_row)
-            rows.append((row + at_row, w, times))
-            at_row += passages(n)
-            if at_row >= BLOCK:
+            rows.append((at[useful], word[useful]))
+            n.append(passages(n_words))
+            count += n[-1]
+            if count >= BLOCK:
                 yield out()
-                docs, first, rows, at_row = [], [], [], 0
+                docs, rows, n, count = [], [], [], 0
     if docs:
         yield out()
 
@@ -276,6 +288,9 @@ def word_pairs(occurring: DataFrame, idf: np.ndarray) -> DataFrame:
     names, schema = ["i", "j", "v"], "i int, j binary, v binary"
 
     def packed(code: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = code // size, code % size
+        other = i != j  # each pair is sent in both orders
+        code, value = added(np.concatenate([code, j[other] * size + i[other]]), np.concatenate([value, value[other]]))
         i, j = code // size, (code % size).astype(np.int32)
         first = np.nonzero(np.append(True, i[1:] != i[:-1]))[0]
         ends = [*first[1:].tolist(), len(i)]
@@ -310,7 +325,7 @@ def word_pairs(occurring: DataFrame, idf: np.ndarray) -> DataFrame:
             yield pa.record_batch([pa.array([i], pa.int32()), pa.array([j.astype(np.int32).tobytes()], pa.binary()), pa.array([row[j].tobytes()], pa.binary())], names=names)
 
     # some 256 words meet in a task
-    return stored(occurring.mapInArrow(run, schema).repartition(-(-size // 256), "i").mapInArrow(add, schema), "lsa-pairs")
+    return stored(occurring.mapInArrow(trimmed(run), schema).repartition(-(-size // 256), "i").mapInArrow(trimmed(add), schema), "lsa-pairs")
 
 
 def fit(occurring: DataFrame, own: Rows, idf: np.ndarray, n_passages: int) -> np.ndarray:
@@ -418,7 +433,7 @@ def search(occurring: DataFrame, items: list[Item], probes: np.ndarray, of: np.n
             if found:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found.values()), kinds)], names=names)
 
-    return occurring.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs double, answer double, start long")
+    return occurring.mapInArrow(trimmed(run), "doc_id long, item_id long, cosine double, lcs double, answer double, start long")
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:

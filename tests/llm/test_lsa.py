@@ -132,3 +132,23 @@ def test_factorisation_counts_every_passage(spark, monkeypatch):
     for r in lsa.word_pairs(occurring, idf).collect():
         got[r.i, np.frombuffer(r.j, np.int32)] += np.frombuffer(r.v, np.int64) / lsa.FIXED
     assert want.sum() > 100 and np.abs(got - want).max() < 1e-4
+
+
+def test_products_of_a_pair_are_made_once(monkeypatch):
+    monkeypatch.setattr(lsa, "PRODUCTS", 30)
+    rng = np.random.default_rng(2)
+    at = [np.sort(rng.choice(300, 40, replace=False)).astype(np.int32) for _ in range(6)]
+    word = [rng.integers(0, 25, 40).astype(np.int32) for _ in at]
+    n = np.array([lsa.passages(300)] * 6)
+    row, w, times = lsa.all_terms(at, word, n, 25)
+    apart = [lsa.terms(a, x, 300, 25) for a, x in zip(at, word)]
+    assert row.tolist() == np.concatenate([r + i * n[0] for i, (r, _, _) in enumerate(apart)]).tolist()
+    assert (w.tolist(), times.tolist()) == tuple(np.concatenate([x[k] for x in apart]).tolist() for k in (1, 2))
+    rows = lsa.Rows(row, w, times, int(n.sum()), np.ones(25))
+    got = np.zeros((25, 25))
+    for code, value in rows.products(25):
+        assert (code // 25 <= code % 25).all()
+        np.add.at(got, (code // 25, code % 25), value)
+    dense = np.zeros((rows.n, 25))
+    dense[rows.row, rows.word] = rows.value
+    assert np.allclose(got / lsa.FIXED, np.triu(dense.T @ dense), atol=1e-4)
