@@ -21,15 +21,21 @@ import numpy as np
 WIDE = 2048
 
 
+def places(n: int) -> type:
+    """The integers that name n places."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def classify(text: np.ndarray) -> np.ndarray:
     """True for S-type suffixes. The end of the text counts as smaller than any character, so the last one is L."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
-    following = np.minimum.accumulate(at[::-1])[::-1]
-    return step[following] > 0
+    up = np.zeros(n, bool)
+    np.greater(text[1:], text[:-1], out=up[:-1])
+    change = np.ones(n, bool)
+    np.not_equal(text[1:], text[:-1], out=change[:-1])
+    # equal neighbours are of one type: that of the next place where the text changes
+    at = np.nonzero(change)[0]
+    return np.repeat(up[at], np.diff(at, prepend=-1))
 
 
 class Buckets:
@@ -57,7 +63,7 @@ class Buckets:
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """All suffixes in order, given LMS suffixes in the order that shall hold among them."""
         n = len(self.text)
-        held = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
+        held = np.full(n, -1, places(n))
         # seeds at the ends of their buckets
         c = self.text[seeds]
         order = np.argsort(c, kind="stable")
@@ -126,6 +132,9 @@ def packed_words(text: np.ndarray) -> tuple[np.ndarray, int, int]:
     Beyond the end they count as a number that no character has.
     """
     end = int(text.max(initial=0)) + 1
+    if text.dtype == np.uint8 and end < 256:  # the bytes themselves are such words
+        padded = np.append(text, np.full(8, end, np.uint8))
+        return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(text) + 1,), (1,)).astype(np.uint64), 8, 8
     bits = end.bit_length()
     each = max(1, 64 // bits)
     padded = np.append(text.astype(np.uint64), np.full(each, end, np.uint64))
@@ -154,7 +163,7 @@ def suffix_array(text: np.ndarray, sigma: int | None = None) -> np.ndarray:
     is_lms[lms] = True
     ordered = sorted_all[is_lms[sorted_all]]
     # names: neighbours in this order are equal if length and characters up to the next LMS are
-    size = np.empty(n, np.int64)
+    size = np.empty(n, places(n))
     size[lms] = np.diff(np.append(lms, n))
     differs = np.ones(len(ordered), bool)
     a, b = ordered[:-1], ordered[1:]
@@ -175,7 +184,7 @@ def suffix_array(text: np.ndarray, sigma: int | None = None) -> np.ndarray:
         at += each
         live = live[ok & (more > at)]
     differs[same[equal] + 1] = False
-    name = np.empty(n, np.int64)
+    name = np.empty(n, places(n))
     name[ordered] = np.cumsum(differs) - 1
     names = name[lms]
     if differs.all():

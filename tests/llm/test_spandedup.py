@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -122,3 +123,76 @@ def test_texts_are_hashed_a_little_at_a_time():
     batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array([t.decode() for t in texts])], names=["key", "text"])
     sizes = [len(data) for data, *_ in spandedup.blocks(batch)]
     assert max(sizes) <= 1 << 18 and len(sizes) > 3
+
+
+def test_common_phrases_alone_make_no_pieces(spark):
+    rng = random.Random(6)
+    alone = ["".join(rng.choice("abcdefgh ") for _ in range(150)) + " of the same words in " + "".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(60)]
+    docs = spandedup.keyed(cases.docs(spark, alone))
+    # sixteen bytes of a text are in all others, but never 33 that a repeated string needs
+    assert len({(k, x) for k, t in enumerate(alone) for x in spandedup.rolling(np.frombuffer(t.encode(), np.uint8)).tolist()}) > len({x for t in alone for x in spandedup.rolling(np.frombuffer(t.encode(), np.uint8)).tolist()})
+    assert spandedup.piece_rows(docs, spandedup.bit_table(spandedup.shared_anchors(docs))).count() == 0
+    # one string of fifty bytes in two of them is found whatever its place
+    for at in (0, 17, 34):
+        made = [*alone[:5], alone[0][120 + at : 170 + at]]
+        assert result(spandedup.removal_report(cases.docs(spark, made))) == plain(list(enumerate(made)))
+
+
+def test_both_sides_hold_what_all_their_strings_hold():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    ends = np.array([0, 10, 1500, 1560, 5000])
+    h, place, first, last, _ = spandedup.anchored(data, ends)
+    left, right, to_left, to_right = spandedup.sides(h, place, first, last)
+    raw, held = data.tobytes(), {}
+    for p, a, b, x, y, n, m in zip(*(c.tolist() for c in (place, first, last, left, right, to_left, to_right))):
+        assert n + m == b - a + 1 and n >= 0 and m >= 0
+        for s in range(a, b + 1):
+            start, side = (p - spandedup.REACH, x) if s < a + n else (p, y)
+            core = raw[start : start + spandedup.GRAM + spandedup.REACH]
+            assert s <= start and start + len(core) <= s + 50 and len(core) == 33
+            assert held.setdefault((core, s < a + n), side) == side
+
+
+def test_crowds_send_on_only_strings_of_several_documents(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdef") for _ in range(55))
+    pieces = [(7, ("".join(rng.choice("abcdef") for _ in range(12)) + shared).encode(), k, k) for k in range(40)]
+    sent = []
+    real = spandedup.shard_runs
+    monkeypatch.setattr(spandedup, "shard_runs", lambda df: sent.append(df.count()) or real(df))
+    found = spandedup.crowd_runs(spark.createDataFrame(pieces, "h long, piece binary, low long, high long")).collect()
+    first, last = {}, {}
+    for _, p, k, _ in pieces:
+        for a in range(len(p) - 49):
+            first.setdefault(p[a : a + 50], k)
+            last[p[a : a + 50]] = k
+    assert sent == [sum(first[s] < last[s] for s in first)]
+    got = {(r.id, a): r.least for r in found for a in range(r.a, r.b + 1)}
+    assert got == {(spandedup.named(p), a): first[p[a : a + 50]] for _, p, _, _ in pieces for a in range(len(p) - 49) if first[p[a : a + 50]] < last[p[a : a + 50]]}
+    # neighbouring strings of one piece and one document are one row
+    assert len(found) < len(got) / 3
+
+
+def test_words_of_bytes_compare_as_numbers_do():
+    rng = np.random.default_rng(2)
+    for top in (3, 200, 254, 255):
+        text = np.append(rng.integers(0, top + 1, 400), top).astype(np.uint8)
+        text = np.concatenate([text, text[100:300]])
+        order = suffixes.suffix_array(text)
+        assert order.tolist() == suffixes.suffix_array(text.astype(np.int64)).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tobytes())
+        assert suffixes.permuted_prefixes(text, order, 50).tolist() == suffixes.permuted_prefixes(text.astype(np.int64), order, 50).tolist()
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    jvm = spark.sparkContext._jvm
+    manager = spark.sparkContext._jsc.sc().env().blockManager()
+    kept = lambda: sum(1 for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_"))
+    before, there = spark.conf.get(spandedup.SHUFFLES_GO, None), kept()
+    made = spandedup.settled(spark.range(1000).repartition(5, "id"), "test-settled")
+    for _ in range(100):  # files go in the background
+        if kept() <= there:
+            break
+        time.sleep(0.1)
+    assert kept() <= there and made.count() == 1000
+    assert spark.conf.get(spandedup.SHUFFLES_GO, None) == before
